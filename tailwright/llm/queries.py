@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tailwright.llm.bpe import op3_byte_bpe
+from tailwright.llm.langid import op2_language_id
 from tailwright.llm.ppm import op1_ppm
 from tailwright.llm.token_counts import op10_token_counts
 from tailwright.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_ppm": op1_ppm,
+    "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op10_token_counts": op10_token_counts,
