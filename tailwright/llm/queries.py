@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tailwright.llm.bpe import op3_byte_bpe
 from tailwright.llm.langid import op2_language_id
+from tailwright.llm.line_crf import op8_quality
 from tailwright.llm.ppm import op1_ppm
 from tailwright.llm.token_counts import op10_token_counts
 from tailwright.llm.url_filter import op7_url_filter
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
 
