@@ -23,7 +23,7 @@ FIT_DOCS, FIT_BYTES = 6000, 32_000
 LEAST_DOCS, LOG_ODDS, Z = 3, 2.0, 4.0
 #: Grades: 0 for documents that aren't toxic; toxic ones by how many marked words they have: up to 2, up to 5, more.
 STEPS = (2, 5)
-EPOCHS, RATE, RIDGE = 400, 0.1, 1e-3
+EPOCHS, RATE, RIDGE = 2000, 0.1, 1e-5
 TOXIC = 0.5
 
 PREFIX = 5
