@@ -5,6 +5,7 @@ from __future__ import annotations
 from tailwright.llm.bpe import op3_byte_bpe
 from tailwright.llm.langid import op2_language_id
 from tailwright.llm.line_crf import op8_quality
+from tailwright.llm.near_dedup import op4_probminhash
 from tailwright.llm.ppm import op1_ppm
 from tailwright.llm.quality_rules import op5_fertility
 from tailwright.llm.token_counts import op10_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ppm": op1_ppm,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_probminhash": op4_probminhash,
     "op5_fertility": op5_fertility,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
