@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tailwright.llm.bpe import op3_byte_bpe
+from tailwright.llm.decontaminate import op9_decontaminate
 from tailwright.llm.langid import op2_language_id
 from tailwright.llm.line_crf import op8_quality
 from tailwright.llm.near_dedup import op4_probminhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -19,6 +19,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Signs that don't count at the outside of a word.
+OUTER = np.zeros(256, bool)
+OUTER[list(b".,;:!?\"'()[]{}*#$%&|<>-_")] = True
+
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -82,6 +86,14 @@ class Block:
         return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def bare(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges without up to three outer signs on each side; a word keeps at least one byte."""
+    for _ in range(3):
+        starts = starts + (OUTER[block.buf[starts]] & (starts < ends - 1))
+        ends = ends - (OUTER[block.buf[ends - 1]] & (starts < ends - 1))
+    return starts, ends
+
+
 def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Whole texts (null: empty), in order, in blocks of about ``limit`` bytes."""
     held: list[bytes] = []
