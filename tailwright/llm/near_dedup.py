@@ -289,7 +289,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     ready = docs.select(row.alias("__row"), F.col(text).cast("binary").alias("__text"))
-    keyed = ready.mapInArrow(run, f"__row {ready.schema['__row'].dataType.simpleString()}, __key binary")
+    keyed = ready.mapInArrow(run, ready.select("__row", F.lit(b"").alias("__key")).schema)
     same = (keyed["__key"] == kept["__key"]) & keyed[f"__row.{id_col}"].eqNullSafe(kept["class_id"])
     return keyed.join(kept, same, "left_semi").dropDuplicates(["__key"]).select("__row.*")
 
