@@ -21,6 +21,7 @@ import heapq
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -30,13 +31,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import documents
+from tailwright.llm.session import bounded, documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose distinct pre-tokens are encoded together.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 12 << 20
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts afresh (results stay the same).
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: A pre-token of more bytes is merged on its own.
 LONG = 192
 
@@ -245,24 +246,21 @@ class Encoder:
         np.cumsum(np.bincount(word[kept], minlength=len(pieces)), out=begin[1:])
         return sym[kept], begin
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token."""
-        out: list[Any] = [None] * len(pieces)
-        many: list[int] = []
-        for k, p in enumerate(pieces):
-            r = self.ranks.get(p)
+    def encode_pieces(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each pre-token, in order."""
+        get = self.ranks.get
+        many = [p for p in pieces if p not in self.ranks and len(p) <= LONG]
+        ids, begin = self.merge_many(many) if many else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        k = 0
+        for p in pieces:
+            r = get(p)
             if r is not None:
-                out[k] = [r]
+                yield [r]
             elif len(p) > LONG:
-                out[k] = self.merge_one(p)
+                yield self.merge_one(p)
             else:
-                many.append(k)
-        if many:
-            ids, begin = self.merge_many([pieces[k] for k in many])
-            flat, at = ids.tolist(), begin.tolist()
-            for j, k in enumerate(many):
-                out[k] = flat[at[j] : at[j + 1]]
-        return out
+                yield ids[begin[k] : begin[k + 1]].tolist()
+                k += 1
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -273,7 +271,10 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Memory:
-    """What a worker has encoded already: the distinct pre-tokens, numbered as they came."""
+    """What a worker has encoded already: the distinct pre-tokens, numbered as they came.
+
+    Of each it keeps the ids as text and the bytes that they decode to, as lists of ids would take far more room.
+    """
 
     def __init__(self, encoder: Encoder, pattern: str) -> None:
         self.encoder, self.find = encoder, regex.compile(pattern).findall
@@ -281,26 +282,34 @@ class Memory:
 
     def clear(self) -> None:
         self.number: dict[str, int] = defaultdict(lambda: len(self.number))
-        self.ids: list[list[int]] = []
         self.shown: list[str] = []
         self.plain: list[bytes] = []
+        self.size = array("i")
+
+    def tidy(self) -> None:
+        """Between groups of documents: forgets everything if there is too much."""
+        if len(self.number) > REMEMBERED:
+            self.clear()
 
     def numbers(self, text: str) -> array:
         """The number of each pre-token of ``text``."""
         return array("i", map(self.number.__getitem__, self.find(text)))
 
     def fill(self) -> None:
-        """Encodes what numbers() has met since."""
-        have = len(self.ids)
+        """Encodes what numbers() has met since, and decodes it again."""
+        have = len(self.shown)
         if len(self.number) > have:
-            fresh = list(self.number)[have:]
-            self.ids += self.encoder.encode_pieces([t.encode() for t in fresh])
+            fresh = [t.encode() for t in islice(self.number, have, None)]
+            for ids in self.encoder.encode_pieces(fresh):
+                self.shown.append(",".join(map(str, ids)))
+                self.plain.append(self.encoder.decode(ids))
+                self.size.append(len(ids))
+
+    def ids(self, numbers: array) -> list[int]:
+        return [int(i) for k in numbers for i in self.shown[k].split(",")]
 
-    def render(self) -> None:
-        """The ids of each pre-token as text, and the bytes that they decode to."""
-        fresh = self.ids[len(self.shown) :]
-        self.shown += [",".join(map(str, x)) for x in fresh]
-        self.plain += map(self.encoder.decode, fresh)
+    def count(self, numbers: array) -> int:
+        return int(np.frombuffer(self.size, np.int32)[np.frombuffer(numbers, np.int32)].sum()) if len(numbers) else 0
 
 
 _MEMORY: dict[str, Memory] = {}
@@ -348,18 +357,17 @@ def read_ranks(path: str, limit: int = 64 << 20) -> bytes:
 def token_counts(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens) of every row: the number of ids of its whole text (null: 0)."""
     raw = df.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(RANKS)))
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mem = memory(raw.value, pattern)
         for group in grouped(batches, 1):
-            if len(mem.number) > REMEMBERED:
-                mem.clear()
             docs = [[mem.numbers(t) for t in texts_of(b, 1)] for b in group]
             mem.fill()
-            length = np.fromiter(map(len, mem.ids), np.int64, len(mem.ids))
             for b, numbers in zip(group, docs, strict=True):
-                n = [int(length[np.frombuffer(x, np.int32)].sum()) if len(x) else 0 for x in numbers]
+                n = list(map(mem.count, numbers))
                 yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])
+            mem.tidy()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)
@@ -373,26 +381,22 @@ def encode_documents(df: DataFrame, path: str | None = None, pattern: str = publ
     """
     raw = df.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(RANKS)))
     sha = hashlib.sha256
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mem = memory(raw.value, pattern)
         for group in grouped(batches, 1):
-            if len(mem.number) > REMEMBERED:
-                mem.clear()
             docs = [[mem.numbers(t) for t in texts_of(b, 1)] for b in group]
             mem.fill()
-            if output == "ids":
-                for b, numbers in zip(group, docs, strict=True):
-                    yield pa.record_batch([b.column(0), pa.array([[i for k in x for i in mem.ids[k]] for x in numbers], pa.list_(pa.int32()))], names=["id", "ids"])
-                continue
-            mem.render()
-            shown, plain = mem.shown, mem.plain
-            length = np.fromiter(map(len, mem.ids), np.int64, len(mem.ids))
             for b, numbers in zip(group, docs, strict=True):
-                n = [int(length[np.frombuffer(x, np.int32)].sum()) if len(x) else 0 for x in numbers]
-                ids = [sha(",".join(map(shown.__getitem__, x)).encode()).hexdigest() for x in numbers]
-                back = [sha(b"".join(map(plain.__getitem__, x))).hexdigest() for x in numbers]
+                if output == "ids":
+                    yield pa.record_batch([b.column(0), pa.array(list(map(mem.ids, numbers)), pa.list_(pa.int32()))], names=["id", "ids"])
+                    continue
+                n = list(map(mem.count, numbers))
+                ids = [sha(",".join(map(mem.shown.__getitem__, x)).encode()).hexdigest() for x in numbers]
+                back = [sha(b"".join(map(mem.plain.__getitem__, x))).hexdigest() for x in numbers]
                 yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            mem.tidy()
 
     kind = df.schema[id_col].dataType.simpleString()
     out = "ids array<int>" if output == "ids" else "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -402,6 +406,7 @@ def encode_documents(df: DataFrame, path: str | None = None, pattern: str = publ
 def decode_documents(df: DataFrame, path: str | None = None, ids: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """(id, text binary): the bytes that each row's ids stand for (null ids: empty)."""
     raw = df.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(RANKS)))
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = memory(raw.value, public_tokenizers.PATTERN).encoder

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import documents, remainder
+from tailwright.llm.session import bounded, documents, remainder
 from tailwright.llm.textkernel import LOWER, blocks
 
 #: Widths of the filters in bytes, and filters of each width.
@@ -193,6 +193,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: list
     sent, key = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     ready = docs.select(*keep, letters.alias("__letters"), F.col(text).cast("binary").alias("__text"))
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _NET:

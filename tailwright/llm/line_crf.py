@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import documents, remainder
+from tailwright.llm.session import bounded, documents, remainder
 from tailwright.llm.textkernel import Block, blocks
 
 #: The field is fitted on about so many labelled documents, chosen by a hash, and on so many first lines of each.
@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Field:
     n = known.count()
     lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(lot < min(1.0, FIT_DOCS / max(1, n))).orderBy("doc_id").limit(2 * FIT_DOCS)
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +188,7 @@ def score(docs: DataFrame, field: Field, keep: list[Column], text: str = "text")
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     ready = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailwright.llm.bpe import parse_ranks, read_ranks
-from tailwright.llm.session import documents
+from tailwright.llm.session import bounded, documents
 from tailwright.llm.textkernel import Block, blocks, windows
 
 #: Vocabulary files: the first one also gives fallback share and entropy.
@@ -151,6 +151,7 @@ def measure(docs: DataFrame, paths: list[str] | None = None, pattern: str = publ
     A null or empty text has no words, fails the base rules, and has zero counts and fertility.
     """
     sent = docs.sparkSession.sparkContext.broadcast([read_ranks(p) for p in paths or map(public_tokenizers.path, VOCABULARIES)])
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = [vocabulary(raw, pattern) for raw in sent.value]

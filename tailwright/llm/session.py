@@ -18,6 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession, rows: int = 2000) -> None:
+    """Has Spark hand Python at most so many rows at once, so that long texts don't fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there and a lost executor costs no work twice."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import documents, remainder
+from tailwright.llm.session import bounded, documents, remainder
 from tailwright.llm.textkernel import Block, blocks
 
 #: The regression is fitted on about so many labelled documents, chosen by a hash, and on so many first bytes of each.
@@ -104,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Ordinal:
     lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(lot < min(1.0, FIT_DOCS / max(1, n))).orderBy("doc_id").limit(2 * FIT_DOCS)
     rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), F.substring(F.col(text).cast("binary"), 1, FIT_BYTES).alias("text"))  # at most 2 * FIT_DOCS ids
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +151,7 @@ def score(docs: DataFrame, model: Ordinal, keep: list[Column], text: str = "text
     toxic and marked (features found) of every whole text, one row out per row in; null and empty texts have none."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ready = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
