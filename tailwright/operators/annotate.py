@@ -46,7 +46,7 @@ def annotate(alignments: DataFrame, annotations: DataFrame, priority: DataFrame,
     last hit with a better rank than the first wins.
     """
     keys = [c for c in alignments.columns]
-    ranked = annotations.join(F.broadcast(priority), "species", "left").withColumn("rnk", F.coalesce("rnk", F.lit(99)))  # a list of classes
+    ranked = annotations.join(priority, "species", "left").withColumn("rnk", F.coalesce("rnk", F.lit(99)))
     pairs = candidates(alignments, ranked, compat)
     anno = F.struct("rnk", "aid", "anno_name", "anno_start", "anno_end", "species")
     if not compat:

@@ -18,7 +18,7 @@ def support(counts: DataFrame, key: list[str], reads: int = READS, compat: bool
     enough = counts.where(F.col("n") >= reads)
     rows = enough if compat else enough.select("grp", "sample", *key).distinct()
     total = counts.select("grp", "sample").distinct().groupBy("grp").agg(F.count("*").alias("total_samples"))
-    return rows.groupBy("grp", *key).agg(F.count("*").alias("samples")).join(F.broadcast(total), "grp")  # one row a group
+    return rows.groupBy("grp", *key).agg(F.count("*").alias("samples")).join(total, "grp")
 
 
 def credible(supported: DataFrame, samples: int = SAMPLES) -> DataFrame:
