@@ -13,9 +13,9 @@ Jaccard as their chance.
 Texts with equal words are one node from the start.  Nodes that agree in all ROWS registers of a band share a
 bucket.  Every member of a bucket is compared with the bucket's leader, the member whose own buckets are the
 largest, which is the nearest thing to the group's original.  Where a bucket still holds several components, its
-members of different components are compared by their registers, block by block inside tasks, and only pairs that
-may reach the limit leave the task; so no pair within a bucket goes unexamined and no group is paired out.  Every
-link is verified on the whole texts.
+members of different components are compared inside tasks, tile by tile: by their registers, then on the whole
+texts.  A link found joins the two components at once, so a task gives out fewer links than it has components; no
+pair within a bucket goes unexamined and no group is paired out.  Every link is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailwright.llm.components import components
-from tailwright.llm.session import documents, table
+from tailwright.llm.session import bounded, documents, table
 from tailwright.llm.textkernel import Block, blocks, mix64, windows
 
 WIDTH, SIMILAR = 5, 0.8
@@ -109,11 +108,12 @@ def text_key(raw: bytes | None) -> bytes:
 
 def signed(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, key, sig, bands) of every row; a text without words has neither registers nor bands."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            for block in blocks(raw, 1 << 20):
+            for block in blocks(raw, 1 << 19):
                 sig, size = signatures(block)
                 bands = bands_of(sig)
                 small = mix64(sig).astype(np.uint16)
@@ -171,7 +171,7 @@ def _probability(pair: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.n
     return np.bincount(pair, 1 / (np.maximum(above, 0) / x + np.maximum(below, 0) / y), minlength=n)
 
 
-def _pair_blocks(left: list[bytes | None], right: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, Block]]:
+def _pair_blocks(left: list[bytes | None], right: list[bytes | None], limit: int = 1 << 19) -> Iterator[tuple[int, Block]]:
     held: list[bytes] = []
     size = at = 0
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
@@ -186,6 +186,7 @@ def _pair_blocks(left: list[bytes | None], right: list[bytes | None], limit: int
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose ``texts(key, text)`` are similar.  Large groups on one key are left to skew joins."""
+    bounded(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,22 +197,40 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _tiles(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one pair of tiles, the pairs of different components whose registers may reach the limit."""
-    sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(-1, REGISTERS)
-    _, code = np.unique(frame["label"].to_numpy(), return_inverse=True)
-    key, part = frame["node"].to_numpy(), frame["part"].to_numpy()
-    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether two texts, as sorted shingles and weights, reach the limit."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return False
+    if len(i) >= SIMILAR * (len(a[0]) + len(b[0]) - len(i)):
+        return True
+    x, y = a[1][i] / a[1].sum(), b[1][j] / b[1].sum()
+    return _probability(np.zeros(len(i), np.int64), x, y, 1)[0] >= SIMILAR
+
+
+def _tiles(rows: pa.Table) -> pa.Table:
+    """Of one pair of tiles, links that join its components."""
+    column = lambda name: rows.column(name).to_pylist()
+    sig = np.frombuffer(b"".join(column("sig")), np.uint16).reshape(-1, REGISTERS)
+    _, label = np.unique(np.array(column("label"), object), return_inverse=True)
+    key, part = column("node"), np.array(column("part"))
+    shingles: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in blocks(column("text"), 1 << 19):
+        doc, h, w = weighted_shingles(block)
+        cut = np.searchsorted(doc, np.arange(block.n + 1))
+        shingles += [(h[x:y].copy(), w[x:y].copy()) for x, y in zip(cut, cut[1:], strict=False)]
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     one, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
     a, b = [], []
     for k in one:
         rest = other[other > k] if i == j else other
-        rest = rest[code[rest] != code[k]]
-        if len(rest):
-            hit = rest[(sig[rest] == sig[k]).mean(1) >= MAYBE]
-            a += [key[k]] * len(hit)
-            b += key[hit].tolist()
-    return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+        rest = rest[label[rest] != label[k]]
+        near = (sig[rest] == sig[k]).mean(1)
+        for m in rest[near >= MAYBE][np.argsort(-near[near >= MAYBE], kind="stable")]:
+            if label[m] != label[k] and _similar(shingles[k], shingles[m]):
+                a.append(key[k]), b.append(key[m])
+                label[label == label[m]] = label[k]
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -231,15 +250,15 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     weighed = members.join(mass, "node").select("bucket", "node", "mass")
     leader = weighed.groupBy("bucket").agg(F.max(F.struct("mass", "node")).alias("lead"))
     pairs = weighed.join(leader, "bucket").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    texts = _texts_of(docs, members.select("node").distinct(), text)
+    texts = table(_texts_of(docs, members.select("node").distinct(), text).join(reps.select("key", "sig"), "key"), "texts")
     links = table(verified(pairs, texts), "links")
     labels = components(links)
     named = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = table(named, "named")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
-    more = table(_open_pairs(named, open_, reps), "pairs")
+    more = table(_open_links(named, open_, texts), "links")
     if not more.isEmpty():
-        labels = components(table(links.unionByName(verified(more, texts)), "links"))
+        labels = components(table(links.unionByName(more), "links"))
     named_nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named_nodes = table(named_nodes, "nodes")
     classes = named_nodes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -249,6 +268,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 def _texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
     """(key, text) of the nodes that share a bucket, one text each."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,17 +281,17 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
 
     keyed = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "key binary, text binary")
     one = keyed.join(keys.withColumnRenamed("node", "key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    return table(one, "texts")
+    return one
 
 
-def _open_pairs(named: DataFrame, open_: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components in buckets that hold several, whose registers may reach the limit."""
+def _open_links(named: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket; each bucket is dealt out as pairs of tiles."""
     parts = F.ceil(F.col("n") / TILE).cast("int")
-    rows = named.join(open_, "bucket").join(reps.select(F.col("key").alias("node"), "sig"), "node")
+    rows = named.join(open_, "bucket").join(texts.withColumnRenamed("key", "node"), "node")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    rows = rows.withColumn("tile", F.explode(tiles)).select("bucket", "node", "label", "sig", "part", "tile.i", "tile.j")
-    return rows.groupBy("bucket", "i", "j").applyInPandas(_tiles, "a binary, b binary").distinct()
+    rows = rows.withColumn("tile", F.explode(tiles)).select("bucket", "node", "label", "sig", "text", "part", "tile.i", "tile.j")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(_tiles, "a binary, b binary").distinct()
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -281,6 +301,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
         kept = found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept"))
         return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
     kept = found.groupBy("class_id").agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("class_id")), F.col("key"))).alias("__key"))
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

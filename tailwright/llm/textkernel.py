@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that one numpy block holds (a longer text has a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
