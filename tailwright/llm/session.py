@@ -29,7 +29,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there and a lost executor costs no work twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tailwright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
