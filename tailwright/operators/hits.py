@@ -71,11 +71,12 @@ def concordance_summary(judged: DataFrame) -> DataFrame:
     return flat.withColumns({"sequences_percent": share("sequences", "mismatch_sequences"), "reads_percent": share("reads", "mismatch_reads")})
 
 
-def stringency(judged: DataFrame, level: int = 1) -> DataFrame:
+def stringency(judged: DataFrame, level: int = 1, compat: bool = False) -> DataFrame:
     """Reads on which both aligners agree, by level.
 
     1: just those.  2: their modifications that also appear in disagreeing reads with a mismatch become none.  3: as 2,
-    and annotations that have a disagreeing perfect read are dropped.  ``judged`` carries site5, site3 and sites.
+    and annotations that have a disagreeing perfect read are dropped.  ``judged`` carries site5, site3 and sites.  ``compat``: internal mismatches are read from the mismatch string
+    again, so that a base taken from an end modification turns up as one of them.
     """
     if level not in (1, 2, 3):
         raise ValueError("level is 1, 2 or 3")
@@ -93,7 +94,7 @@ def stringency(judged: DataFrame, level: int = 1) -> DataFrame:
     gone = lambda s: F.coalesce(F.array_contains("removed", key(s)), F.lit(False))
     gone5, gone3 = gone(F.col("site5")), gone(F.col("site3"))
     any_ = F.exists("sites", gone)
-    return out.select(
+    out = out.select(
         *[c for c in kept.columns if c not in ("nte5", "nte3", "site5", "site3", "sites")],
         F.when(~gone5, F.col("nte5")).alias("nte5"),
         F.when(~gone3, F.col("nte3")).alias("nte3"),
@@ -101,3 +102,4 @@ def stringency(judged: DataFrame, level: int = 1) -> DataFrame:
         F.when(~gone3, F.col("site3")).alias("site3"),
         F.when(any_, F.array().cast(f"array<{M.SITE}>")).otherwise(F.col("sites")).alias("sites"),
     )
+    return out.withColumn("sites", M.internal_sites("strand", "read_start", "seq", "md", "nte5", "nte3", compat)) if compat else out

@@ -59,6 +59,16 @@ def annotation_summary(reads: DataFrame, depth: DataFrame, by: tuple[str, ...] =
     )
 
 
+def with_modifications(summary: DataFrame, counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``summary`` with the modification cells and their totals of ``counts``, which a filter has thinned out; read
+    totals stay as they were."""
+    names = ("total_nte5", "total_nte3", "total_internal", "nte5", "nte3", "internal")
+    new = cells(counts, by).withColumnsRenamed({c: f"new_{c}" for c in names})
+    out = summary.join(new, [*by, "anno_name"], "left")
+    value = lambda c: F.coalesce(f"new_{c}", F.lit(0) if c.startswith("total") else F.lit("0")).alias(c)
+    return out.select(*[value(c) if c in names else F.col(c) for c in summary.columns])
+
+
 def with_sequence(summary: DataFrame, tiles: DataFrame) -> DataFrame:
     """Adds ``anno_sequence`` in RNA orientation from genome tiles; null where the genome has none."""
     found = fetch(summary, tiles, F.col("anno_start"), F.col("anno_end") - F.col("anno_start") + 1, "anno_sequence", how="left")

@@ -17,14 +17,20 @@ def bases(modifications: DataFrame) -> DataFrame:
     return modifications.withColumn("base", F.explode(each)).select("*", "base.*").drop("base")
 
 
-def without_snps(modifications: DataFrame, snps: DataFrame) -> DataFrame:
+def without_snps(modifications: DataFrame, snps: DataFrame, compat_order: str | None = None) -> DataFrame:
     """``modifications`` without those of which any base is in ``snps(chrom, pos, ref, alt)``.
 
     Place and alleles are the join key, so only keys travel; SNP tables partitioned by chromosome are pruned.
+    With ``compat_order``, a column that gives the order of annotations, the first annotation of each chromosome keeps
+    all that it has.
     """
     known = snps.select("chrom", F.col("pos").alias("snp_pos"), F.col("ref").alias("snp_ref"), F.col("alt").alias("snp_alt"))
     hit = bases(modifications.select(*KEY).distinct()).join(known, ["chrom", "snp_pos", "snp_ref", "snp_alt"], "left_semi").select(*KEY).distinct()
-    return modifications.join(hit, KEY, "left_anti")
+    if compat_order is None:
+        return modifications.join(hit, KEY, "left_anti")
+    first = modifications.groupBy("chrom").agg(F.min_by("anno_name", compat_order).alias("first"))
+    marked = modifications.join(hit.withColumn("known", F.lit(True)), KEY, "left").join(first, "chrom")
+    return marked.where(F.col("known").isNull() | (F.col("anno_name") == F.col("first"))).select(*modifications.columns)
 
 
 def without_zygous(modifications: DataFrame, totals: DataFrame, least: int = 100, most: int = 100, by: tuple[str, ...] = ("anno_name",)) -> DataFrame:

@@ -61,7 +61,7 @@ class Pipeline:
         s = self.settings
         if self.hits is None:
             return self.annotated
-        return hits.stringency(hits.concordance(self.annotated, self.hits, s.species, s.compat), s.level)
+        return hits.stringency(hits.concordance(self.annotated, self.hits, s.species, s.compat), s.level, s.compat)
 
     @cached_property
     def canonical(self) -> DataFrame:
@@ -84,6 +84,11 @@ class Pipeline:
             out = phred.recount(self.canonical, out, self.fastq, s.quality, compat=s.compat)
         return out
 
+    @cached_property
+    def filtered_summary(self) -> DataFrame:
+        """The summary with what is left of its modifications."""
+        return summary.with_modifications(self.summary, self.modifications)
+
 
 def cohort_profiles(samples: dict[tuple[str, str], DataFrame], settings: Settings | None = None) -> dict[str, DataFrame]:
     """From modification counts by (grp, sample): support, credible counts, and the wide tables of the latter."""

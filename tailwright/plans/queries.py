@@ -292,6 +292,14 @@ def stringency_l3(spark, d):
     return hits.stringency(judged(spark, d), 3).select("read_id", "anno_name", M.zero_if_none(F.col("nte3")).alias("nte3"))
 
 
+@query("""select j.read_id, case when b.p_from is null then 0 else j.k end internal
+from judged j left join (select distinct chrom, strand, p_from, p_to, nte3_ref, nte3 from judged where consensus <> 'CORRECT' and nm <> 0) b
+  on b.chrom = j.chrom and b.strand = j.strand and b.p_from = j.p_from and b.p_to = j.p_to and b.nte3_ref = j.nte3_ref and b.nte3 = j.nte3
+where j.consensus = 'CORRECT'""")
+def stringency_l2_compat(spark, d):
+    return hits.stringency(judged(spark, d), 2, compat=True).select("read_id", F.size("sites").alias("internal"))
+
+
 # Canonical ends
 
 CANONICAL = """, ends as (select anno_name, case when strand = '+' then read_end - k else read_start + k end pos, cast(sum(abundance) as bigint) c from ann group by 1, 2),
@@ -328,15 +336,35 @@ def anno_summary(spark, d):
     return summary.annotation_summary(profiled(spark, d), depth(spark, d))
 
 
-@query("""select anno_name, p_from pos_from, p_to pos_to, ref, alt, n from mods m where not exists (
+NOT_SNP = """not exists (
   select 1 from snp s, (values (0), (1)) t(i) where i < length(m.alt) and s.chrom = m.chrom
     and s.pos = case when m.strand = '+' then m.p_from + i else m.p_from - i end
     and s.ref = case when m.strand = '+' then substr(m.ref, i + 1, 1) else translate(substr(m.ref, i + 1, 1), 'ACGT', 'TGCA') end
-    and s.alt = case when m.strand = '+' then substr(m.alt, i + 1, 1) else translate(substr(m.alt, i + 1, 1), 'ACGT', 'TGCA') end)""")
+    and s.alt = case when m.strand = '+' then substr(m.alt, i + 1, 1) else translate(substr(m.alt, i + 1, 1), 'ACGT', 'TGCA') end)"""
+
+
+@query("select anno_name, p_from pos_from, p_to pos_to, ref, alt, n from mods m where " + NOT_SNP)
 def snp_filter(spark, d):
     return variants.without_snps(modifications(spark, d), bridge(spark, d, "snp")).select("anno_name", "pos_from", "pos_to", "ref", "alt", "n")
 
 
+@query("""select anno_name, p_from pos_from, alt, n from mods m where (anno_name = (select arg_min(f.anno_name, f.aid) from mods f where f.chrom = m.chrom)) or """ + NOT_SNP)
+def snp_filter_compat(spark, d):
+    order = bridge(spark, d, "anno").select("anno_name", "aid")
+    m = modifications(spark, d).join(order, "anno_name")
+    return variants.without_snps(m, bridge(spark, d, "snp"), compat_order="aid").select("anno_name", "pos_from", "alt", "n")
+
+
+@query("""select a.anno_name, cast(sum(a.abundance) as bigint) total_reads, coalesce(max(x.total), 0) total_nte3, coalesce(max(x.cell), '0') nte3
+from ann a left join (select anno_name, cast(sum(n) as bigint) total, string_agg(t, '|' order by t) cell from (
+    select anno_name, n, concat(case when p_from = p_to then cast(p_from as varchar) else concat(p_from, '-', p_to) end, ':', ref, '>', alt, ':', n) t from mods m where """ + NOT_SNP + """) y group by anno_name) x
+  on x.anno_name = a.anno_name group by a.anno_name""")
+def summary_without_snps(spark, d):
+    whole = summary.annotation_summary(profiled(spark, d), depth(spark, d))
+    left = variants.without_snps(modifications(spark, d), bridge(spark, d, "snp"))
+    return summary.with_modifications(whole, left).select("anno_name", "total_reads", "total_nte3", "nte3")
+
+
 ZYGOUS = """, total as (select anno_name, cast(sum(abundance) as bigint) reads from ann group by anno_name) """
 
 
