@@ -15,7 +15,7 @@ from tailwright.functions.sequence import md_render, reverse_complement, trim
 #: Bases of a tile's own; it also holds the next MARGIN ones, so that a read that begins in it lies inside.
 TILE, MARGIN = 1000, 200
 SEED = 10
-#: Rounds of trimming: (order, bases off the 5' end, bases off the 3' end, name).
+#: Rounds of trimming, in their fixed order: (order, bases off the 5' end, bases off the 3' end, name).
 ROUNDS = [(0, 0, 0, "init-mapping-0"), (1, 0, 1, "three-trim-1"), (2, 0, 2, "three-trim-2"), (3, 1, 0, "five-trim-1"), (4, 2, 0, "five-trim-2"), (5, 1, 1, "both-trim-1")]
 #: A resolved alignment has fewer mismatches than this besides its end modifications.
 INTERNAL_LIMIT = 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tailwright.functions import modifications as M
 
+#: The verdict that filters keep; it and the other verdicts below are fixed values.
 CORRECT = "CORRECT"
 
 
@@ -56,6 +57,7 @@ def concordance(annotated: DataFrame, hits: DataFrame, species: str = "mirna", c
     return reads.join(state, keys, "left").withColumn("consensus", verdict).withColumn("alt_locus", alt).drop("hits", "same", "one")
 
 
+#: Rows of the summary and the verdicts they count: fixed values.
 RESULTS = [("Correct", "uniq", CORRECT), ("Correct", "multimapped", "SAME-MULTIMAPP"), ("Different", "multimapped", "DIFF-MULTIMAPP"), ("Different", "uniq", "DIFF-UNIQ"), ("None", "None", "NO_BLAT_RESULT")]
 
 

@@ -68,6 +68,7 @@ def sam(spark: SparkSession, path: Paths) -> DataFrame:
     return out.withColumn("read_end", F.col("read_start") + F.length("seq") - 1)
 
 
+#: Places of the fields in alignments with end modifications: fixed values.
 NTE_SAM = {0: ("read_id", "string"), 1: ("flag", "int"), 2: ("chrom", "string"), 3: ("read_start", "long"), 6: ("trim_step", "string"), 7: ("nte5", "string"), 8: ("nte3", "string"), 9: ("seq", "string"), 12: ("md", "string"), 13: ("nm", "string")}
 
 
@@ -120,6 +121,7 @@ def priority(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(x[-1], k) for k, x in enumerate(lines)], "species string, rnk int")
 
 
+#: Columns of annotated reads, in file order: fixed values.
 OVERLAP = ["chrom", "strand", "read_start", "read_end", "read_id", "nte5", "nte3", "nm", "md", "seq", "anno_name", "anno_chrom", "anno_start", "anno_end", "species", "nte5_profile", "nte3_profile", "internal_profile", "internal", "consensus", "alt_locus"]
 _LONGS = {"read_start", "read_end", "anno_start", "anno_end"}
 
@@ -131,6 +133,7 @@ def annotated_reads(spark: SparkSession, path: Paths) -> DataFrame:
     return rows.select(*zero, tag_value("nm").cast("int").alias("nm"), tag_value("md").alias("md"), abundance("read_id").alias("abundance"))
 
 
+#: The 21 columns of the PSL format, with types: fixed values.
 PSL = ["matches:int", "mismatches:int", "rep_matches:int", "n_count:int", "q_num_insert:int", "q_base_insert:int", "t_num_insert:int", "t_base_insert:int", "strand:string", "q_name:string", "q_size:int", "q_start:int", "q_end:int", "t_name:string", "t_size:long", "t_start:long", "t_end:long", "block_count:int", "block_sizes:string", "q_starts:string", "t_starts:string"]
 
 
@@ -150,6 +153,7 @@ def bed(spark: SparkSession, path: Paths) -> DataFrame:
     return _fields(spark, path, BED, r"^#|^track|^browser", "\t")
 
 
+#: Places of the fields in the best-hit table: fixed values.
 HITS = {0: ("chrom", "string"), 1: ("t_start", "long"), 2: ("t_end", "long"), 3: ("read_id", "string"), 4: ("q_size", "int"), 7: ("strand", "string"), 8: ("q_start", "int"), 9: ("q_end", "int")}
 
 
@@ -164,6 +168,7 @@ def snps(spark: SparkSession, path: Paths) -> DataFrame:
     return rows.select("chrom", "pos", F.split_part("change", F.lit(">"), F.lit(1)).alias("ref"), F.split_part("change", F.lit(">"), F.lit(2)).alias("alt"), "source")
 
 
+#: Columns of the annotation summary, in file order: fixed values.
 SUMMARY = ["anno_name", "species", "chrom", "strand", "anno_start", "anno_end", "anno_sequence", "total_reads", "perfect_reads", "mismatch_reads", "rpm", "total_nte5", "total_nte3", "total_internal", "nte5", "nte3", "internal"]
 _SUMMARY_LONGS = {"anno_start", "anno_end", "total_reads", "perfect_reads", "mismatch_reads", "total_nte5", "total_nte3", "total_internal"}
 

@@ -35,7 +35,10 @@ def nte_sam(alignments: DataFrame) -> DataFrame:
 
 
 def annotated_reads(reads: DataFrame) -> DataFrame:
-    """Reads with annotation, profiles and, if there, the verdict of the second aligner."""
+    """Reads with annotation, profiles and, if there, the verdict of the second aligner.
+
+    The header names are fixed values, although two of them don't say what the columns hold.
+    """
     zero = lambda c: M.zero_if_none(F.col(c)).alias(c)
     out = reads.select(
         F.col("chrom").alias("#chr"), "strand", F.col("read_start").alias("start"), F.col("read_end").alias("end"), F.col("read_id").alias("ID"), zero("nte5"), zero("nte3"),
