@@ -86,3 +86,14 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
             got = stage(spark, docs, str(tmp_path))
             assert name == "encode" or got.columns == odd.columns
             assert got.count() <= docs.count()
+
+
+def test_tables_are_read_again_and_dropped(spark):
+    from tailwright.llm.session import drop_tables, shared_dir, table
+
+    made = table(spark.range(5).withColumnRenamed("id", "doc_id"), "numbers")
+    assert made.count() == 5 and "tailwright/numbers" in made.inputFiles()[0]
+    drop_tables(spark)
+    import os
+
+    assert not os.path.exists(shared_dir(spark).removeprefix("file://") + "/tailwright")
