@@ -21,6 +21,7 @@ import heapq
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 from typing import Any
 
@@ -35,9 +36,9 @@ from tailwright.llm.session import bounded, documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose distinct pre-tokens are encoded together.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts afresh (results stay the same).
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: A pre-token of more bytes is merged on its own.
 LONG = 192
 
@@ -87,7 +88,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
         self.n = max(ranks.values()) + 1
-        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, rank = array("q"), array("q"), array("q")
         get = ranks.get
         for token, r in ranks.items():
@@ -96,10 +97,9 @@ class Encoder:
                 if a is not None and (b := get(token[cut:])) is not None:
                     left.append(a), right.append(b), rank.append(r)
         keys = np.array(left, np.int64) * self.n + np.array(right, np.int64)
-        self.pairs = dict(zip(keys.tolist(), rank, strict=True))
         self.bits = max(4, int(len(keys) * 3).bit_length())
         self.slot_key = np.full((1 << self.bits) + 64, -1, np.int64)
-        self.slot_rank = np.full(len(self.slot_key), -1, np.int64)
+        self.slot_rank = np.full(len(self.slot_key), -1, np.int32)
         at = self._slot(keys)
         todo = np.arange(len(keys))
         while len(todo):
@@ -110,14 +110,20 @@ class Encoder:
             todo = np.setdiff1d(todo, placed, assume_unique=True)
             at[todo] += 1
             if len(todo) and at[todo].max() >= len(self.slot_key):
-                self.slot_key, self.slot_rank = np.append(self.slot_key, np.full(64, -1)), np.append(self.slot_rank, np.full(64, -1))
+                self.slot_key, self.slot_rank = np.append(self.slot_key, np.full(64, -1)), np.append(self.slot_rank, np.full(64, -1, np.int32))
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same table as a dict, for one pre-token at a time."""
+        full = self.slot_key >= 0
+        return dict(zip(self.slot_key[full].tolist(), self.slot_rank[full].tolist(), strict=True))
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
-        key = left * self.n + right
+        key = left.astype(np.int64) * self.n + right
         at = self._slot(key)
         found = self.slot_key[at]
         out = np.where(found == key, self.slot_rank[at], -1)
@@ -185,14 +191,14 @@ class Encoder:
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
         sym = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        word = np.repeat(np.arange(len(pieces)), size)
-        after = np.arange(1, total + 1)
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        after = np.arange(1, total + 1, dtype=np.int32)
         after[end - 1] = -1
-        before = np.arange(-1, total - 1)
+        before = np.arange(-1, total - 1, dtype=np.int32)
         before[end - size] = -1
         alive = np.ones(total, bool)
-        queued = np.full(total, -1, np.int64)
-        inner = np.flatnonzero(after >= 0)
+        queued = np.full(total, -1, np.int32)
+        inner = np.flatnonzero(after >= 0).astype(np.int32)
         queued[inner] = self.rank_of(sym[inner], sym[inner + 1])
         queue = RankQueue(self.n)
 
@@ -202,7 +208,7 @@ class Encoder:
             at, rank = at[ok], rank[ok]
             if len(at) <= 6:
                 for r, i in zip(rank.tolist(), at, strict=True):
-                    queue.put(r, np.array([i]))
+                    queue.put(r, np.array([i], np.int32))
                 return
             order = np.argsort(rank, kind="stable")
             at, rank = at[order], rank[order]
