@@ -8,6 +8,7 @@ sequence.  Gzip files are one range each.
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -75,7 +76,7 @@ class FastqReader(DataSourceReader):
             with system.open_input_stream(path, compression=None) as raw, gzip.open(raw) as f:
                 yield from _records(iter(f.readline, b""), path)
             return
-        with system.open_input_file(path) as f:
+        with io.BufferedReader(system.open_input_file(path)) as f:
             f.seek(_first_record(f, part.start))
 
             def lines() -> Iterator[bytes]:

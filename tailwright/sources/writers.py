@@ -16,7 +16,7 @@ from tailwright.sources.readers import SUMMARY
 
 def tsv(df: DataFrame, path: str, header: bool = True, by: tuple[str, ...] = (), mode: str = "error") -> None:
     """Tab-separated, without quoting or escaping, as quotes and backslashes are legal quality signs."""
-    w = df.write.mode(mode).option("sep", "\t").option("quote", "").option("escape", "").option("emptyValue", "").option("header", header)
+    w = df.write.mode(mode).option("sep", "\t").option("quote", "").option("escape", "").option("emptyValue", "").option("comment", "\x01").option("header", header)
     (w.partitionBy(*by) if by else w).csv(path)
 
 
