@@ -100,6 +100,31 @@ def test_each_context_is_a_distribution():
     assert np.allclose((10.0**model.log10).sum(1), 1, atol=1e-4)
 
 
+def test_scores_do_not_depend_on_what_is_sent(spark, monkeypatch):
+    rng = random.Random(31)
+    texts = [prose(rng, 40, ["en", "de", "fr"][k % 3]) for k in range(40)] + ["", None, "zq#\x00 \x01 ÿ" * 4]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [(t or "").encode() for t in texts]
+    train = [t for k, t in enumerate(raw) if k % 5]
+    for most in (0, 40, 10**6):
+        monkeypatch.setattr(ppm, "MAX_GRAMS", most)
+        monkeypatch.setattr(ppm, "TRIE_ROWS", 300)
+        got = {r.doc_id: r.score for r in ppm.score_documents(d, F.col("doc_id") % 5 == 0).collect()}
+        assert len(got) == len(texts)
+        for k, t in enumerate(raw):
+            assert got[k] == pytest.approx(slow_ppm(train, t), rel=1e-9)
+
+
+def test_every_context_of_a_large_corpus_counts(spark):
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    texts = [" ".join(word() for _ in range(350)) for _ in range(60)]  # over 100,000 contexts
+    raw = [t.encode() for t in texts]
+    assert len({raw[k][i : i + n] for k in range(60) for i in range(len(raw[k])) for n in range(6)}) > 100_000
+    got = {r.doc_id: r.score for r in ppm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False)).where("doc_id = 7").collect()}
+    assert got[7] == pytest.approx(slow_ppm(raw, raw[7]), rel=1e-5)
+
+
 # 2
 
 
