@@ -2,7 +2,7 @@
 
 Passages are 24 words long and begin every 12 words, in documents and in benchmark items alike; items of fewer
 than 36 words are looked for by passages of 12 words every 6.  Their vectors hold TF-IDF weights of the benchmark's terms, with
-document frequencies over all documents; terms of more than a tenth of them weigh nothing.  A randomised SVD of the
+document frequencies over all documents; every term weighs something, however common it is.  A randomised SVD of the
 passages of a sample of documents (range finder with one power iteration, products summed over tasks) gives latent
 directions; every passage of every document whose weights could reach the limit is projected and compared with all
 item passages by cosine.  Neighbouring hits form a segment, and the longest common subsequence of its words with the
@@ -29,8 +29,8 @@ UNIT = 6
 LONG_SCALE, SHORT_SCALE = (4, 2), (2, 1)
 #: Items of fewer words are searched for at the short scale, where a passage lies at most three words off.
 LONG_ITEM = 36
-#: Terms of a larger share of the documents weigh nothing.
-STOP_SHARE = 0.1
+#: Least weight of a term, that of one in every document.
+LEAST_IDF = 0.1
 #: Latent directions, and further ones that the range finder carries.
 RANK, SPARE = 64, 16
 #: The directions are fitted on about so many documents, chosen by a hash of the text, and so many first bytes of each.
@@ -44,6 +44,8 @@ WEIGHT, WEIGHT_WITH_ANSWER = 0.5, 0.65
 SHORT = 8
 #: Least share of an item passage's IDF weight that a candidate passage must have in the item's terms.
 SHARED = 0.3
+#: Words of a candidate passage, the heaviest ones, that are looked up before the others are.
+FRONT = 6
 #: Items that are searched for together; more of them are searched for in turns.
 ITEMS = 1000
 
@@ -278,13 +280,18 @@ def search(block: Block, items: Items, basis: np.ndarray, idf: np.ndarray, queri
             at = begin[own][:, None] + np.arange(units * UNIT)
             t = np.where(at < end[own][:, None], term[np.minimum(at, len(term) - 1)], -1)
             value = np.where(t >= 0, idf[t], 0)
-            # most words are common or in no item: the others go first, and the rest of the row is left off
+            # words in no item weigh nothing: the others go first, and the rest of the row is left off
             front = np.argsort(-value, axis=1, kind="stable")
             t, value = np.take_along_axis(t, front, 1), np.take_along_axis(value, front, 1)
             width = max(1, int((value > 0).sum(1).max()))
             t, value = t[:, :width], value[:, :width]
-            shared = (items.member[t[x], of[y][:, None]] * value[x]).sum(1)
-            ok = shared >= SHARED * weight[y]
+            need = SHARED * weight[y]
+            shared = (items.member[t[x, :FRONT], of[y][:, None]] * value[x, :FRONT]).sum(1)
+            # the words left can add no more than they weigh
+            maybe = np.flatnonzero(shared + value[:, FRONT:].sum(1)[x] >= 0.999 * need)
+            x, y, flat, shared, need = x[maybe], y[maybe], flat[maybe], shared[maybe], need[maybe]
+            shared += (items.member[t[x, FRONT:], of[y][:, None]] * value[x, FRONT:]).sum(1)
+            ok = shared >= need
             if ok.any():
                 hits.append(np.stack([own[x[ok]], of[y[ok]], c.ravel()[flat[ok]]]))
         if not hits:
@@ -327,7 +334,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Itera
         if not len(items.begin):
             continue
         df, n_docs = document_frequencies(base, items)
-        idf = np.where(df > STOP_SHARE * max(n_docs, 20), 0, np.log((n_docs + 20) / (df + 1))).astype(np.float32)
+        idf = (np.log((n_docs + 20) / (df + 1)) + LEAST_IDF).astype(np.float32)
         basis = directions(base, items, idf, n_docs)
         yield spark.sparkContext.broadcast((items, basis, idf, items.queries(basis, idf)))
 

@@ -412,6 +412,23 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark):
     assert kept == {k for k, _ in rows} - {k for k, _ in got}
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_an_item_in_many_documents_is_found(spark, every):
+    rng = random.Random(33)
+    items = [prose(rng, 50), prose(rng, 20), prose(rng, 45)]
+    rows, want = [], set()
+    for k in range(60):
+        t = prose(rng, 150).split(" ")
+        for i in (0, 1):
+            if k % every == 0:
+                t[40 + 60 * i : 40 + 60 * i] = items[i].split(" ")
+                want.add((k, i))
+        rows.append((k, " ".join(t)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_many_items_go_in_turns(spark, monkeypatch):
     rng = random.Random(15)
     items = [prose(rng, 40) for _ in range(12)]
