@@ -3,7 +3,7 @@
 Passages are 24 words long and begin every 12 words, in documents and in benchmark items alike; items of fewer
 than 36 words are looked for by passages of 12 words every 6.  Their vectors hold TF-IDF weights of the benchmark's terms, with
 document frequencies over all documents; every term weighs something, however common it is.  A randomised SVD of the
-passages of a sample of documents (range finder with one power iteration, products summed over tasks) gives latent
+passages of all documents (range finder with one power iteration, products summed over tasks) gives latent
 directions; every passage of every document whose weights could reach the limit is projected and compared with all
 item passages by cosine.  Neighbouring hits form a segment, and the longest common subsequence of its words with the
 item's decides: a leak has 0.7 of the item in order, or half of it together with 0.8 of its last sentence, the answer.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tailwright.llm.session import bounded, documents, table
+from tailwright.llm.session import bounded, documents
 from tailwright.llm.textkernel import Block, bare, blocks
 
 #: Words of a unit; passages are whole units: (units, units between beginnings).
@@ -33,8 +33,8 @@ LONG_ITEM = 36
 LEAST_IDF = 0.1
 #: Latent directions, and further ones that the range finder carries.
 RANK, SPARE = 64, 16
-#: The directions are fitted on about so many documents, chosen by a hash of the text, and so many first bytes of each.
-FIT_DOCS, FIT_BYTES = 6000, 16_000
+#: Terms whose sums are added up in one group.
+PART = 256
 #: Least cosine of a candidate.
 COSINE = 0.5
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.8
@@ -203,35 +203,44 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
     return out, int(df[term < 0].sum())
 
 
-def gram(term: np.ndarray, begin: np.ndarray, end: np.ndarray, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A'(A q) for the passages' TF-IDF rows A, each of length about one."""
-    size = end - begin
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    row = np.repeat(np.arange(len(begin)), size)
-    ok = term[at] >= 0
-    t, row = term[at][ok], row[ok]
+def gram(term: np.ndarray, first: np.ndarray, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A'(A q) for the TF-IDF rows A of all long passages of the texts, each of length one.
+
+    A word's share is that of its unit, and a unit's the sum over the passages that hold it.
+    """
     out = np.zeros(q.shape, np.float32)
-    if not len(t):
+    latent, square, slot = project(term, first, q, idf)
+    units = LONG_SCALE[0]
+    _, _, doc, unit = passages(first)
+    at = slot[doc] + unit
+    back = np.zeros_like(latent)
+    z = gathered(latent, at, units) / np.maximum(gathered(square, at, units), 1e-9).astype(np.float32)[:, None]
+    for k in range(units):
+        back[at + k] += z
+    own = np.flatnonzero(term >= 0)
+    if not len(own):
         return out
-    w = idf[t] / np.sqrt(np.maximum(np.bincount(row, idf[t] ** 2, minlength=len(begin)), 1e-9))[row]
-    w = w.astype(np.float32)
-    new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    z = np.add.reduceat(q[t] * w[:, None], new, axis=0)
-    back = np.cumsum(np.concatenate(([False], row[1:] != row[:-1])))
-    order = np.argsort(t, kind="stable")
-    t, share = t[order], z[back[order]] * w[order][:, None]
+    text = np.searchsorted(first, own, side="right") - 1
+    unit = slot[text] + (own - first[text]) // UNIT
+    order = np.argsort(term[own], kind="stable")
+    t, unit = term[own][order], unit[order]
     new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    out[t[new]] = np.add.reduceat(share, new, axis=0)
+    out[t[new]] = np.add.reduceat(back.take(unit, axis=0), new, axis=0) * idf[t[new], None]
     return out
 
 
-def directions(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int) -> np.ndarray:
-    """The leading right singular directions (terms, RANK), by a randomised SVD over a bounded sample and all items."""
+def _added(rows: pa.Table) -> pa.Table:
+    """One row of sums for the rows of a part."""
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column("y").to_pylist())
+    return pa.table({"part": rows.column("part")[:1], "y": pa.array([total.tobytes()], pa.binary())})
+
+
+def directions(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
+    """The leading right singular directions (terms, RANK) of all passages of all documents and items, by a randomised
+    SVD; what the tasks have is added up in the executors, so that the driver gets one row for PART terms."""
     n = len(items.terms.keys)
     width = min(RANK + SPARE, n)
-    lot = F.pmod(F.xxhash64(F.col("text"), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.where(lot < min(1.0, FIT_DOCS / max(1, n_docs))).select(F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).alias("text"))
-    fit = table(chosen.coalesce(16), "lsi")
+    fit = docs.select(F.col("text").cast("binary").alias("text"))
     sc = docs.sparkSession.sparkContext
     terms = sc.broadcast(items.terms)
     q = np.random.default_rng(3).normal(size=(n, width)).astype(np.float32)
@@ -244,17 +253,20 @@ def directions(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int) -> n
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q, idf = sent.value
-            total = np.zeros(q.shape, np.float32)
+            total, some = np.zeros(q.shape), False
             for batch in batches:
                 for block in blocks(batch.column(0).to_pylist(), 1 << 19):
                     h, first = word_hashes(block)
-                    begin, end, _, _ = passages(first)
-                    total += gram(terms.value.number(h), begin, end, q, idf)
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["y"])
-
-        y = gram(items.term, items.begin, items.end, q, idf)
-        for r in fit.mapInArrow(run, "y binary").toLocalIterator():  # at most 16 of them
-            y = y + np.frombuffer(bytes(r["y"]), np.float32).reshape(y.shape)
+                    total += gram(terms.value.number(h), first, q, idf)
+                    some = True
+            if some:
+                parts = range(0, len(q), PART)
+                yield pa.record_batch([pa.array([a // PART for a in parts], pa.int32()), pa.array([total[a : a + PART].astype(np.float32).tobytes() for a in parts], pa.binary())], names=["part", "y"])
+
+        y = gram(items.term, items.first, q, idf).astype(np.float64)
+        for r in fit.mapInArrow(run, "part int, y binary").groupBy("part").applyInArrow(_added, "part int, y binary").collect():
+            own = slice(r["part"] * PART, r["part"] * PART + PART)
+            y[own] += np.frombuffer(bytes(r["y"])).reshape(-1, width)
     value, vector = np.linalg.eigh(((g := q.T @ y) + g.T) / 2)
     return np.ascontiguousarray(q @ vector[:, ::-1][:, :RANK], np.float32)
 
@@ -335,7 +347,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Itera
             continue
         df, n_docs = document_frequencies(base, items)
         idf = (np.log((n_docs + 20) / (df + 1)) + LEAST_IDF).astype(np.float32)
-        basis = directions(base, items, idf, n_docs)
+        basis = directions(base, items, idf)
         yield spark.sparkContext.broadcast((items, basis, idf, items.queries(basis, idf)))
 
 

@@ -429,6 +429,36 @@ def test_an_item_in_many_documents_is_found(spark, every):
     assert got == want
 
 
+def test_directions_are_those_of_all_passages(spark):
+    rng = random.Random(34)
+    items = decontaminate.Items([{"item_id": k, "text": prose(rng, 40)} for k in range(12)])
+    # only the ends of long texts hold items' words
+    texts = ["zz " * 8000 + prose(rng, 100) for _ in range(30)]
+    texts += [texts[0]] * 10 + [prose(rng, 100) for _ in range(20)]
+    assert len("zz " * 8000) > 16_000
+    idf = np.linspace(0.2, 3, len(items.terms.keys)).astype(np.float32)
+    rows = []
+    for t in texts:
+        h, first = decontaminate.word_hashes(Block([t.encode()], 0))
+        rows.append((items.terms.number(h), first))
+    rows.append((items.term, items.first))
+    a = []
+    for term, first in rows:
+        begin, end, _, _ = decontaminate.passages(first)
+        for x, y in zip(begin, end, strict=True):
+            own = term[x:y]
+            v = np.bincount(own[own >= 0], idf[own[own >= 0]], minlength=len(idf))
+            # a passage's length is taken over its words, one by one
+            a.append(v / max(1e-9, math.sqrt((idf[own[own >= 0]] ** 2).sum())))
+    a = np.array(a)
+    q = np.random.default_rng(5).normal(size=(len(idf), 9)).astype(np.float32)
+    got = sum(decontaminate.gram(term, first, q, idf) for term, first in rows)
+    assert np.allclose(got, a.T @ (a @ q), rtol=1e-3, atol=1e-3)
+    basis = decontaminate.directions(spark.createDataFrame([(t,) for t in texts], "text string"), items, idf)
+    best = np.sort(np.linalg.eigvalsh(a.T @ a))[::-1][: basis.shape[1]].sum()
+    assert np.trace(basis.T @ (a.T @ a) @ basis) > 0.97 * best
+
+
 def test_many_items_go_in_turns(spark, monkeypatch):
     rng = random.Random(15)
     items = [prose(rng, 40) for _ in range(12)]
