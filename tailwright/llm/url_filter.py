@@ -25,8 +25,6 @@ RULES = [
 ]
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; deeper segments share one ``**``.
-DEPTH = 4
 #: A literal branch of fewer pages becomes a wildcard.
 MIN_BRANCH = 5
 #: Sibling branches within this many standard errors of their parent are merged.
@@ -72,33 +70,44 @@ def shape(segment: Column) -> Column:
 
 
 def path_shape(path: Column) -> Column:
-    """The first levels of the path, generalised, as one string like ``/en/<n>``."""
+    """The path, generalised, as one string like ``/en/<n>``."""
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
-    return F.concat_ws("/", F.lit(""), F.slice(parts, 1, DEPTH), F.when(F.size(parts) > DEPTH, F.lit("**")))
+    return F.concat_ws("/", F.lit(""), parts)
 
 
 def templates(leaves: DataFrame) -> DataFrame:
     """Maps each (host, shape) of ``leaves(host, shape, n, labelled, good)`` to its ``template`` and ``purity``.
 
     Level by level: a rare literal becomes ``*``; then a branch that is statistically like its siblings taken
-    together joins them under ``<any>`` if they have labels to be compared by.
+    together joins them under ``<any>`` if they have labels to be compared by.  It goes on until no branch has further
+    segments; a shape alone in its branch has no siblings to come and is named to its end at once.
     """
     t = leaves.withColumns({"parts": F.filter(F.split("shape", "/"), lambda s: s != ""), "template": F.lit("")})
-    for k in range(DEPTH + 1):
+    named = lambda seg, n: F.when((n < MIN_BRANCH) & ~seg.startswith("<"), F.lit("*")).otherwise(seg)
+    ended: list[DataFrame] = []
+    k = 0
+    while not ended or not t.isEmpty():
         seg = F.coalesce(F.try_element_at("parts", F.lit(k + 1)), F.lit(None).cast("string"))
         t = t.withColumn("seg", seg)
-        branch = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("bn"), F.sum("labelled").alias("bl"), F.sum("good").alias("bg"))
-        branch = branch.withColumn("name", F.when(F.col("seg").isNull(), F.lit(None)).when((F.col("bn") < MIN_BRANCH) & ~F.col("seg").startswith("<"), F.lit("*")).otherwise(F.col("seg")))
-        parent = branch.groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(F.sum("bl").alias("pl"), F.sum("bg").alias("pg"), F.count("name").alias("kinds"))
+        branch = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("bn"), F.sum("labelled").alias("bl"), F.sum("good").alias("bg"), F.count("*").alias("shapes"))
+        branch = branch.withColumn("name", F.when(F.col("seg").isNull(), F.lit(None)).otherwise(named(F.col("seg"), F.col("bn"))))
+        parent = branch.groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(F.sum("bl").alias("pl"), F.sum("bg").alias("pg"), F.count("name").alias("kinds"), F.sum("shapes").alias("shapes_in"))
         b = branch.join(parent, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")))
         rate = F.try_divide(F.col("pg"), F.col("pl"))
         z = F.abs(F.try_divide(F.col("bg"), F.col("bl")) - rate) / F.sqrt((rate * (1 - rate) + 1e-9) / F.col("bl"))
         alike = (F.col("kinds") > 1) & (F.col("bl") > 0) & (z <= SIMILAR_Z) & F.col("name").isNotNull()
-        b = b.select(F.col("host").alias("bh"), F.col("template").alias("bt"), F.col("seg").alias("bs"), F.when(alike, F.lit("<any>")).otherwise(F.col("name")).alias("name"))
+        b = b.select(F.col("host").alias("bh"), F.col("template").alias("bt"), F.col("seg").alias("bs"), F.when(alike, F.lit("<any>")).otherwise(F.col("name")).alias("name"), (F.col("shapes_in") == 1).alias("alone"))
+        rest = F.transform(F.slice("parts", k + 2, F.greatest(F.size("parts"), F.lit(1))), lambda s: named(s, F.col("n")))
         t = t.join(b, (F.col("host") == F.col("bh")) & (F.col("template") == F.col("bt")) & F.col("seg").eqNullSafe(F.col("bs"))).select(
-            "host", "shape", "n", "labelled", "good", "parts", F.concat_ws("/", "template", F.col("name")).alias("template")
+            "host", "shape", "n", "labelled", "good", "parts", F.concat_ws("/", "template", F.col("name"), F.when(F.col("alone"), rest)).alias("template"), (F.col("alone") | F.col("seg").isNull()).alias("ended")
         )
         t = table(t, "templates")
+        ended.append(t.where("ended").drop("ended"))
+        t = t.where("not ended").drop("ended")
+        k += 1
+    t = ended[0]
+    for more in ended[1:]:
+        t = t.unionByName(more)
     total = t.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("all_share"))
     host = t.groupBy(F.col("host").alias("hh")).agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl")).crossJoin(F.broadcast(total))  # one row
     host = host.select("hh", ((F.col("hg") + SMOOTHING * F.col("all_share")) / (F.col("hl") + SMOOTHING)).alias("host_share"))

@@ -325,6 +325,21 @@ def test_templates_by_purity(spark):
     assert (got[k + 1].verdict, got[k + 1].template, got[k + 2].verdict, got[k + 3].verdict, got[k + 4].rule) == ("block", "/spam/<n>", "allow", "allow", "net/es/")
 
 
+@pytest.mark.parametrize("depth", [1, 5, 9])
+def test_templates_of_deep_paths(spark, depth):
+    top, rows, label = "/".join(["a", "b", "c"] * 3)[: 2 * depth - 1], [], []
+    for k in range(1, 81):
+        rows.append((k, f"https://a.example.org/{top}/{'casino' if k % 2 else 'news'}/deep/{k}"))
+        if k <= 70:
+            label.append((k, 1 - k % 2))
+    rows += [(81, "https://a.example.org/" + top), (82, f"https://a.example.org/{top}/alone/x/y/z/7b/w"), (83, "https://a.example.org/")]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(d, spark.createDataFrame(label, "number long, good int")).collect()}
+    assert len(got) == 83 and all(got[k].verdict == ("block" if k % 2 else "allow") for k in range(1, 81))
+    assert got[79].template == f"/{top}/casino/deep/<n>" and got[81].template == f"/{top}" and got[83].template == ""
+    assert got[82].template == f"/{top}/*/*/*/*/<x>/*"
+
+
 def test_url_rules_equal_brute_force(spark):
     rng = random.Random(11)
     hosts = ["example.com", "www.example.com", "a.www.Example.com", "myexample.com", "x.net", "net", "y.org", "com"]
