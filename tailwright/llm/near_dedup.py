@@ -8,7 +8,8 @@ and a class is a component of links.
 ProbMinHash: the arrivals of shingle d form a Poisson process of rate w_d, each falling into one of the registers;
 a register keeps its first arrival.  Rounds go on only for shingles whose next arrival could still come before the
 last register's, so a text costs its shingles plus about m ln m arrivals.  Registers agree with the probability
-Jaccard as their chance.
+Jaccard as their chance.  A text with repeated shingles has a second set of registers, in which every shingle has
+weight one: they agree with the plain Jaccard as their chance.  Without repeats both sets are the same.
 
 Texts with equal words are one node from the start.  Nodes that agree in all ROWS registers of a band share a
 bucket.  Every member of a bucket is compared with the bucket's leader, the member whose own buckets are the
@@ -71,10 +72,14 @@ def _fold(h: np.ndarray) -> int:
 def signatures(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Registers (texts, REGISTERS) holding shingle hashes, and the number of distinct shingles of each text."""
     doc, h, w = weighted_shingles(block)
-    size = np.bincount(doc, minlength=block.n)
-    when = np.full(block.n * REGISTERS, np.inf)
-    held = np.zeros(block.n * REGISTERS, np.uint64)
-    last = np.full(block.n, np.inf)
+    return registers(doc, h, w, block.n), np.bincount(doc, minlength=block.n)
+
+
+def registers(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Registers (n, REGISTERS) of the shingles of n texts."""
+    when = np.full(n * REGISTERS, np.inf)
+    held = np.zeros(n * REGISTERS, np.uint64)
+    last = np.full(n, np.inf)
     t, k = np.zeros(len(doc)), 0
     rate = w.astype(float)
     while len(doc):
@@ -89,7 +94,14 @@ def signatures(block: Block) -> tuple[np.ndarray, np.ndarray]:
         held[cell[won]] = h[won]
         own = np.unique(doc)
         last[own] = when.reshape(-1, REGISTERS)[own].max(1)
-    return held.reshape(-1, REGISTERS), size
+    return held.reshape(-1, REGISTERS)
+
+
+def plain_signatures(doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with repeated shingles, and their registers with every weight one."""
+    repeats = np.unique(doc[w > 1])
+    own = np.isin(doc, repeats)
+    return repeats, registers(np.searchsorted(repeats, doc[own]), h[own], np.ones(int(own.sum()), np.int64), len(repeats))
 
 
 def bands_of(sig: np.ndarray) -> np.ndarray:
@@ -107,23 +119,31 @@ def text_key(raw: bytes | None) -> bytes:
 
 
 def signed(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, key, sig, bands) of every row; a text without words has neither registers nor bands."""
+    """(id, key, sig, bands) of every row; a text without words has neither registers nor bands.
+
+    ``sig`` and ``bands`` are those of the weighted shingles, then, if any repeats, of the unweighted ones.
+    """
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
             for block in blocks(raw, 1 << 19):
-                sig, size = signatures(block)
-                bands = bands_of(sig)
-                small = mix64(sig).astype(np.uint16)
-                some = (size > 0).tolist()
+                doc, h, w = weighted_shingles(block)
+                sig = registers(doc, h, w, block.n)
+                repeats, plain = plain_signatures(doc, h, w)
+                bands = bands_of(sig).tolist()
+                small = [x.tobytes() for x in mix64(sig).astype(np.uint16)]
+                for k, more, extra in zip(repeats.tolist(), mix64(plain).astype(np.uint16), bands_of(plain).tolist(), strict=True):
+                    small[k] += more.tobytes()
+                    bands[k] = list(dict.fromkeys(bands[k] + extra))
+                some = (np.bincount(doc, minlength=block.n) > 0).tolist()
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(block.first, block.n),
                         pa.array([text_key(t) for t in raw[block.first : block.first + block.n]], pa.binary()),
-                        pa.array([x.tobytes() if ok else None for x, ok in zip(small, some, strict=True)], pa.binary()),
-                        pa.array([x.tolist() if ok else [] for x, ok in zip(bands, some, strict=True)], pa.list_(pa.int64())),
+                        pa.array([x if ok else None for x, ok in zip(small, some, strict=True)], pa.binary()),
+                        pa.array([x if ok else [] for x, ok in zip(bands, some, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=["id", "key", "sig", "bands"],
                 )
@@ -211,7 +231,10 @@ def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _tiles(rows: pa.Table) -> pa.Table:
     """Of one pair of tiles, links that join its components."""
     column = lambda name: rows.column(name).to_pylist()
-    sig = np.frombuffer(b"".join(column("sig")), np.uint16).reshape(-1, REGISTERS)
+    sigs = column("sig")
+    sig = np.frombuffer(b"".join([x[: 2 * REGISTERS] for x in sigs]), np.uint16).reshape(-1, REGISTERS)
+    repeated = any(len(x) > 2 * REGISTERS for x in sigs)
+    plain = np.frombuffer(b"".join([x[-2 * REGISTERS :] for x in sigs]), np.uint16).reshape(-1, REGISTERS) if repeated else sig
     _, label = np.unique(np.array(column("label"), object), return_inverse=True)
     key, part = column("node"), np.array(column("part"))
     shingles: list[tuple[np.ndarray, np.ndarray]] = []
@@ -226,6 +249,8 @@ def _tiles(rows: pa.Table) -> pa.Table:
         rest = other[other > k] if i == j else other
         rest = rest[label[rest] != label[k]]
         near = (sig[rest] == sig[k]).mean(1)
+        if repeated:
+            near = np.maximum(near, (plain[rest] == plain[k]).mean(1))
         for m in rest[near >= MAYBE][np.argsort(-near[near >= MAYBE], kind="stable")]:
             if label[m] != label[k] and _similar(shingles[k], shingles[m]):
                 a.append(key[k]), b.append(key[m])

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -252,6 +253,26 @@ def test_classes_equal_brute_force_in_a_large_group(spark):
     assert [got[k] for k in range(len(texts))] == [top(k) for k in range(len(texts))]
 
 
+def test_texts_that_differ_in_repeats_are_linked(spark):
+    rng = random.Random(35)
+    texts = []
+    for _ in range(12):
+        base, line = prose(rng, 300), prose(rng, 10)
+        texts += [" ".join([base] + [line] * n) for n in (30, 2)]
+    assert all(alike(a, b) > 0.95 and probability(shingles(a), shingles(b)) < 0.725 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(24)] == [k - k % 2 for k in range(24)]
+
+
+def test_tiles_compare_sets_too(spark):
+    rng = random.Random(36)
+    base, line = prose(rng, 300), prose(rng, 10)
+    texts = [" ".join([base] + [line] * n) for n in (30, 2)]
+    rows = near_dedup.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").toArrow()
+    pair = {"node": rows.column("key"), "label": rows.column("key"), "sig": rows.column("sig"), "text": [t.encode() for t in texts], "part": [0, 0], "i": [0, 0], "j": [0, 0]}
+    assert near_dedup._tiles(pa.table(pair)).num_rows == 1
+
+
 # 5
 
 
