@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tailwright.llm.session import bounded, documents, remainder
@@ -25,7 +25,7 @@ from tailwright.llm.textkernel import LOWER, blocks
 WIDTHS, FILTERS = (2, 3, 4), 8
 #: Bytes of a window.
 WINDOW = 256
-#: The network is fitted on about so many documents of each language, chosen by a hash of the text.
+#: The network is fitted on up to so many distinct texts of each language, chosen by a hash.
 FIT_DOCS = 600
 #: Windows of one document that are fitted on at most.
 FIT_WINDOWS = 4
@@ -151,19 +151,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int = FIT_DOCS) -> list:
-    """About ``per_language`` rows (text, lang) of each language; a row is chosen by a hash of its text alone.
+    """Up to ``per_language`` distinct texts (text, lang) of every language, those of the least hashes.
 
-    The share of a language comes from its count over all rows.  At most 64 languages, the most frequent ones, are
-    learned, so what comes to the driver is bounded.
+    The hash alone decides, so a text counts once however many copies it has, and one language's rows take no other's
+    place.  Rows are first thinned out by the language's number of distinct texts, to about four times what is wanted.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    if not sizes:
-        return []
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    lot = F.pmod(F.xxhash64(F.col("text"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    head = F.substring(F.col("text").cast("binary"), 1, WINDOW * FIT_WINDOWS)
-    return known.where(lot < F.try_element_at(share, F.col("lang"))).select(head.alias("text"), "lang").orderBy("lang", F.xxhash64("text"), "text").limit(4 * per_language * len(sizes)).collect()
+    hashed = known.select("lang", F.xxhash64("text", F.lit(5)).alias("lot"), F.substring(F.col("text").cast("binary"), 1, WINDOW * FIT_WINDOWS).alias("head"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("lot").alias("n")).select(F.col("lang").alias("known_lang"), F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")).alias("share"))
+    thin = hashed.join(F.broadcast(sizes), F.col("lang") == F.col("known_lang")).where(F.pmod("lot", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))  # one row a language
+    one = thin.groupBy("lang", "lot").agg(F.min("head").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("lot", F.lit(1 << 30)), "lot"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang").orderBy("lang", F.xxhash64("text"), "text").collect()
 
 
 def train(docs: DataFrame) -> Network | None:
@@ -172,10 +171,11 @@ def train(docs: DataFrame) -> Network | None:
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
+    number = {name: k for k, name in enumerate(languages)}
     x, y = [], []
     for r in rows:
         for w in cut(bytes(r["text"]))[:FIT_WINDOWS]:
-            x.append(w), y.append(languages.index(r["lang"]))
+            x.append(w), y.append(number[r["lang"]])
     order = np.lexsort((np.arange(len(y)), y))
     return Network(languages).fit(np.array(x)[order], np.array(y)[order])
 

@@ -139,6 +139,14 @@ def test_language_of_held_out_texts(spark):
     assert len(own) > 60 and sum(r.lang == r.lang_pred for r in own) / len(own) > 0.97 and all(0 <= r.score <= 1 for r in own)
 
 
+def test_every_language_is_sampled_however_many_copies_one_has(spark):
+    rng = random.Random(37)
+    rows = [(prose(rng, 8), f"l{k % 90:02}") for k in range(360)]
+    copied = spark.createDataFrame([("the same text", "a")], "text string, lang string").crossJoin(spark.range(4000)).drop("id")
+    got = Counter(r["lang"] for r in langid.sample(spark.createDataFrame(rows, "text string, lang string").union(copied), 3))
+    assert got == {"a": 1} | {f"l{k:02}": 3 for k in range(90)}
+
+
 def test_compiled_network_equals_the_plain_one():
     net = langid.Network(["a", "b", "c"])
     rows = np.random.default_rng(0).integers(0, langid.KINDS, (9, langid.WINDOW))
