@@ -503,6 +503,60 @@ def test_directions_are_those_of_all_passages(spark):
     assert np.trace(basis.T @ (a.T @ a) @ basis) > 0.97 * best
 
 
+def leaks_by_search(texts, items, idf_of, more=0):
+    """Every item against every stretch of every text: pairs (text, item) that the decision calls leaks.
+
+    A stretch has twice the item's words, and ``more``.
+    """
+    bare_words = lambda t: decontaminate.word_hashes(Block([t.encode()], 0))[0].tolist()
+    out = set()
+    sides = [(bare_words(t), bare_words(re.split(r"(?<=[.!?])\s+|\n", t.strip())[-1])) for t in items]
+    for d, t in enumerate(texts):
+        w = bare_words(t)
+        for i, (own, answer) in enumerate(sides):
+            n, masks = len(own), decontaminate.places(own)
+            if not set(own) & set(w):
+                continue
+            for a in range(0, max(1, len(w) - n), max(1, n // 4)):
+                segment = w[a : a + 2 * n + more]
+                coverage = decontaminate.common(masks, n, segment) / n
+                if coverage < decontaminate.LEAK_WITH_ANSWER:
+                    continue
+                share = sum(idf_of[x] for x in own if x in set(segment)) / sum(idf_of[x] for x in own)
+                told = decontaminate.common(decontaminate.places(answer), len(answer), segment) / len(answer)
+                if coverage >= decontaminate.LEAK and share >= decontaminate.WEIGHT or told >= decontaminate.ANSWER and share >= decontaminate.WEIGHT_WITH_ANSWER:
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.01, 0.15, 0.6])
+def test_recall_against_a_search_of_every_stretch(spark, share):
+    """Items in few and in most documents, with up to two words in five exchanged, in a small common vocabulary."""
+    rng = random.Random(int(share * 100))
+    vocabulary = words(rng, 300)
+    pick = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([20, 300])]) + (".\n" if rng.random() < 0.1 else "") for _ in range(n))
+    items = [pick(rng.randint(12, 70)) for _ in range(12)]
+    texts = []
+    for k in range(300):
+        t = pick(rng.randint(60, 500)).split(" ")
+        for i, item in enumerate(items):
+            if rng.random() < (share if i < 2 else 0.02):
+                edits = rng.choice([0, 0.1, 0.25, 0.4])
+                w = [rng.choice(vocabulary) if rng.random() < edits else x for x in item.split(" ")]
+                at = rng.randrange(len(t))
+                t[at:at] = w
+        texts.append(" ".join(t))
+    hashed = [set(decontaminate.word_hashes(Block([t.encode()], 0))[0].tolist()) for t in texts]
+    df = Counter(x for h in hashed for x in h)
+    known = {x for t in items for x in decontaminate.word_hashes(Block([t.encode()], 0))[0].tolist()}
+    idf_of = {x: math.log((len(texts) + 20) / (df[x] + 1)) + decontaminate.LEAST_IDF for x in known}
+    want, may = leaks_by_search(texts, items, idf_of), leaks_by_search(texts, items, idf_of, 120)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(want) >= 40 and len(got & want) >= 0.9 * len(want), (len(want), sorted(want - got))
+    assert not got - may - want, sorted(got - may)
+
+
 def test_many_items_go_in_turns(spark, monkeypatch):
     rng = random.Random(15)
     items = [prose(rng, 40) for _ in range(12)]
