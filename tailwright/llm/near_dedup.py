@@ -12,10 +12,12 @@ Jaccard as their chance.  A text with repeated shingles has a second set of regi
 weight one: they agree with the plain Jaccard as their chance.  Without repeats both sets are the same.
 
 Texts with equal words are one node from the start.  Nodes that agree in all ROWS registers of a band share a
-bucket.  Every member of a bucket is compared with the bucket's leader, the member whose own buckets are the
-largest, which is the nearest thing to the group's original.  Where a bucket still holds several components, its
-members of different components are compared inside tasks, tile by tile: by their registers, then on the whole
-texts.  A link found joins the two components at once, so a task gives out fewer links than it has components; no
+bucket; of buckets with the same members one is looked at.  Every member of a bucket is compared with the bucket's
+leader, the member whose own buckets are the largest, which is the nearest thing to the group's original.  Where a
+bucket still holds several components, its members of different components are compared inside tasks, tile by tile:
+first by their registers alone, then those with a possible partner on their whole texts.  Members of the bucket's
+largest component aren't compared with each other, so the tiles grow with the square of the other members' number
+only.  A link found joins the two components at once, so a task gives out fewer links than it has components; no
 pair within a bucket goes unexamined and no group is paired out.  Every link is verified on the whole texts.
 """
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailwright.llm.components import components
@@ -39,8 +41,8 @@ ROWS, BANDS = 8, 32
 REGISTERS = ROWS * BANDS
 #: Pairs whose registers agree less than three standard errors below the limit aren't verified (one link in 700 at 0.8).
 MAYBE = SIMILAR - 3 * float(np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))
-#: Members of a bucket that a task compares with as many others at a time.
-TILE = 512
+#: Members of a bucket that a task compares with as many others at a time: by registers, and by texts of up to TILE_BYTES.
+SIGNED_TILE, TILE, TILE_BYTES = 2048, 512, 4 << 20
 
 
 def weighted_shingles(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,31 +230,54 @@ def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return _probability(np.zeros(len(i), np.int64), x, y, 1)[0] >= SIMILAR
 
 
-def _tiles(rows: pa.Table) -> pa.Table:
-    """Of one pair of tiles, links that join its components."""
-    column = lambda name: rows.column(name).to_pylist()
-    sigs = column("sig")
+def _pairs(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of one pair of tiles: a row, and the rows of other components that its registers could link it with, with how
+    many agree; components are read from the array of labels that ``_labels`` gives, as it then stands."""
+    sigs = rows.column("sig").to_pylist()
     sig = np.frombuffer(b"".join([x[: 2 * REGISTERS] for x in sigs]), np.uint16).reshape(-1, REGISTERS)
-    repeated = any(len(x) > 2 * REGISTERS for x in sigs)
-    plain = np.frombuffer(b"".join([x[-2 * REGISTERS :] for x in sigs]), np.uint16).reshape(-1, REGISTERS) if repeated else sig
-    _, label = np.unique(np.array(column("label"), object), return_inverse=True)
-    key, part = column("node"), np.array(column("part"))
-    shingles: list[tuple[np.ndarray, np.ndarray]] = []
-    for block in blocks(column("text"), 1 << 19):
-        doc, h, w = weighted_shingles(block)
-        cut = np.searchsorted(doc, np.arange(block.n + 1))
-        shingles += [(h[x:y].copy(), w[x:y].copy()) for x, y in zip(cut, cut[1:], strict=False)]
+    plain = np.frombuffer(b"".join([x[-2 * REGISTERS :] for x in sigs]), np.uint16).reshape(-1, REGISTERS) if any(len(x) > 2 * REGISTERS for x in sigs) else None
+    part, label = rows.column("part").to_numpy(), _labels(rows)
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     one, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    a, b = [], []
-    for k in one:
+    for k in one.tolist():
         rest = other[other > k] if i == j else other
         rest = rest[label[rest] != label[k]]
         near = (sig[rest] == sig[k]).mean(1)
-        if repeated:
+        if plain is not None:
             near = np.maximum(near, (plain[rest] == plain[k]).mean(1))
-        for m in rest[near >= MAYBE][np.argsort(-near[near >= MAYBE], kind="stable")]:
-            if label[m] != label[k] and _similar(shingles[k], shingles[m]):
+        own = near >= MAYBE
+        if own.any():
+            yield k, rest[own], near[own]
+
+
+def _labels(rows: pa.Table) -> np.ndarray:
+    _, label = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)
+    return label
+
+
+def _maybe(rows: pa.Table) -> pa.Table:
+    """Of one pair of tiles, the nodes that the registers could link with one of another component."""
+    found = np.zeros(rows.num_rows, bool)
+    for k, rest, _ in _pairs(rows):
+        found[k] = found[rest] = True
+    return rows.select(["bucket", "node"]).filter(pa.array(found))
+
+
+def _tiles(rows: pa.Table) -> pa.Table:
+    """Of one pair of tiles, links that join its components."""
+    key, text, label = rows.column("node").to_pylist(), rows.column("text"), _labels(rows)
+    shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in shingles:
+            _, h, w = weighted_shingles(Block([text[k].as_py() or b""], 0))
+            shingles[k] = h, w
+        return shingles[k]
+
+    a, b = [], []
+    for k, rest, near in _pairs(rows):
+        for m in rest[np.argsort(-near, kind="stable")].tolist():
+            if label[m] != label[k] and _similar(of(k), of(m)):
                 a.append(key[k]), b.append(key[m])
                 label[label == label[m]] = label[k]
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -278,10 +303,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     texts = table(_texts_of(docs, members.select("node").distinct(), text).join(reps.select("key", "sig"), "key"), "texts")
     links = table(verified(pairs, texts), "links")
     labels = components(links)
-    named = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = table(named, "named")
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
-    more = table(_open_links(named, open_, texts), "links")
+    more = table(_open_links(members.select("bucket", "node"), labels, texts), "links")
     if not more.isEmpty():
         labels = components(table(links.unionByName(more), "links"))
     named_nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -309,35 +331,57 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
     return one
 
 
-def _open_links(named: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _open_links(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between different components that share a bucket; each bucket is dealt out as pairs of tiles."""
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    rows = named.join(open_, "bucket").join(texts.withColumnRenamed("key", "node"), "node")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    rows = rows.withColumn("tile", F.explode(tiles)).select("bucket", "node", "label", "sig", "text", "part", "tile.i", "tile.j")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(_tiles, "a binary, b binary").distinct()
+    named = table(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    per = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    open_ = per.where("low <> high").groupBy("low", "high", "n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    named = table(named.join(open_, "bucket"), "open")
+    largest = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("largest"))
+    named = named.join(largest, "bucket").withColumn("inner", F.col("label") == F.col("largest.label")).drop("largest")
+    ready = table(named.join(texts.withColumnRenamed("key", "node"), "node"), "open")
+    maybe = _dealt(ready.drop("text"), F.lit(1.0 / SIGNED_TILE)).groupBy("bucket", "i", "j").applyInArrow(_maybe, "bucket long, node binary")
+    ready = table(ready.join(table(maybe.distinct(), "maybe"), ["bucket", "node"], "left_semi"), "open")
+    return _dealt(ready, F.lit(1.0 / TILE) + F.length("text") / float(TILE_BYTES)).groupBy("bucket", "i", "j").applyInArrow(_tiles, "a binary, b binary").distinct()
+
+
+def _dealt(rows: DataFrame, weight: Column) -> DataFrame:
+    """Each row in all pairs of tiles (i, j) that its tile ``part`` is in; the rows of a tile weigh about one in all.
+
+    A bucket's first tiles hold what is outside its largest component; they meet all tiles, the others only them.
+    """
+    inner, lot = F.col("inner"), F.xxhash64("node", F.lit(4))
+    tiles = lambda own: F.ceil(F.coalesce(F.sum(F.when(own, weight)), F.lit(0.0))).cast("int")
+    sizes = rows.groupBy("bucket").agg(tiles(~inner).alias("outer_tiles"), tiles(inner).alias("inner_tiles"))
+    outer, all_ = F.col("outer_tiles"), F.col("outer_tiles") + F.col("inner_tiles")
+    out = rows.join(sizes, "bucket").where(outer > 0)
+    out = out.withColumn("part", (F.when(inner, outer + F.pmod(lot, F.greatest(all_ - outer, F.lit(1)))).otherwise(F.pmod(lot, outer))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.when(inner, outer).otherwise(all_) - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+    return out.withColumn("tile", F.explode(pairs)).select(*rows.columns, "part", "tile.i", "tile.j")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (where ids repeat, one of its rows)."""
-    found = near_classes(docs, text, id_col)
-    if found.where(F.col(id_col).isNull()).isEmpty() and found.groupBy(id_col).count().where("count > 1").isEmpty():
-        kept = found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept"))
-        return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    kept = found.groupBy("class_id").agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("class_id")), F.col("key"))).alias("__key"))
+    """``docs`` with one row of each class: that of the least id (where ids repeat or are null, one of its rows).
+
+    Only the id and the text are read; all columns are carried along, whatever their names.
+    """
+    found = table(near_classes(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "id"), "classes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ready = docs.select(row, F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
+    if found.where(F.col("id").isNull()).isEmpty() and found.groupBy("id").count().where("count > 1").isEmpty():
+        kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("kept"))
+        return ready.join(kept, F.col("id") == F.col("kept"), "left_semi").select("row.*")
+    kept = found.groupBy("class_id").agg(F.min(F.when(F.col("id").eqNullSafe(F.col("class_id")), F.col("key"))).alias("kept"))
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([text_key(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
-            yield pa.record_batch([batch.column(0), keys], names=["__row", "__key"])
-
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    ready = docs.select(row.alias("__row"), F.col(text).cast("binary").alias("__text"))
-    keyed = ready.mapInArrow(run, ready.select("__row", F.lit(b"").alias("__key")).schema)
-    same = (keyed["__key"] == kept["__key"]) & keyed[f"__row.{id_col}"].eqNullSafe(kept["class_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__key"]).select("__row.*")
+            keys = pa.array([text_key(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), keys], names=["row", "id", "key"])
+
+    keyed = ready.mapInArrow(run, ready.select("row", "id", F.lit(b"").alias("key")).schema)
+    same = (F.col("key") == F.col("kept")) & F.col("id").eqNullSafe(F.col("class_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def bounded(spark: SparkSession, rows: int = 2000) -> None:
-    """Has Spark hand Python at most so many rows at once, so that long texts don't fill a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Has Spark hand Python at most so many rows, of about so many bytes, at once, so that long texts don't fill a
+    worker's memory.  Smaller settings of the session stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).rstrip("bB")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

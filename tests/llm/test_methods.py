@@ -272,6 +272,41 @@ def test_texts_that_differ_in_repeats_are_linked(spark):
     assert [got[k] for k in range(24)] == [k - k % 2 for k in range(24)]
 
 
+def test_recall_by_similarity_with_repeated_shingles(spark):
+    """Of the pairs alike by either measure, in each band of similarity; a fifth of the texts repeat a line often."""
+    rng = random.Random(37)
+    texts = []
+    for k in range(400):
+        base = prose(rng, 100 if k % 5 else 60)
+        line = prose(rng, 5) if k % 3 else prose(rng, 12)
+        once, often = (1, 40) if k % 5 == 0 else (1, rng.choice([1, 2]))
+        texts += [" ".join([base] + [line] * once), " ".join([changed(rng, base, rng.randint(0, 3))] + [line] * often)]
+    want = {k: alike(texts[k], texts[k + 1]) for k in range(0, 800, 2)}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        own = [k for k, v in want.items() if low <= v < high]
+        assert len(own) >= 15 and sum(got[k] == got[k + 1] for k in own) >= 0.97 * len(own), (low, len(own))
+    assert not [k for k, v in want.items() if v < 0.8 and got[k] == got[k + 1]]
+
+
+def test_small_tiles_lose_no_link(spark, monkeypatch):
+    """Several overlapping groups, dealt out in many tiles of few members."""
+    for name, n in (("SIGNED_TILE", 16), ("TILE", 8), ("TILE_BYTES", 4000)):
+        monkeypatch.setattr(near_dedup, name, n)
+    rng = random.Random(38)
+    base = prose(rng, 120)
+    middles = [changed(rng, base, 4) for _ in range(12)]
+    texts = [changed(rng, rng.choice(middles), rng.randint(0, 4)) for _ in range(160)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(texts[i], texts[j]) >= 0.8]
+    up = list(range(len(texts)))
+    for i, j in linked:  # least label of each component
+        a, b = up[i], up[j]
+        up = [min(a, b) if x in (a, b) else x for x in up]
+    assert sum(got[i] != got[j] for i, j in linked) == 0 and [got[k] for k in range(len(texts))] == up
+    assert 3 < len(set(up)) < 150
+
+
 def test_tiles_compare_sets_too(spark):
     rng = random.Random(36)
     base, line = prose(rng, 300), prose(rng, 10)
