@@ -49,7 +49,7 @@ SHARED = 0.3
 #: Items whose passages are compared at once.
 ITEMS = 1000
 #: Units of text that are projected at a time, and about so many words are read at a time.
-STEP, WORDS = 2048, 100_000
+STEP, WORDS = 2048, 50_000
 
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +222,11 @@ class Searcher:
     def __init__(self, items: Items, basis: np.ndarray, idf: np.ndarray) -> None:
         self.items, self.idf, self.rows = items, idf, weighted(basis, idf)
         n = len(items.ids)
+        self.member: tuple[Queries | None, np.ndarray | None] = None, None
         self.queries = [Queries(items, a, min(n, a + ITEMS), basis, idf) for a in range(0, n, ITEMS)]
 
-    def candidates(self, t: np.ndarray, slot: np.ndarray, first: np.ndarray, q: Queries) -> Iterator[tuple[np.ndarray, ...]]:
+    def candidates(self, t: np.ndarray, slot: np.ndarray, first: np.ndarray, q: Queries, member: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """At each scale: passages' begins, ends and texts, and the candidates' passage numbers, items and cosines."""
-        member = q.member()
         found: list[list] = [[] for _ in q.scales]
         made = [(passages(first, scale), scale) for scale, *_ in q.scales]
         units = [slot[p[2]] + p[3] for p, _ in made]
@@ -269,7 +269,10 @@ class Searcher:
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         masks: dict[int, dict[int, int]] = {}
         for q in self.queries:
-            for begin, end, doc, reach, at, item, cosine in self.candidates(t, slot, first, q):
+            if self.member[0] is not q:
+                self.member = q, q.member()
+            member = self.member[1]
+            for begin, end, doc, reach, at, item, cosine in self.candidates(t, slot, first, q, member):
                 order = np.lexsort((at, item, doc[at]))
                 at, item, cosine = at[order], item[order] + q.lo, cosine[order]
                 cut = np.ones(len(at), bool)
@@ -280,6 +283,9 @@ class Searcher:
                     n = int(items.first[i + 1] - items.first[i])
                     # the item may reach a passage's length beyond the passages that hit
                     segment = term[max(first[d], begin[at[a]] - reach) : min(first[d + 1], end[at[b - 1]] + reach)]
+                    segment = segment[member[q.number.take(segment), i - q.lo] > 0]
+                    if len(segment) < LEAK_WITH_ANSWER * n:
+                        continue
                     if i not in masks:
                         masks[i] = places(items.words(i).tolist())
                     coverage = common(masks[i], n, segment.tolist()) / n
@@ -351,17 +357,19 @@ def gram(term: np.ndarray, first: np.ndarray, q: np.ndarray, idf: np.ndarray) ->
 
     A word's share is that of its unit, and a unit's the sum over the passages that hold it.
     """
-    n, units = len(idf), LONG_SCALE[0]
+    n = len(idf)
     out = np.zeros(q.shape, np.float32)
     t, slot = layout(term, first, n)
     latent = bags(weighted(q, idf), t)
-    square = bags(np.append(idf**2, 0).astype(np.float32)[:, None], t)
+    square = np.append(idf**2, 0).astype(np.float32)[t].sum(0)
     _, _, doc, unit = passages(first)
     at = slot[doc] + unit
-    z = sum(latent[at + k] for k in range(units)) / np.maximum(sum(square[at + k] for k in range(units)), 1e-9)
+    pair, square = latent[:-1] + latent[1:], square[:-1] + square[1:]
+    z = pair.take(at, axis=0) + pair.take(at + 2, axis=0)
     back = np.zeros((len(latent) + 1, latent.shape[1]), np.float32)
-    for k in range(units):
-        back[at + k] += z
+    back[at] = z / np.maximum(square[at] + square[at + 2], 1e-9)[:, None]
+    for k in (1, 2):  # what a passage has goes to its four units
+        back[k:-1] += back[: -1 - k].copy()
     flat = t.ravel()
     own = np.flatnonzero(flat < n)
     if len(own):

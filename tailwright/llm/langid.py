@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import bounded, documents, remainder
+from tailwright.llm.session import bounded, documents, extended, remainder
 from tailwright.llm.textkernel import LOWER, blocks
 
 #: Widths of the filters in bytes, and filters of each width.
@@ -27,7 +27,7 @@ WIDTHS, FILTERS = (2, 3, 4), 8
 WINDOW = 256
 #: The network is fitted on up to so many distinct texts of each language, chosen by a hash.
 FIT_DOCS = 600
-#: Windows of one document that are fitted on at most.
+#: Windows of one document that are fitted on at most, spread evenly over the whole text.
 FIT_WINDOWS = 4
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 
@@ -151,18 +151,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int = FIT_DOCS) -> list:
-    """Up to ``per_language`` distinct texts (text, lang) of every language, those of the least hashes.
+    """(windows, lang) of up to ``per_language`` distinct texts of every language, those of the least hashes.
 
     The hash alone decides, so a text counts once however many copies it has, and one language's rows take no other's
     place.  Rows are first thinned out by the language's number of distinct texts, to about four times what is wanted.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = known.select("lang", F.xxhash64("text", F.lit(5)).alias("lot"), F.substring(F.col("text").cast("binary"), 1, WINDOW * FIT_WINDOWS).alias("head"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text", F.lit(5)).alias("lot"), F.col("text").cast("binary").alias("text"))
+    last = F.greatest(F.ceil(F.length("text") / WINDOW), F.lit(1)) - 1
+    at = F.array_distinct(F.array(*[F.floor(last * k / max(1, FIT_WINDOWS - 1)) for k in range(FIT_WINDOWS)]))
+    hashed = known.select("lang", "lot", F.transform(at, lambda w: F.substring(F.col("text"), (w * WINDOW + 1).cast("int"), F.lit(WINDOW))).alias("windows"))
     sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("lot").alias("n")).select(F.col("lang").alias("known_lang"), F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")).alias("share"))
     thin = hashed.join(F.broadcast(sizes), F.col("lang") == F.col("known_lang")).where(F.pmod("lot", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))  # one row a language
-    one = thin.groupBy("lang", "lot").agg(F.min("head").alias("text"))
+    one = thin.groupBy("lang", "lot").agg(F.min("windows").alias("windows"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("lot", F.lit(1 << 30)), "lot"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang").orderBy("lang", F.xxhash64("text"), "text").collect()
+    return one.withColumn("rank", rank).where(F.col("rank") <= per_language).select("windows", "lang").orderBy("lang", F.pmod("lot", F.lit(1 << 30)), "lot").collect()
 
 
 def train(docs: DataFrame) -> Network | None:
@@ -174,8 +176,8 @@ def train(docs: DataFrame) -> Network | None:
     number = {name: k for k, name in enumerate(languages)}
     x, y = [], []
     for r in rows:
-        for w in cut(bytes(r["text"]))[:FIT_WINDOWS]:
-            x.append(w), y.append(number[r["lang"]])
+        for w in r["windows"]:
+            x.append(cut(bytes(w))[0]), y.append(number[r["lang"]])
     order = np.lexsort((np.arange(len(y)), y))
     return Network(languages).fit(np.array(x)[order], np.array(y)[order])
 
@@ -224,8 +226,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: list
                         score[block.first + k] = min(1.0, float(mean[k, best[k]]))
             yield pa.record_batch([*batch.columns[:-2], pa.array(name, pa.string()), pa.array(score)], names=[*batch.schema.names[:-2], "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[:-2])
-    return ready.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return ready.mapInArrow(run, extended(ready.schema.fields[:-2], "lang_pred string, score double"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import bounded, documents, remainder
+from tailwright.llm.samples import labelled
+from tailwright.llm.session import bounded, documents, extended, remainder
 from tailwright.llm.textkernel import Block, blocks
 
-#: The field is fitted on about so many labelled documents, chosen by a hash, and on so many first lines of each.
-FIT_DOCS, FIT_LINES = 4000, 200
+#: The field is fitted on about so many labelled documents, chosen by a hash, of at most so many bytes in all.
+FIT_DOCS, FIT_BYTES = 4000, 32 << 20
 EPOCHS, RATE, RIDGE = 500, 0.1, 1e-5
 #: A document is predicted good from this score on.
 GOOD = 0.3
@@ -157,11 +158,9 @@ class Field:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Field:
     """Fits on ``labels(doc_id, quality)`` of ``docs``; null ids or labels teach nothing, and of an id that is
-    labelled twice the higher label counts.  With no labelled row the field is neutral: every score is one half."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.count()
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(lot < min(1.0, FIT_DOCS / max(1, n))).orderBy("doc_id").limit(2 * FIT_DOCS)
+    labelled twice the higher label counts.  With no labelled row the field is neutral: every score is one half.
+    Repeated ids count once, null texts are empty ones, and other columns of ``docs`` are not read."""
+    picked = labelled(docs, labels, "quality", FIT_DOCS, FIT_BYTES, 8, text)
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Field:
             made = []
             for block in blocks(batch.column(1).to_pylist()):
                 x, _, first = line_features(block)
-                made += [x[a : min(b, a + FIT_LINES)].astype(np.float32).tobytes() for a, b in zip(first, first[1:], strict=False)]
+                made += [x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["label", "x"])
 
-    picked = docs.join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("label"), F.col(text).cast("binary").alias("text"))  # at most 2 * FIT_DOCS ids
-    rows = sorted((int(r["label"] > 0), bytes(r["x"])) for r in picked.mapInArrow(run, "label int, x binary").collect())
+    rows = sorted((int(r["label"] > 0), bytes(r["x"])) for r in picked.mapInArrow(run, "label int, x binary").collect())  # of FIT_BYTES of text at most
     field = Field(np.zeros(WIDTH), np.zeros((2, 2)))
     if not rows:
         return field
@@ -199,8 +197,7 @@ def score(docs: DataFrame, field: Field, keep: list[Column], text: str = "text")
                 s[own], bad[own] = model.scores(block)
             yield pa.record_batch([*batch.columns[:-1], pa.array(s), pa.array((s >= GOOD).astype(np.int32)), pa.array(bad)], names=[*batch.schema.names[:-1], "score", "predicted", "bad_lines"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[:-1])
-    return ready.mapInArrow(run, f"{kinds}, score double, predicted int, bad_lines long")
+    return ready.mapInArrow(run, extended(ready.schema.fields[:-1], "score double, predicted int, bad_lines long"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

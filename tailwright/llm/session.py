@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(fields: list[StructField], ddl: str) -> StructType:
+    """A schema of ``fields``, whatever their names, and those of ``ddl``."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes all tables that table() has written to the shared folder; frames that read them are then of no use."""
     jvm = spark.sparkContext._jvm

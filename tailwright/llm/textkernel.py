@@ -25,6 +25,7 @@ OUTER[list(b".,;:!?\"'()[]{}*#$%&|<>-_")] = True
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = _BYTE[LOWER]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -82,15 +83,21 @@ class Block:
         """A 64-bit hash of each byte range."""
         up, down = _powers(len(self.buf) + 1)
         total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_BYTE[LOWER[self.buf] if lower else self.buf] * up[: len(self.buf)], out=total[1:])
+        np.cumsum((_LOWER if lower else _BYTE)[self.buf] * up[: len(self.buf)], out=total[1:])
         return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def bare(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word ranges without up to three outer signs on each side; a word keeps at least one byte."""
-    for _ in range(3):
-        starts = starts + (OUTER[block.buf[starts]] & (starts < ends - 1))
-        ends = ends - (OUTER[block.buf[ends - 1]] & (starts < ends - 1))
+    starts, ends = starts.copy(), ends.copy()
+    front = back = slice(None)
+    for _ in range(3):  # a side that had no sign has none in the next round
+        at = np.flatnonzero(OUTER[block.buf[starts[front]]] & (starts[front] < ends[front] - 1))
+        front = at if isinstance(front, slice) else front[at]
+        starts[front] += 1
+        at = np.flatnonzero(OUTER[block.buf[ends[back] - 1]] & (starts[back] < ends[back] - 1))
+        back = at if isinstance(back, slice) else back[at]
+        ends[back] -= 1
     return starts, ends
 
 

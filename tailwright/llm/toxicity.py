@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.session import bounded, documents, remainder
-from tailwright.llm.textkernel import Block, blocks
+from tailwright.llm.samples import labelled
+from tailwright.llm.session import bounded, documents, extended, remainder
+from tailwright.llm.textkernel import Block, bare, blocks
 
-#: The regression is fitted on about so many labelled documents, chosen by a hash, and on so many first bytes of each.
-FIT_DOCS, FIT_BYTES = 6000, 32_000
+#: The regression is fitted on about so many labelled documents, chosen by a hash, of at most so many bytes in all.
+FIT_DOCS, FIT_BYTES = 6000, 64 << 20
 #: A feature is used if so many toxic documents have it and its log odds exceed both the margin and Z standard errors.
 LEAST_DOCS, LOG_ODDS, Z = 3, 2.0, 4.0
 #: Grades: 0 for documents that aren't toxic; toxic ones by how many marked words they have: up to 2, up to 5, more.
@@ -27,8 +28,6 @@ EPOCHS, RATE, RIDGE = 2000, 0.1, 1e-5
 TOXIC = 0.5
 
 PREFIX = 5
-_OUTER = np.zeros(256, bool)
-_OUTER[list(b".,;:!?\"'()[]{}*#$%&|<>-_")] = True
 _WORD, _BEGIN = np.uint64(0), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -36,9 +35,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each feature, and the text that it is in.  Words come first, then beginnings, each in text order."""
     starts, ends, first = block.words()
     doc = np.repeat(np.arange(block.n), np.diff(first))
-    for _ in range(3):
-        starts = starts + (_OUTER[block.buf[starts]] & (starts < ends - 1))
-        ends = ends - (_OUTER[block.buf[ends - 1]] & (starts < ends - 1))
+    starts, ends = bare(block, starts, ends)
     longer = ends - starts > PREFIX
     return np.concatenate((block.hashes(starts, ends, lower=True), block.hashes(starts[longer], starts[longer] + PREFIX, lower=True) ^ _BEGIN)), np.concatenate((doc, doc[longer]))
 
@@ -98,12 +95,9 @@ class Ordinal:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Ordinal:
     """Fits on ``labels(doc_id, toxic)`` of ``docs``; nulls teach nothing, and of an id labelled twice the higher label
-    counts.  Without a toxic row no feature is used and every document has the same small severity."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(lot < min(1.0, FIT_DOCS / max(1, n))).orderBy("doc_id").limit(2 * FIT_DOCS)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), F.substring(F.col(text).cast("binary"), 1, FIT_BYTES).alias("text"))  # at most 2 * FIT_DOCS ids
+    counts.  Without a toxic row no feature is used and every document has the same small severity.  Repeated ids
+    count once, null texts are empty ones, and other columns of ``docs`` are not read."""
+    rows = labelled(docs, labels, "toxic", FIT_DOCS, FIT_BYTES, 6, text)
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +161,7 @@ def score(docs: DataFrame, model: Ordinal, keep: list[Column], text: str = "text
             severe = p @ np.arange(p.shape[1])
             yield pa.record_batch([*batch.columns[:-1], pa.array(severe), pa.array(1 - p[:, 0]), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0] >= TOXIC), pa.array(marked)], names=[*batch.schema.names[:-1], "severity", "p_toxic", "grade", "toxic", "marked"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[:-1])
-    return ready.mapInArrow(run, f"{kinds}, severity double, p_toxic double, grade int, toxic boolean, marked long")
+    return ready.mapInArrow(run, extended(ready.schema.fields[:-1], "severity double, p_toxic double, grade int, toxic boolean, marked long"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

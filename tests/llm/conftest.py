@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 
 def words(rng, n, lang="en"):
@@ -20,4 +21,6 @@ def odd(spark):
     rng = random.Random(1)
     long = prose(rng, 40_000)
     rows = [(1, None, None, None), (None, "the words of nobody", "en", "s"), (2, "", "en", "s"), (3, " \n\t ", "fr", "s"), (4, long, "en", "s"), (5, "twice", "en", "s"), (5, "twice", "en", "s"), (6, "x" * 300_000, "de", None), (7, "1 2 3", None, "s"), (8, prose(rng, 80, "de"), "de", "s"), (9, "\x00\x1c é", "fr", "s")]
-    return spark.createDataFrame([(*r, 9.5, "clash", "clash", 7) for r in rows], "doc_id long, text string, lang string, source string, score double, id string, row string, n_chars long")
+    clash = ["quality", "toxic", "__kept", "kept", "held_out", "lang_pred", "key", "class_id", "label", "known", "lot", "words", "word", "item_id", "times", "a.b", "grade"]
+    d = spark.createDataFrame([(*r, 9.5, "clash", "clash", 7) for r in rows], "doc_id long, text string, lang string, source string, score double, id string, row string, n_chars long")
+    return d.select("*", *[F.lit("clash").alias(c) for c in clash])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tailwright.llm import bpe, decontaminate, langid, line_crf, near_dedup, ppm, quality_rules, token_counts, toxicity, url_filter
+from tailwright.llm.samples import labelled
 from tailwright.llm.session import remainder
 
 
@@ -56,6 +57,19 @@ def test_defined_results(spark, odd):
     assert kept.columns == odd.columns and kept.count() == 11 - 2 - 1
 
 
+def test_an_id_repeated_often_is_one_labelled_row(spark):
+    d = spark.createDataFrame([(1, "good words here"), (2, "bad bad !!")], "doc_id long, text string").union(spark.range(3000).select(F.lit(2).cast("long"), F.concat(F.lit("text "), F.col("id"))))
+    got = labelled(d, spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, quality int"), "quality", 10, 1 << 20, 1).collect()
+    assert sorted(r.label for r in got) == [0, 1]
+
+
+def test_the_sample_of_labelled_rows_is_bounded_in_bytes(spark):
+    d = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    pick = lambda size: labelled(d, labels, "toxic", 100, size, 1).collect()
+    assert len(pick(1 << 20)) == 50 and len(pick(1050)) == 10 and len(pick(1)) == 1 and all(len(r.text) == 100 for r in pick(1050))
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://X.EXAMPLE.com/en/1?a=http://b"), (4, "http://X.EXAMPLE.com/en/1?a=http://b"), (None, "https://a.net/es/" + "q" * 50_000), (5, "https://a.net"), (6, "https://anet/es/")]
     d = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, host string, template string")
