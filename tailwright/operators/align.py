@@ -1,7 +1,8 @@
 """Aligning short reads with at most one mismatch, trimming in rounds, and telling what was added at the ends.
 
-Seeds: of two halves of a read one must match exactly, so the first bases of either half are looked up among the
-genome's k-mers by an equi-join, and every hit is compared over its whole length.  Complete for one mismatch.
+Seeds: of two halves of a read one must match exactly, so the first bases of either half, as many as the lengths in
+``SEEDS`` allow, are looked up among the genome's k-mers by an equi-join.  The bases beside a k-mer rule out most
+chance hits at once; what is left is compared over its whole length.  Complete for one mismatch.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from tailwright.functions.sequence import md_render, reverse_complement, trim
 
 #: Bases of a tile's own; it also holds the next MARGIN ones, so that a read that begins in it lies inside.
 TILE, MARGIN = 1000, 200
-SEED = 10
+#: Lengths of seeds: half a read is looked up by the longest one that it holds, and has no place without one.
+SEEDS = (6, 8, 11, 14)
+#: Bases beside a seed that are compared before a hit's whole reference is fetched.
+CONTEXT = 12
 #: Rounds of trimming, in their fixed order: (order, bases off the 5' end, bases off the 3' end, name).
 ROUNDS = [(0, 0, 0, "init-mapping-0"), (1, 0, 1, "three-trim-1"), (2, 0, 2, "three-trim-2"), (3, 1, 0, "five-trim-1"), (4, 2, 0, "five-trim-2"), (5, 1, 1, "both-trim-1")]
 #: A resolved alignment has fewer mismatches than this besides its end modifications.
@@ -42,11 +46,17 @@ def fetch(rows: DataFrame, tiled: DataFrame, start: Column, length: Column, name
     return found.drop("_start", "_length", "_bin", "_tbin", "_chrom", "_first", "_bases")
 
 
-def seeds(tiled: DataFrame, k: int = SEED, tile: int = TILE) -> DataFrame:
-    """(kmer, chrom, pos): every k-mer of the genome's own bases; a table of these can be bucketed by k-mer."""
-    own = F.least(F.lit(tile), F.length("bases") - k + 1)
-    each = F.transform(F.sequence(F.lit(1), own), lambda i: F.struct(F.substring("bases", i, F.lit(k)).alias("kmer"), (F.col("first") + i - 1).alias("pos")))
-    return tiled.where(own > 0).select("chrom", F.explode(each).alias("x")).select("x.kmer", "chrom", "x.pos")
+def seeds(tiled: DataFrame, ks: tuple[int, ...] = SEEDS, tile: int = TILE) -> DataFrame:
+    """(kmer, chrom, pos, before, after): every k-mer of the genome's own bases, with the CONTEXT bases on either side
+    as far as its tile holds them; a table of these can be bucketed by k-mer."""
+
+    def of(k: int) -> Column:
+        own = F.least(F.lit(tile), F.length("bases") - k + 1)
+        places_ = F.when(own > 0, F.sequence(F.lit(1), own)).otherwise(F.array().cast("array<int>"))
+        cut = lambda i, n: F.substring("bases", i, n)
+        return F.transform(places_, lambda i: F.struct(cut(i, F.lit(k)).alias("kmer"), (F.col("first") + i - 1).alias("pos"), cut(F.greatest(i - CONTEXT, F.lit(1)), F.least(i - 1, F.lit(CONTEXT))).alias("before"), cut(i + k, F.lit(CONTEXT)).alias("after")))
+
+    return tiled.select("chrom", F.explode(F.concat(*map(of, ks))).alias("x")).select("x.kmer", "chrom", "x.pos", "x.before", "x.after")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -54,22 +64,36 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
 
 
-def places(queries: DataFrame, tiled: DataFrame, k: int = SEED, mismatches: int = 1) -> DataFrame:
+def _half_equal(a: Column, b: Column, n: Column) -> Column:
+    """Whether the first or the second half of two texts of n bases is equal, as one mismatch at most leaves one."""
+    k = F.floor(n / 2).cast("int")
+    return (F.left(a, k) == F.left(b, k)) | (F.right(a, n - k) == F.right(b, n - k))
+
+
+def places(queries: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, mismatches: int = 1) -> DataFrame:
     """All places of ``queries(query, seq)`` with at most ``mismatches`` (0 or 1): query, chrom, strand, start, mm.
 
-    A query shorter than two seeds has none.
+    A query shorter than two of the shortest seeds has none.  A place is found by its left half if that is equal and
+    by its right half otherwise, so no place comes up twice.
     """
     if mismatches not in (0, 1):
         raise ValueError("two seeds find no more than one mismatch")
     both = F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("plus")), F.struct(F.lit("-").alias("strand"), reverse_complement("seq").alias("plus")))
-    q = queries.where(F.length("seq") >= 2 * k).select("query", F.explode(both).alias("x")).select("query", "x.*").where("plus is not null")
-    half = F.floor(F.length("plus") / 2).cast("int")
-    q = q.withColumn("seed", F.explode(F.array(*[F.struct(at.alias("at"), F.substring("plus", at + 1, F.lit(k)).alias("kmer")) for at in (F.lit(0), half)])))
-    hits = q.select("query", "strand", "plus", "seed.*").join(seeds(tiled, k), "kmer").select("query", "strand", "plus", "chrom", (F.col("pos") - F.col("at")).alias("start")).distinct()
-    full = fetch(hits, tiled, F.col("start"), F.length("plus"), "reference")
-    # of two halves one must be equal: a cheap test that leaves few for the count of mismatches
-    rest = F.length("plus") - half
-    full = full.where((F.left("plus", half) == F.left("reference", half)) | (F.right("plus", rest) == F.right("reference", rest)))
+    q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where("plus is not null")
+    n = F.length("plus")
+    half = F.floor(n / 2).cast("int")
+    longest = lambda room: F.coalesce(*[F.when(room >= k, F.lit(k)) for k in sorted(ks, reverse=True)])
+    seed = lambda at, room: F.struct(at.alias("at"), longest(room).alias("k"), F.substring("plus", at + 1, longest(room)).alias("kmer"))
+    q = q.withColumn("seed", F.explode(F.array(seed(F.lit(0), half), seed(half, n - half)))).select("query", "strand", "plus", "seed.*").where("k is not null")
+    left = F.col("at") == 0
+    after, before = F.least(F.lit(CONTEXT), n - F.col("k")), F.least(F.lit(CONTEXT), half)
+    likely = F.when(left, (F.length("after") < after) | _half_equal(F.left("after", after), F.substring("plus", F.col("k") + 1, after), after))
+    likely = likely.otherwise((F.length("before") < before) | _half_equal(F.right("before", before), F.substring("plus", half - before + 1, before), before))
+    hits = q.join(seeds(tiled, ks), "kmer").where(likely).select("query", "strand", "plus", "at", "chrom", (F.col("pos") - F.col("at")).alias("start"))
+    full = fetch(hits, tiled, F.col("start"), n, "reference")
+    same = F.left("plus", half) == F.left("reference", half)
+    rest = n - half
+    full = full.where(F.when(left, same).otherwise(~same & (F.right("plus", rest) == F.right("reference", rest))))
     return full.withColumn("mm", hamming(F.col("plus"), F.col("reference"))).where(F.col("mm") <= mismatches).select("query", "chrom", "strand", "start", "mm")
 
 
@@ -80,20 +104,21 @@ def unique_best(found: DataFrame) -> DataFrame:
     return best.select("query", "b.p.*", F.col("b.mm").alias("nm"))
 
 
-def trim_cascade(reads: DataFrame, tiled: DataFrame, k: int = SEED, rounds: list[tuple[int, int, int, str]] = ROUNDS) -> DataFrame:
+def trim_cascade(reads: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, rounds: list[tuple[int, int, int, str]] = ROUNDS) -> DataFrame:
     """Reads by the first round in which they have a unique best place: columns of ``reads``, chrom, strand, start,
     nm, and the round's step, trim5, trim3 and trim_step.
 
-    ``reads(read_id, abundance, seq)``, one row a read.  All rounds are aligned in one join and the least round with
-    a place wins, rather than a loop of anti joins; a place that is dropped later is not retried in another round.
+    ``reads(read_id, abundance, seq)``, one row a read.  Every distinct trimmed sequence of all reads and rounds is
+    aligned once, in one join, and a read's least round with a place wins, rather than a loop of anti joins; a place
+    that is dropped later is not retried in another round.
     """
     tries = F.array(*[F.struct(F.lit(o).alias("step"), F.lit(a).alias("trim5"), F.lit(b).alias("trim3"), F.lit(n).alias("trim_step")) for o, a, b, n in rounds])
     r = reads.withColumn("t", F.explode(tries)).select(*reads.columns, "t.*")
     cut = F.coalesce(*[F.when((F.col("trim5") == a) & (F.col("trim3") == b), trim("seq", a, b)) for _, a, b, _ in rounds])
-    queries = r.select(F.struct("read_id", "step").alias("query"), cut.alias("seq"))
-    mapped = unique_best(places(queries, tiled, k)).select("query.read_id", "query.step", "chrom", "strand", "start", "nm")
-    first = mapped.groupBy("read_id").agg(F.min(F.struct("step", "chrom", "strand", "start", "nm")).alias("m")).select("read_id", "m.*")
-    return first.join(r, ["read_id", "step"])
+    r = r.withColumn("cut", cut)
+    mapped = unique_best(places(r.select(F.col("cut").alias("query"), F.col("cut").alias("seq")).distinct(), tiled, ks)).withColumnRenamed("query", "cut")
+    each = r.join(mapped, "cut").drop("cut")
+    return each.groupBy(F.col("read_id").alias("_read")).agg(F.min_by(F.struct(*each.columns), "step").alias("m")).select("m.*")
 
 
 def resolve_ends(mapped: DataFrame, tiled: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def simulated(genome):
     out = {}
     for k in range(150):
         c = rng.choice(list(genome))
-        n = rng.randint(20, 28)
+        n = rng.randint(13, 40) if k % 3 == 0 else rng.randint(20, 28)
         a = rng.randrange(0, len(genome[c]) - n)
         s = genome[c][a : a + n] if k % 2 else flip(genome[c][a : a + n])
         if k % 5 == 1:
@@ -69,6 +69,25 @@ def test_trim_cascade_equals_brute_force(spark, genome, simulated):
     assert got == brute(simulated, genome)
 
 
+def test_short_reads_have_places(spark, genome):
+    """Every length from 12 on, at every offset of a tile's end, each place once."""
+    g = genome["chr1"]
+    t = align.tiles(spark.createDataFrame([("chr1", 1, g)], "chrom string, offset bigint, seq string"))
+    want, rows = {}, []
+    for n in (12, 13, 15, 16, 19, 22, 27, 28, 45):
+        for a in (0, 985, 990, 995, 999, 1000, 1003, len(g) - n):
+            for at in (None, 1, n // 2 - 1, n // 2, n - 2):
+                s = g[a : a + n]
+                s = s if at is None else s[:at] + {"A": "C", "C": "A", "G": "T", "T": "G"}[s[at]] + s[at + 1 :]
+                s = s if a % 2 else flip(s)
+                rows.append((s, s))
+                want[s] = sorted((sum(x != y for x, y in zip(q, g[i : i + n], strict=True)), strand, i + 1) for strand, q in (("+", s), ("-", flip(s))) for i in range(len(g) - n + 1) if sum(x != y for x, y in zip(q, g[i : i + n], strict=True)) <= 1)
+    got = {}
+    for r in align.places(spark.createDataFrame(rows, "query string, seq string").distinct(), t).collect():
+        got.setdefault(r.query, []).append((r.mm, r.strand, r.start))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_resolved_ends(spark, genome):
     g = genome["chr1"]
     t = align.tiles(spark.createDataFrame([("chr1", 1, g)], "chrom string, offset bigint, seq string"))
