@@ -479,9 +479,33 @@ def genome_lookup(spark, d):
     return align.fetch(loci, align.tiles(genome(spark, d)), F.col("place"), F.lit(20), "bases")
 
 
-@query(None)
+CASCADE = """, raw as (select seq, length(seq) n, count(*) abundance, concat(md5(seq), '|', count(*)) read_id from fastq group by seq),
+tries as (select r.*, o.*, substr(seq, t5 + 1, greatest(n - t5 - t3, 0)) cut from raw r
+  cross join (values (0, 0, 0, 'init-mapping-0'), (1, 0, 1, 'three-trim-1'), (2, 0, 2, 'three-trim-2'), (3, 1, 0, 'five-trim-1'), (4, 2, 0, 'five-trim-2'), (5, 1, 1, 'both-trim-1')) o(step, t5, t3, trim_step)),
+cuts as (select distinct cut, cast(length(cut) as int) len from tries where length(cut) >= 12),
+oriented as (select cut, len, '+' strand, cut plus from cuts union all select cut, len, '-', reverse(translate(cut, 'ACGT', 'TGCA')) from cuts),
+windows as (select chrom, base + i place, len, substr(seq64, i + 1, len) ref from locus, (select distinct len from cuts) l, range(0, 64) t(i) where i + len <= 64),
+near as (select o.cut, o.strand, w.chrom, w.place, hamming(o.plus, w.ref) mm from oriented o join windows w on w.len = o.len and left(w.ref, w.len // 2) = left(o.plus, o.len // 2)
+  union select o.cut, o.strand, w.chrom, w.place, hamming(o.plus, w.ref) mm from oriented o join windows w on w.len = o.len and right(w.ref, w.len - w.len // 2) = right(o.plus, o.len - o.len // 2)),
+best as (select cut, mm, count(*) places, min(chrom) chrom, min(strand) strand, min(place) place from near where mm <= 1 group by cut, mm
+  qualify row_number() over (partition by cut order by mm) = 1),
+first as (select t.*, b.mm, b.chrom, b.strand, b.place - case when b.strand = '-' then t3 else t5 end read_start,
+    case when b.strand = '-' then reverse(translate(t.seq, 'ACGT', 'TGCA')) else t.seq end plus
+  from tries t join best b on b.cut = t.cut and b.places = 1 qualify row_number() over (partition by t.seq order by step) = 1),
+whole as (select f.*, substr(l.seq64, cast(read_start - l.base + 1 as int), cast(n as int)) ref from first f join locus l on l.chrom = f.chrom and read_start >= l.base and read_start + n <= l.base + 64),
+ended as (select *, case when strand = '-' then reverse(translate(ref, 'ACGT', 'TGCA')) else ref end rna_ref from whole),
+sized as (select *, cast(t3 + case when substr(seq, n - t3, 1) <> substr(rna_ref, n - t3, 1) then 1 else 0 end as int) k3,
+    cast(t5 + case when substr(seq, t5 + 1, 1) <> substr(rna_ref, t5 + 1, 1) then 1 else 0 end as int) k5,
+    list_filter(range(1, n + 1), lambda i: substr(plus, cast(i as int), 1) <> substr(ref, cast(i as int), 1)) wrong from ended),
+told as (select *, case when k3 > 0 and hamming(right(seq, k3), right(rna_ref, k3)) = k3 then right(seq, k3) end nte3,
+    case when k5 > 0 and hamming(left(seq, k5), left(rna_ref, k5)) = k5 then left(seq, k5) end nte5 from sized) """
+
+
+@query(CASCADE + """select read_id, abundance, chrom, strand, read_start, read_start + n - 1 read_end, plus seq, nte5, nte3, cast(mm as int) nm,
+       concat(array_to_string(list_transform(wrong, lambda x, i: concat(x - 1 - coalesce(wrong[i - 1], 0), substr(ref, cast(x as int), 1))), ''), n - coalesce(wrong[len(wrong)], 0)) md, trim_step
+from told where len(wrong) - coalesce(length(nte5), 0) - coalesce(length(nte3), 0) < 2""")
 def trim_cascade(spark, d):
-    """The collapsed raw reads through all trimming rounds; held against brute force on a small genome in the tests."""
+    """The collapsed raw reads through all trimming rounds."""
     raw = reads.collapse(bridge(spark, d, "fastq")).withColumn("read_id", F.concat_ws("|", F.md5("seq"), "abundance"))
     tiled = align.tiles(genome(spark, d))
     return align.resolve_ends(align.trim_cascade(raw, tiled), tiled)

@@ -37,7 +37,7 @@ def test_every_query_is_registered():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
-    assert set(QUERIES) - set(ORACLES) == {"trim_cascade"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_interval_join_is_an_equi_join(spark, tmp_path):
