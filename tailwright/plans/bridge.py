@@ -131,10 +131,9 @@ mods as (
 
 
 def bridge(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One derived table; only the base tables and columns that it needs are read."""
-    for name in BASE:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    made = spark.sql(f"with {CTES} {MORE} select * from {table}")
+    """One derived table; only the base tables and columns that it needs are read.  No view is registered."""
+    base = ", ".join(f"{name} as (select * from parquet.`{sf_dir}/{name}.parquet`)" for name in BASE)
+    made = spark.sql(f"with {base}, {CTES} {MORE} select * from {table}")
     # Domain tables would be stored ones.  Without this step the optimizer writes their long expressions into every
     # use of a column, and the generated methods grow beyond what the JVM compiles.
     return made.select(F.explode(F.array(F.struct(*[F.col(c) for c in made.columns]))).alias("row")).select("row.*")

@@ -1,4 +1,8 @@
-"""The whole analysis as one lazy object; ``sample`` and ``grp`` are columns, so all samples are one job."""
+"""The whole analysis as one lazy object; ``sample`` and ``grp`` are columns, so all samples are one job.
+
+Alignments, and the reads that are left after all filters, are used by several results: they are written once to the
+shared folder, when first asked for, and read from there.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tailwright.operators import align, annotate, cohort, ends, hits, intervals, phred, profiles, reads, summary, variants
 from tailwright.operators.summary import KEY
+from tailwright.plans.store import table
 
 
 @dataclass
@@ -44,7 +49,7 @@ class Pipeline:
     def from_reads(cls, collapsed: DataFrame, genome: DataFrame, annotations: DataFrame, priority: DataFrame, **more) -> Pipeline:
         """Aligns ``collapsed(read_id, abundance, seq)`` to ``genome(chrom, offset, seq)`` first."""
         tiled = align.tiles(genome)
-        return cls(align.resolve_ends(align.trim_cascade(collapsed, tiled), tiled), annotations, priority, **more)
+        return cls(table(align.resolve_ends(align.trim_cascade(collapsed, tiled), tiled), "alignments"), annotations, priority, **more)
 
     @cached_property
     def depth(self) -> DataFrame:
@@ -56,16 +61,23 @@ class Pipeline:
         out = annotate.with_profiles(annotate.annotate(self.alignments.select(*annotate.ALIGNMENT), self.annotations, self.priority, s.compat), s.compat)
         return intervals.without_repeats(out, self.repeats, s.compat) if self.repeats is not None else out
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Reads of the class with the second aligner's verdict; stored if more than the first level asks for them."""
+        s = self.settings
+        out = hits.concordance(self.annotated, self.hits, s.species, s.compat)
+        return table(out, "judged") if s.level > 1 else out
+
     @cached_property
     def stringent(self) -> DataFrame:
         s = self.settings
         if self.hits is None:
             return self.annotated
-        return hits.stringency(hits.concordance(self.annotated, self.hits, s.species, s.compat), s.level, s.compat)
+        return hits.stringency(self.judged, s.level, s.compat)
 
     @cached_property
     def canonical(self) -> DataFrame:
-        return ends.canonical_reads(self.stringent, self.settings.share, compat=self.settings.compat)
+        return table(ends.canonical_reads(self.stringent, self.settings.share, compat=self.settings.compat), "canonical")
 
     @cached_property
     def summary(self) -> DataFrame:

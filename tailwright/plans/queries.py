@@ -11,6 +11,7 @@ from tailwright.functions import modifications as M
 from tailwright.functions import sequence as S
 from tailwright.operators import align, annotate, cohort, ends, hits, intervals, phred, profiles, reads, summary, variants
 from tailwright.plans.bridge import bridge, oracle
+from tailwright.plans.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,7 +282,7 @@ from judged j left join (select distinct chrom, strand, p_from, p_to, nte3_ref,
   on b.chrom = j.chrom and b.strand = j.strand and b.p_from = j.p_from and b.p_to = j.p_to and b.nte3_ref = j.nte3_ref and b.nte3 = j.nte3
 where j.consensus = 'CORRECT'""")
 def stringency_l2(spark, d):
-    return hits.stringency(judged(spark, d), 2).select("read_id", "anno_name", M.zero_if_none(F.col("nte3")).alias("nte3"))
+    return hits.stringency(table(judged(spark, d), "judged"), 2).select("read_id", "anno_name", M.zero_if_none(F.col("nte3")).alias("nte3"))
 
 
 @query("""select j.read_id, j.anno_name, case when b.p_from is null then j.nte3 else '0' end nte3
@@ -289,7 +290,7 @@ from judged j left join (select distinct chrom, strand, p_from, p_to, nte3_ref,
   on b.chrom = j.chrom and b.strand = j.strand and b.p_from = j.p_from and b.p_to = j.p_to and b.nte3_ref = j.nte3_ref and b.nte3 = j.nte3
 where j.consensus = 'CORRECT' and j.anno_name not in (select anno_name from judged where consensus <> 'CORRECT' and nm = 0)""")
 def stringency_l3(spark, d):
-    return hits.stringency(judged(spark, d), 3).select("read_id", "anno_name", M.zero_if_none(F.col("nte3")).alias("nte3"))
+    return hits.stringency(table(judged(spark, d), "judged"), 3).select("read_id", "anno_name", M.zero_if_none(F.col("nte3")).alias("nte3"))
 
 
 @query("""select j.read_id, case when b.p_from is null then 0 else j.k end internal
@@ -297,7 +298,7 @@ from judged j left join (select distinct chrom, strand, p_from, p_to, nte3_ref,
   on b.chrom = j.chrom and b.strand = j.strand and b.p_from = j.p_from and b.p_to = j.p_to and b.nte3_ref = j.nte3_ref and b.nte3 = j.nte3
 where j.consensus = 'CORRECT'""")
 def stringency_l2_compat(spark, d):
-    return hits.stringency(judged(spark, d), 2, compat=True).select("read_id", F.size("sites").alias("internal"))
+    return hits.stringency(table(judged(spark, d), "judged"), 2, compat=True).select("read_id", F.size("sites").alias("internal"))
 
 
 # Canonical ends
