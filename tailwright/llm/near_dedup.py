@@ -291,23 +291,24 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     columns are not read.
     """
     made = table(signed(docs, text, id_col), "signed")
+    n = made.count()
     nodes = made.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    reps = table(made.where(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    reps = table(made.where(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps", n)
     spread = reps.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = table(spread.join(full, "bucket"), "members")
+    members = table(spread.join(full, "bucket"), "members", n)
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     weighed = members.join(mass, "node").select("bucket", "node", "mass")
     leader = weighed.groupBy("bucket").agg(F.max(F.struct("mass", "node")).alias("lead"))
     pairs = weighed.join(leader, "bucket").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    texts = table(_texts_of(docs, members.select("node").distinct(), text).join(reps.select("key", "sig"), "key"), "texts")
-    links = table(verified(pairs, texts), "links")
+    texts = table(_texts_of(docs, members.select("node").distinct(), text).join(reps.select("key", "sig"), "key"), "texts", n)
+    links = table(verified(pairs, texts), "links", n)
     labels = components(links)
-    more = table(_open_links(members.select("bucket", "node"), labels, texts), "links")
+    more = table(_open_links(members.select("bucket", "node"), labels, texts, n), "links", n)
     if not more.isEmpty():
-        labels = components(table(links.unionByName(more), "links"))
+        labels = components(table(links.unionByName(more), "links", n, 100_000))
     named_nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named_nodes = table(named_nodes, "nodes")
+    named_nodes = table(named_nodes, "nodes", n, 100_000)
     classes = named_nodes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     of_key = named_nodes.join(classes, "label").select("key", "class_id", "class_size")
     return made.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_col), "key", "class_id", "class_size")
@@ -331,17 +332,18 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
     return one
 
 
-def _open_links(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between different components that share a bucket; each bucket is dealt out as pairs of tiles."""
-    named = table(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+def _open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links between different components that share a bucket; each bucket is dealt out as pairs of tiles.  The texts
+    are of about ``n`` documents."""
+    named = table(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named", n)
     per = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
     open_ = per.where("low <> high").groupBy("low", "high", "n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    named = table(named.join(open_, "bucket"), "open")
+    named = table(named.join(open_, "bucket"), "open", n)
     largest = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("largest"))
     named = named.join(largest, "bucket").withColumn("inner", F.col("label") == F.col("largest.label")).drop("largest")
-    ready = table(named.join(texts.withColumnRenamed("key", "node"), "node"), "open")
+    ready = table(named.join(texts.withColumnRenamed("key", "node"), "node"), "open", n)
     maybe = _dealt(ready.drop("text"), F.lit(1.0 / SIGNED_TILE)).groupBy("bucket", "i", "j").applyInArrow(_maybe, "bucket long, node binary")
-    ready = table(ready.join(table(maybe.distinct(), "maybe"), ["bucket", "node"], "left_semi"), "open")
+    ready = table(ready.join(table(maybe.distinct(), "maybe", n), ["bucket", "node"], "left_semi"), "open", n)
     return _dealt(ready, F.lit(1.0 / TILE) + F.length("text") / float(TILE_BYTES)).groupBy("bucket", "i", "j").applyInArrow(_tiles, "a binary, b binary").distinct()
 
 
@@ -357,7 +359,8 @@ def _dealt(rows: DataFrame, weight: Column) -> DataFrame:
     out = rows.join(sizes, "bucket").where(outer > 0)
     out = out.withColumn("part", (F.when(inner, outer + F.pmod(lot, F.greatest(all_ - outer, F.lit(1)))).otherwise(F.pmod(lot, outer))).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.when(inner, outer).otherwise(all_) - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    return out.withColumn("tile", F.explode(pairs)).select(*rows.columns, "part", "tile.i", "tile.j")
+    # grouping by bucket alone would do for Spark, but not for a bucket of many tiles
+    return out.withColumn("tile", F.explode(pairs)).select(*rows.columns, "part", "tile.i", "tile.j").repartition("bucket", "i", "j")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tailwright.plans import store
+from tailwright.plans.store import drop_tables, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; where unset (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tailwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["bounded", "documents", "drop_tables", "extended", "remainder", "shared_dir", "table"]
 
 
 def bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
@@ -28,12 +21,10 @@ def bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
             spark.conf.set(name, str(most))
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there and a lost executor costs no work twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tailwright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(df: DataFrame, name: str, rows: int | None = None, each: int = 10_000) -> DataFrame:
+    """``df`` written to the shared folder and read again.  Where about how many ``rows`` it has is known, it is written
+    by a task for ``each`` of them at most, as many tiny files cost more than they hold."""
+    return store.table(df if rows is None else df.coalesce(max(1, -(-rows // each))), name)
 
 
 def extended(fields: list[StructField], ddl: str) -> StructType:
@@ -41,13 +32,6 @@ def extended(fields: list[StructField], ddl: str) -> StructType:
     return StructType([*fields, *StructType.fromDDL(ddl).fields])
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes all tables that table() has written to the shared folder; frames that read them are then of no use."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tailwright")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -106,8 +106,8 @@ def test_tables_are_read_again_and_dropped(spark):
     from tailwright.llm.session import drop_tables, shared_dir, table
 
     made = table(spark.range(5).withColumnRenamed("id", "doc_id"), "numbers")
-    assert made.count() == 5 and "tailwright/numbers" in made.inputFiles()[0]
+    assert made.count() == 5 and "/numbers-" in made.inputFiles()[0]
     drop_tables(spark)
     import os
 
-    assert not os.path.exists(shared_dir(spark).removeprefix("file://") + "/tailwright")
+    assert not os.path.exists(shared_dir(spark).removeprefix("file://") + "/tailwright/" + spark.sparkContext.applicationId)
