@@ -12,6 +12,7 @@ from tailwright.llm.quality_rules import op5_fertility
 from tailwright.llm.token_counts import op10_token_counts
 from tailwright.llm.toxicity import op6_toxicity
 from tailwright.llm.url_filter import op7_url_filter
+from tailwright.llm.url_filter import sql as url_filter_sql
 
 QUERIES = {
     "op1_ppm": op1_ppm,
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The models and hashes of the others can't be stated in it.
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter_sql()}

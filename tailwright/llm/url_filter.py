@@ -2,8 +2,9 @@
 
 The tree of a host has the path's segments as levels.  A segment with digits becomes the wildcard of its shape; a
 literal branch that few pages share becomes ``*``; sibling branches whose labelled rates can't be told apart from
-their parent's (two-sided z test) are merged into one.  A template is rejected if its purity, smoothed towards its
-host's and that towards the whole table's, is below the limit.
+their parent's (two-sided z test) are merged into one.  A template's purity is its share of good pages, smoothed
+towards its host's and that towards the whole table's.  It is rejected if that is below one half, or if its bad share
+is credibly, by the lower end of its interval, both above a limit and a multiple of the whole table's.
 
 Pages are first summed by (host, template), map-side, so a host with a third of all pages is one row a template.
 """
@@ -33,8 +34,11 @@ SIMILAR_Z = 1.96
 SMOOTHING = 5.0
 #: A template whose smoothed share of good pages is below it is rejected.
 MIN_PURITY = 0.5
-#: Copies of each template row when pages look theirs up, so that no one template's pages meet in one task.
-SALT = 32
+#: So is one whose bad share, less so many standard errors, is above both a limit and a multiple of the table's.
+BAD_Z, BAD_SHARE, BAD_RATIO = 1.96, 0.25, 2.0
+#: Copies of a template row when pages look theirs up, for that many shapes with the most pages, so that their pages
+#: don't meet in one task; any other shape has less than one page in HOT_SHAPES.
+SALT, HOT_SHAPES = 32, 1000
 
 
 def host_of(url: Column) -> Column:
@@ -76,7 +80,8 @@ def path_shape(path: Column) -> Column:
 
 
 def templates(leaves: DataFrame) -> DataFrame:
-    """Maps each (host, shape) of ``leaves(host, shape, n, labelled, good)`` to its ``template`` and ``purity``.
+    """Maps each (host, shape) of ``leaves(host, shape, n, labelled, good)`` to its ``template``, the template's
+    ``purity``, and whether it is ``rejected``.
 
     Level by level: a rare literal becomes ``*``; then a branch that is statistically like its siblings taken
     together joins them under ``<any>`` if they have labels to be compared by.  It goes on until no branch has further
@@ -110,10 +115,13 @@ def templates(leaves: DataFrame) -> DataFrame:
         t = t.unionByName(more)
     total = t.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("all_share"))
     host = t.groupBy(F.col("host").alias("hh")).agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl")).crossJoin(F.broadcast(total))  # one row
-    host = host.select("hh", ((F.col("hg") + SMOOTHING * F.col("all_share")) / (F.col("hl") + SMOOTHING)).alias("host_share"))
+    host = host.select("hh", "all_share", ((F.col("hg") + SMOOTHING * F.col("all_share")) / (F.col("hl") + SMOOTHING)).alias("host_share"))
     leaf = t.groupBy(F.col("host").alias("th"), F.col("template").alias("tt")).agg(F.sum("n").alias("template_pages"), F.sum("good").alias("tg"), F.sum("labelled").alias("tl"))
-    leaf = leaf.join(host, F.col("th") == F.col("hh")).select("th", "tt", "template_pages", ((F.col("tg") + SMOOTHING * F.col("host_share")) / (F.col("tl") + SMOOTHING)).alias("purity"))
-    return t.join(leaf, (F.col("host") == F.col("th")) & (F.col("template") == F.col("tt"))).select("host", "shape", "template", "template_pages", "purity")
+    leaf = leaf.join(host, F.col("th") == F.col("hh")).select("th", "tt", "template_pages", "tl", "all_share", ((F.col("tg") + SMOOTHING * F.col("host_share")) / (F.col("tl") + SMOOTHING)).alias("purity"))
+    error = F.sqrt(F.col("purity") * (1 - F.col("purity")) / (F.col("tl") + SMOOTHING))
+    bad = F.greatest(F.lit(BAD_SHARE), BAD_RATIO * (1 - F.col("all_share")))
+    leaf = leaf.withColumn("rejected", (F.col("purity") < MIN_PURITY) | (1 - F.col("purity") - BAD_Z * error > bad))
+    return t.join(leaf, (F.col("host") == F.col("th")) & (F.col("template") == F.col("tt"))).select("host", "shape", "n", "template", "template_pages", "purity", "rejected")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, url: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -136,8 +144,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tu
         numbered = summed.where("number is not null").join(known, F.col("number") == F.col("label_number"), "left").select("host", "shape", "n", F.when(F.col("good").isNotNull(), F.col("n")).alias("labelled"), (F.col("n") * F.col("good")).alias("good"))
         rest = summed.where("number is null").select("host", "shape", "n", F.lit(None).cast("long").alias("labelled"), F.lit(None).cast("long").alias("good"))
         leaves = numbered.unionByName(rest).groupBy("host", "shape").agg(F.sum("n").alias("n"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    tree = templates(table(leaves, "leaves")).select(F.col("host").alias("kh"), F.col("shape").alias("ks"), "template", "purity", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("kx"))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    leaves = table(leaves, "leaves")
+    hot = leaves.orderBy(F.desc("n"), "host", "shape").limit(HOT_SHAPES).select(F.col("host").alias("hot_host"), F.col("shape").alias("hot_shape"))
+    marked = lambda df: df.join(F.broadcast(hot), (F.col("host") == F.col("hot_host")) & (F.col("shape") == F.col("hot_shape")), "left")  # noqa: E731  HOT_SHAPES rows
+    copies = F.when(F.col("hot_host").isNotNull(), F.lit(SALT)).otherwise(1)
+    tree = marked(templates(leaves)).select(F.col("host").alias("kh"), F.col("shape").alias("ks"), "template", "purity", "rejected", F.explode(F.sequence(F.lit(0), copies - 1)).alias("kx"))
+    salted = marked(base).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), copies).cast("int"))
     out = salted.join(tree, (F.col("host") == F.col("kh")) & (F.col("shape") == F.col("ks")) & (F.col("salt") == F.col("kx")), "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumn("ruled", rule)
@@ -146,7 +158,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tu
         "host",
         "path",
         F.col("ruled.rule").alias("rule"),
-        F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") < MIN_PURITY, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce(F.col("ruled.verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "template",
         "purity",
     )
@@ -156,3 +168,40 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; the number in a path names the document whose quality label is the page's."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("number"), F.col("quality").alias("good"))
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels)
+
+
+def sql(levels: int = 8) -> str:
+    """The query over ``pages`` and ``labels`` as SQL for DuckDB, for paths of fewer segments than ``levels``."""
+    segment = f"""case when regexp_matches(s, '^[0-9]+$') then '<n>' when regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') then '<hex>'
+      when regexp_matches(s, '^[0-9]+\\.[A-Za-z0-9]{{1,5}}$') then concat('<n>.', regexp_extract(s, '\\.([A-Za-z0-9]+)$', 1))
+      when regexp_matches(s, '[0-9]') then '<x>' when length(s) > 40 then '<long>' else s end"""
+    named = lambda s, n: f"case when {n} < {MIN_BRANCH} and not starts_with({s}, '<') then '*' else {s} end"
+    fits = [(len(r), v, r, *r.split("/", 1)) for v, r in RULES]
+    cases = lambda pick: "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{rest}') then '{pick(v, r)}'" for _, v, r, h, rest in sorted(fits, reverse=True)) + " end"
+    out = f"""with base as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{SMALL}'), '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+shaped as (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {segment}) parts,
+  {cases(lambda v, r: r)} ruled, {cases(lambda v, r: v)} ruling, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1), '') as bigint) number from base),
+known as (select doc_id, max(quality) good from labels where doc_id is not null and quality is not null group by doc_id),
+t0 as (select host, parts, count(*) n, count(good) labelled, coalesce(sum(good), 0) good, '' template from shaped left join known on doc_id = number group by host, parts)"""
+    for k in range(levels):
+        out += f""",
+b{k} as (select host, template, parts[{k + 1}] seg, sum(n) bn, sum(labelled) bl, sum(good) bg, count(*) shapes from t{k} group by all),
+n{k} as (select *, case when seg is not null then {named("seg", "bn")} end name from b{k}),
+p{k} as (select host, template, sum(bl) pl, sum(bg) pg, count(name) kinds, sum(shapes) shapes_in, cast(sum(bg) as double) / cast(nullif(sum(bl), 0) as double) rate from n{k} group by all),
+c{k} as (select n.host, n.template, n.seg, case when kinds > 1 and bl > 0 and name is not null
+    and abs(cast(bg as double) / cast(bl as double) - rate) / sqrt((rate * (1 - rate) + 1e-9) / cast(bl as double)) <= {SIMILAR_Z} then '<any>' else name end name, shapes_in = 1 alone
+  from n{k} n join p{k} p on p.host = n.host and p.template = n.template),
+u{k} as (select t.host, t.parts, t.n, t.labelled, t.good, concat(t.template, '/' || c.name, case when alone then array_to_string(list_transform(parts[{k + 2}:], lambda s: concat('/', {named("s", "t.n")})), '') else '' end) template, alone or c.seg is null ended
+  from t{k} t join c{k} c on c.host = t.host and c.template = t.template and c.seg is not distinct from t.parts[{k + 1}]),
+t{k + 1} as (select * exclude (ended) from u{k} where not ended)"""
+    ended = " union all ".join(f"select * exclude (ended) from u{k} where ended" for k in range(levels))
+    return out + f""",
+t as ({ended}),
+total as (select cast(coalesce(sum(good), 0) + 1 as double) / cast(coalesce(sum(labelled), 0) + 2 as double) all_share from t),
+hosts as (select host, (cast(sum(good) as double) + {SMOOTHING} * any_value(all_share)) / (cast(sum(labelled) as double) + {SMOOTHING}) host_share from t, total group by host),
+leaf as (select t.host, t.template, cast(sum(labelled) as double) tl, (cast(sum(good) as double) + {SMOOTHING} * any_value(host_share)) / (cast(sum(labelled) as double) + {SMOOTHING}) purity
+  from t join hosts h on h.host = t.host group by t.host, t.template),
+judged as (select *, purity < {MIN_PURITY} or 1 - purity - {BAD_Z} * sqrt(purity * (1 - purity) / (tl + {SMOOTHING})) > greatest({BAD_SHARE}e0, {BAD_RATIO} * (1 - all_share)) rejected from leaf, total)
+select page_id, s.host, path, ruled "rule", coalesce(ruling, case when rejected then 'block' else 'allow' end) verdict, t.template, purity
+from shaped s left join t on t.host = s.host and t.parts = s.parts left join judged j on j.host = t.host and j.template = t.template"""

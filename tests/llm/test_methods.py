@@ -404,6 +404,41 @@ def test_templates_of_deep_paths(spark, depth):
     assert got[82].template == f"/{top}/*/*/*/*/<x>/*"
 
 
+def test_url_filter_equals_its_sql_and_blocks_planted_templates(spark, tmp_path, monkeypatch):
+    """Random pages of many hosts, most of them good, with templates that are mostly bad, worse than the rest, and as
+    good as the rest; some shapes are salted."""
+    import duckdb
+
+    monkeypatch.setattr(url_filter, "HOT_SHAPES", 3)
+    rng = random.Random(39)
+    share = {"articles": 0.9, "pills": 0.05, "ads": 0.4, "docs": 0.9}
+    rows, label, kind = [], [], {}
+    for k in range(3000):
+        host, top = rng.choice(["a.org", "c.org", "www.example.com"]), rng.choices(list(share), [45, 5, 5, 45])[0]
+        deep = "".join(f"/{rng.choice(['x', 'y', 'z7', 'rare' + chr(97 + k % 26) * 3, ''])}" for _ in range(rng.randint(0, 4)))
+        path = rng.choice([f"/{top}{deep}/{k}", f"/{top}/{k}.html", f"/{top}/{k}{deep}", "/es/" + str(k)]) if top in ("articles", "docs") else f"/{top}/{k}"
+        rows.append((k, f"https://{host}{path}{rng.choice(['', '?a=1', '#t'])}"))
+        if path.startswith(f"/{top}"):
+            kind[k] = top
+        if rng.random() < 0.6:
+            label.append((k, int(rng.random() < share[top])))
+    rows += [(9001, None), (9002, "nothing"), (9001, None), (None, "https://a.org/")]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(label, "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = url_filter.op7_url_filter(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    names = ["page_id", "host", "path", "rule", "verdict", "template", "purity"]
+    want = con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in names)} from ({url_filter.sql()})").fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got))) == sorted(map(str, want))
+    open_ = [r for r in got if r.rule is None and r.page_id in kind]
+    blocked = Counter(kind[r.page_id] for r in open_ if r.verdict == "block")
+    seen = Counter(kind[r.page_id] for r in open_)
+    assert blocked["pills"] >= 0.95 * seen["pills"] and blocked["ads"] >= 0.6 * seen["ads"], (blocked, seen)
+    assert blocked["articles"] + blocked["docs"] <= 0.02 * (seen["articles"] + seen["docs"]), (blocked, seen)
+
+
 def test_url_rules_equal_brute_force(spark):
     rng = random.Random(11)
     hosts = ["example.com", "www.example.com", "a.www.Example.com", "myexample.com", "x.net", "net", "y.org", "com"]
