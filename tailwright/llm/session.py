@@ -21,7 +21,7 @@ def bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
             spark.conf.set(name, str(most))
 
 
-def table(df: DataFrame, name: str, rows: int | None = None, each: int = 10_000) -> DataFrame:
+def table(df: DataFrame, name: str, rows: int | None = None, each: int = 2_500) -> DataFrame:
     """``df`` written to the shared folder and read again.  Where about how many ``rows`` it has is known, it is written
     by a task for ``each`` of them at most, as many tiny files cost more than they hold."""
     return store.table(df if rows is None else df.coalesce(max(1, -(-rows // each))), name)

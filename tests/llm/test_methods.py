@@ -333,6 +333,37 @@ def test_base_counts_equal_brute_force(spark):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_scripts_of_samples():
+    samples = {"latin": "Hôm nay thời tiết đẹp", "southeast": "วันนี้อากาศดีมาก", "indic": "मैं घर जा रहा हूँ", "greek": "Σήμερα ο καιρός", "cyrillic": "Сегодня погода", "hebrew": "היום יפה", "arabic": "اليوم جميل", "cjk": "今日は天気がいい", "hangul": "오늘 날씨가", "none": "12 — 34 … !"}
+    assert {quality_rules.SCRIPTS[quality_rules.script_of(t.encode())]: t for t in samples.values()} == samples
+    assert quality_rules.script_of(b"") == 0
+
+
+def test_bands_reject_planted_texts(spark):
+    """Texts that pass the base rules: plain prose stays; strange alphabets, codes, raw bytes and one word over go."""
+    rng = random.Random(40)
+    english = "The weather was fine and we went along the river with some friends who had never seen the old town before nor heard of its markets bridges and small houses by a lake where children swim every summer until September comes".split()
+    good = [" ".join(rng.choice(english) + str(k % 7 if rng.random() < 0.05 else "") for k in range(120)) for _ in range(20)]
+    good += [" ".join(rng.choice("Сегодня была хорошая погода и мы долго гуляли по берегу реки вместе с нашими старыми друзьями".split()) for _ in range(90)) for _ in range(5)]
+    code = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    bad = [" ".join(code(30) for _ in range(60)) for _ in range(10)]
+    bad += [" ".join("".join(c + rng.choice("\u0301\u0323\u0489\u0334\u035c") * 2 for c in rng.choice(english)) for _ in range(80)) for _ in range(10)]
+    bad += [" ".join("".join(chr(rng.randrange(0x1F300, 0x1FAFF)) for _ in range(3)) + "ab" for _ in range(80)) for _ in range(10)]
+    bad += [" ".join("a" * rng.randint(40, 90) + str(k) for k in range(60)) for _ in range(5)]
+    d = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.measure(d).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [k for k in range(len(good)) if not got[k].kept] == []
+    assert [k for k in range(len(good), len(got)) if got[k].kept] == []
+
+
+def test_the_second_vocabulary_decides_too():
+    b = quality_rules.BANDS["latin"]
+    x = [quality_rules.SCRIPTS.index("latin"), 3.0, 3.0, 0.0, 1.0, 4.0]
+    assert quality_rules.judge(*x)
+    assert not quality_rules.judge(*x[:2], b.second_low / 2, *x[3:]) and not quality_rules.judge(*x[:2], b.second_high * 2, *x[3:])
+
+
 # 6
 
 
