@@ -343,7 +343,7 @@ def test_bands_reject_planted_texts(spark):
     """Texts that pass the base rules: plain prose stays; strange alphabets, codes, raw bytes and one word over go."""
     rng = random.Random(40)
     english = "The weather was fine and we went along the river with some friends who had never seen the old town before nor heard of its markets bridges and small houses by a lake where children swim every summer until September comes".split()
-    good = [" ".join(rng.choice(english) + str(k % 7 if rng.random() < 0.05 else "") for k in range(120)) for _ in range(20)]
+    good = [" ".join(rng.choice(english) + ("" if k % 9 else "," if k % 2 else ".") for k in range(120)) for _ in range(20)]
     good += [" ".join(rng.choice("Сегодня была хорошая погода и мы долго гуляли по берегу реки вместе с нашими старыми друзьями".split()) for _ in range(90)) for _ in range(5)]
     code = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
     bad = [" ".join(code(30) for _ in range(60)) for _ in range(10)]
