@@ -2,7 +2,8 @@
 
 P(grade <= k) = sigmoid(t_k - w.x): one weight vector for all thresholds t_0 < t_1 < ...  Features are words
 without outer punctuation and word beginnings of five bytes, by hash, valued log(1 + count); those that don't tell
-toxic from other documents are left out, so that a long text gathers no noise.
+toxic from other documents are left out, so that a long text gathers no noise.  Labels are 0 or 1: the grades of toxic
+documents follow from the evidence that the other half of the sample finds in them.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from tailwright.llm.textkernel import Block, bare, blocks
 
 #: The regression is fitted on about so many labelled documents, chosen by a hash, of at most so many bytes in all.
 FIT_DOCS, FIT_BYTES = 6000, 64 << 20
-#: A feature is used if so many toxic documents have it and its log odds exceed both the margin and Z standard errors.
+#: A feature is used if so many documents have it and its log odds, either way, exceed both the margin and Z standard
+#: errors.
 LEAST_DOCS, LOG_ODDS, Z = 3, 2.0, 4.0
-#: Grades: 0 for documents that aren't toxic; toxic ones by how many marked words they have: up to 2, up to 5, more.
-STEPS = (2, 5)
+#: Grades: 0 for documents that aren't toxic, and 1 to GRADES for toxic ones; GRADE_CUTS are the shares of toxic
+#: documents, by their evidence, that have grade 1, and 1 or 2.
+GRADES, GRADE_CUTS = 3, (0.1, 0.4)
 EPOCHS, RATE, RIDGE = 2000, 0.1, 1e-5
 TOXIC = 0.5
 
@@ -93,6 +96,33 @@ class Ordinal:
         return self
 
 
+def log_odds(key: np.ndarray, toxic: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n features its log odds of being in a toxic document rather than another one, and whether it is
+    used; ``key`` and ``toxic`` are those of each (document, feature), ``label`` that of each document."""
+    bad, all_ = np.bincount(key, toxic, minlength=n), np.bincount(key, minlength=n)
+    good, n_bad, n_good = all_ - bad, label.sum(), (1 - label).sum()
+    odds = np.log((bad + 0.5) / (n_bad - bad + 0.5)) - np.log((good + 0.5) / (n_good - good + 0.5))
+    error = np.sqrt(1 / (bad + 0.5) + 1 / (n_bad - bad + 0.5) + 1 / (good + 0.5) + 1 / (n_good - good + 0.5))
+    return odds, (all_ >= LEAST_DOCS) & (np.abs(odds) > LOG_ODDS) & (np.abs(odds) > Z * error)
+
+
+def severities(doc: np.ndarray, key: np.ndarray, count: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    """A grade from 1 to GRADES for each document, by the evidence in it.
+
+    Labels tell only toxic from other documents.  A document's evidence is the sum of the log odds of the features
+    that the other half of the documents marks, each times the log of its count; what a document itself has can't
+    mark it.  Toxic documents are cut by GRADE_CUTS; equal evidence has the lower grade.
+    """
+    half = np.arange(len(label)) % 2
+    value = np.zeros(len(label))
+    for k in (0, 1):
+        other = half[doc] != k
+        odds, used = log_odds(key[other], label[doc[other]], label[half != k], n)
+        own = (half[doc] == k) & used[key]
+        value += np.bincount(doc[own], (odds[key] * np.log1p(count))[own], minlength=len(label))
+    return 1 + np.searchsorted(np.quantile(value[label > 0], GRADE_CUTS), value, side="left")
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Ordinal:
     """Fits on ``labels(doc_id, toxic)`` of ``docs``; nulls teach nothing, and of an id labelled twice the higher label
     counts.  Without a toxic row no feature is used and every document has the same small severity.  Repeated ids
@@ -118,25 +148,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Ordinal:
     got = sorted((int(r["label"] > 0), bytes(r["x"])) for r in rows.mapInArrow(run, "label int, x binary").collect())
     label = np.array([a for a, _ in got], np.int64)
     flat = [np.frombuffer(x, np.uint64).reshape(2, -1) for _, x in got]
-    neutral = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([4.0, 5.0, 6.0]))
+    neutral = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.arange(4.0, GRADES + 4))
     if not label.any() or label.all():
         return neutral
     h, count = np.concatenate([x[0] for x in flat]), np.concatenate([x[1] for x in flat]).astype(np.int64)
     doc = np.repeat(np.arange(len(flat)), [x.shape[1] for x in flat])
     keys, at = np.unique(h, return_inverse=True)
-    bad, all_ = np.bincount(at, label[doc]), np.bincount(at)
-    good, n_bad, n_good = all_ - bad, label.sum(), (1 - label).sum()
-    odds = np.log((bad + 0.5) / (n_bad - bad + 0.5)) - np.log((good + 0.5) / (n_good - good + 0.5))
-    error = np.sqrt(1 / (bad + 0.5) + 1 / (n_bad - bad + 0.5) + 1 / (good + 0.5) + 1 / (n_good - good + 0.5))
-    used = (bad >= LEAST_DOCS) & (odds > LOG_ODDS) & (odds > Z * error)
-    if not used.any():
+    odds, used = log_odds(at, label[doc], label, len(keys))
+    if not (used & (odds > 0)).any():
         return neutral
-    model = Ordinal(keys[used], np.zeros(int(used.sum())), np.array([1.0, 2.0, 3.0]))
+    model = Ordinal(keys[used], np.zeros(int(used.sum())), np.arange(1.0, GRADES + 1))
     number = np.full(len(keys), -1)
     number[used] = np.arange(int(used.sum()))
     own = number[at] >= 0
-    marked = np.bincount(doc[own], count[own], minlength=len(label))
-    grade = np.where(label > 0, 1 + (marked > STEPS[0]) + (marked > STEPS[1]), 0)
+    grade = np.where(label > 0, severities(doc, at, count, label, len(keys)), 0)
     return model.fit(doc[own], number[at][own], count[own], grade)
 
 

@@ -387,6 +387,21 @@ def test_toxic_documents(spark):
     assert by_count == sorted(by_count) and by_count[0] < 0.2 < 1 < by_count[2]
 
 
+def test_severities_follow_the_evidence_of_the_other_half():
+    rng = np.random.default_rng(41)
+    label = np.arange(400) % 5 == 0
+    times = np.where(label, rng.integers(1, 9, 400), 0)  # how many of 9 marked features a document has
+    doc, key = [], []
+    for d in range(400):
+        own = [*rng.choice(9, times[d], replace=False), *(9 + rng.choice(50, 20, replace=False)), 100 + d]
+        doc += [d] * len(own)
+        key += own
+    doc, key = np.array(doc), np.array(key)
+    grade = toxicity.severities(doc, key, np.ones(len(doc), np.int64), label.astype(np.int64), 500)
+    assert set(grade[label]) == {1, 2, 3} and (grade[~label] == 1).all()
+    assert all(times[label & (grade == a)].mean() < times[label & (grade == a + 1)].mean() for a in (1, 2))
+
+
 def test_ordinal_gradient():
     rng = np.random.default_rng(1)
     doc, key, n = np.arange(40) % 30, rng.integers(0, 4, 40), rng.integers(1, 4, 40)
