@@ -97,14 +97,36 @@ def places(queries: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, mi
     return full.withColumn("mm", hamming(F.col("plus"), F.col("reference"))).where(F.col("mm") <= mismatches).select("query", "chrom", "strand", "start", "mm")
 
 
-def unique_best(found: DataFrame) -> DataFrame:
-    """For each query with just one place among those with its fewest mismatches, that place."""
+def unique_best(found: DataFrame, most: int = 1) -> DataFrame:
+    """For each query with at most ``most`` places among those with its fewest mismatches, the least of them."""
     level = found.groupBy("query", "mm").agg(F.count("*").alias("n"), F.min(F.struct("chrom", "strand", "start")).alias("p"))
-    best = level.groupBy("query").agg(F.min(F.struct("mm", "n", "p")).alias("b")).where("b.n = 1")
+    best = level.groupBy("query").agg(F.min(F.struct("mm", "n", "p")).alias("b")).where(F.col("b.n") <= most)
     return best.select("query", "b.p.*", F.col("b.mm").alias("nm"))
 
 
-def trim_cascade(reads: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, rounds: list[tuple[int, int, int, str]] = ROUNDS) -> DataFrame:
+def rounds_of(three: bool = False, five: bool = False, both: bool = False) -> list[tuple[int, int, int, str]]:
+    """The rounds of one kind of trimming; all of them if none is named, and no more than one may be."""
+    if three + five + both > 1:
+        raise ValueError("choose one of the three kinds of trimming")
+    return [r for r in ROUNDS if not (three and r[1]) and not (five and r[2])]
+
+
+def options(line: str) -> dict[str, int]:
+    """``mismatches`` and ``most`` of a short-read aligner's command line, such as ``-v 1 -m 1 --best --strata``.
+
+    Only the best stratum is ever reported, so both of its flags must be there; other flags concern files and formats.
+    """
+    words = line.split()
+    value = lambda flag, default: int(words[words.index(flag) + 1]) if flag in words else default
+    out = {"mismatches": value("-v", 1), "most": value("-m", 1)}
+    if out["mismatches"] not in (0, 1) or out["most"] < 1:
+        raise ValueError("-v is 0 or 1, and -m at least 1")
+    if not {"--best", "--strata"} <= set(words):
+        raise ValueError("only --best --strata is offered")
+    return out
+
+
+def trim_cascade(reads: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, rounds: list[tuple[int, int, int, str]] = ROUNDS, mismatches: int = 1, most: int = 1) -> DataFrame:
     """Reads by the first round in which they have a unique best place: columns of ``reads``, chrom, strand, start,
     nm, and the round's step, trim5, trim3 and trim_step.
 
@@ -116,7 +138,7 @@ def trim_cascade(reads: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS
     r = reads.withColumn("t", F.explode(tries)).select(*reads.columns, "t.*")
     cut = F.coalesce(*[F.when((F.col("trim5") == a) & (F.col("trim3") == b), trim("seq", a, b)) for _, a, b, _ in rounds])
     r = r.withColumn("cut", cut)
-    mapped = unique_best(places(r.select(F.col("cut").alias("query"), F.col("cut").alias("seq")).distinct(), tiled, ks)).withColumnRenamed("query", "cut")
+    mapped = unique_best(places(r.select(F.col("cut").alias("query"), F.col("cut").alias("seq")).distinct(), tiled, ks, mismatches), most).withColumnRenamed("query", "cut")
     each = r.join(mapped, "cut").drop("cut")
     return each.groupBy(F.col("read_id").alias("_read")).agg(F.min_by(F.struct(*each.columns), "step").alias("m")).select("m.*")
 

@@ -31,6 +31,18 @@ class Settings:
     samples: int = cohort.SAMPLES
     compat: bool = False
 
+    def __post_init__(self) -> None:
+        checks = {
+            "level is 1, 2 or 3": self.level in (1, 2, 3),
+            "share is 0 to 1": 0 <= self.share <= 1,
+            "percentages are 0 to 100, the least first": 0 <= self.least_percent <= self.most_percent <= 100,
+            "a quality limit is 0 to 42": 0 <= self.quality <= 42,
+            "reads and samples are at least 1": self.reads >= 1 and self.samples >= 1,
+        }
+        for text, ok in checks.items():
+            if not ok:
+                raise ValueError(text)
+
 
 @dataclass
 class Pipeline:
@@ -46,10 +58,11 @@ class Pipeline:
     settings: Settings = field(default_factory=Settings)
 
     @classmethod
-    def from_reads(cls, collapsed: DataFrame, genome: DataFrame, annotations: DataFrame, priority: DataFrame, **more) -> Pipeline:
-        """Aligns ``collapsed(read_id, abundance, seq)`` to ``genome(chrom, offset, seq)`` first."""
+    def from_reads(cls, collapsed: DataFrame, genome: DataFrame, annotations: DataFrame, priority: DataFrame, limits: dict | None = None, **more) -> Pipeline:
+        """Aligns ``collapsed(read_id, abundance, seq)`` to ``genome(chrom, offset, seq)`` first; ``limits`` are those of
+        trim_cascade()."""
         tiled = align.tiles(genome)
-        return cls(table(align.resolve_ends(align.trim_cascade(collapsed, tiled), tiled), "alignments"), annotations, priority, **more)
+        return cls(table(align.resolve_ends(align.trim_cascade(collapsed, tiled, **(limits or {})), tiled), "alignments"), annotations, priority, **more)
 
     @cached_property
     def depth(self) -> DataFrame:
@@ -83,18 +96,25 @@ class Pipeline:
     def summary(self) -> DataFrame:
         return summary.annotation_summary(self.canonical, self.depth)
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """The modification counts."""
+        return summary.modification_counts(self.canonical)
+
+    @cached_property
+    def without_snps(self) -> DataFrame:
+        return variants.without_snps(self.counted, self.snps) if self.snps is not None else self.counted
+
+    @cached_property
+    def without_zygous(self) -> DataFrame:
+        totals = self.canonical.groupBy("anno_name").agg(F.sum("abundance").alias("total_reads"))
+        return variants.without_zygous(self.without_snps, totals, self.settings.least_percent, self.settings.most_percent)
+
     @cached_property
     def modifications(self) -> DataFrame:
         """What is left of the modification counts after known variants, zygosity and base quality."""
         s = self.settings
-        out = summary.modification_counts(self.canonical)
-        if self.snps is not None:
-            out = variants.without_snps(out, self.snps)
-        totals = self.canonical.groupBy("anno_name").agg(F.sum("abundance").alias("total_reads"))
-        out = variants.without_zygous(out, totals, s.least_percent, s.most_percent)
-        if self.fastq is not None:
-            out = phred.recount(self.canonical, out, self.fastq, s.quality, compat=s.compat)
-        return out
+        return phred.recount(self.canonical, self.without_zygous, self.fastq, s.quality, compat=s.compat) if self.fastq is not None else self.without_zygous
 
     @cached_property
     def filtered_summary(self) -> DataFrame:

@@ -322,9 +322,29 @@ def canonical_end(spark, d):
     return ends.canonical_reads(annotated(spark, d)).select("read_id", "anno_name")
 
 
+@query(CANONICAL + """select anno_name, round(cast(total * (select sum(abundance) from aln) as double) / 1e6, 2) rpm_total,
+       round(cast(best * (select sum(abundance) from aln) as double) / 1e6, 2) rpm_canonical from pick""")
+def canonical_end_summary_compat(spark, d):
+    return ends.canonical_summary(annotated(spark, d), depth(spark, d), compat=True).select("anno_name", "rpm_total", "rpm_canonical")
+
+
+@query(CANONICAL + """select read_id, anno_name from ann where read_id in (select a.read_id from ann a join pick p on p.anno_name = a.anno_name and p.best / p.total >= 0.5
+  and case when a.strand = '+' then a.read_end - a.k else a.read_start + a.k end = p.pos)""")
+def canonical_end_compat(spark, d):
+    return ends.canonical_reads(annotated(spark, d), compat=True).select("read_id", "anno_name")
+
+
 # Summary and variants
 
 
+@query("""select a.anno_name, case when a.e <= l.base + 63 then case when a.strand = '+' then substr(seq64, cast(a.s - l.base + 1 as int), cast(a.e - a.s + 1 as int))
+                          else reverse(translate(substr(seq64, cast(a.s - l.base + 1 as int), cast(a.e - a.s + 1 as int)), 'ACGT', 'TGCA')) end end anno_sequence
+from (select anno_name, min(chrom) chrom, min(strand) strand, min(anno_start) s, min(anno_end) e, min(aid) aid from ann group by anno_name) a join locus l on l.p_partkey = a.aid % 1000000""")
+def annotation_sequences(spark, d):
+    whole = summary.annotation_summary(profiled(spark, d), depth(spark, d))
+    return summary.with_sequence(whole, align.tiles(genome(spark, d))).select("anno_name", "anno_sequence")
+
+
 @query("""select a.anno_name, min(a.chrom) chrom, min(a.strand) strand, min(a.anno_start) anno_start, min(a.anno_end) anno_end, min(a.species) species,
        cast(sum(a.abundance) as bigint) total_reads, cast(sum(case when k = 0 then abundance else 0 end) as bigint) perfect_reads,
        cast(sum(case when k = 0 then 0 else abundance end) as bigint) mismatch_reads,
@@ -391,6 +411,16 @@ def phred_filter(spark, d):
     return out.select("anno_name", "pos_from", "pos_to", "ref", "alt", "n")
 
 
+@query("""select a.anno_name, a.p_from pos_from, a.p_to pos_to, a.nte3_ref ref, a.nte3 alt, cast(sum(m.listed) as bigint) n
+from ann a join fastq f on f.seq = case when a.strand = '+' then a.seq else reverse(translate(a.seq, 'ACGT', 'TGCA')) end
+join (select chrom, strand, p_from, p_to, ref, alt, count(*) listed from mods group by all) m
+  on m.chrom = a.chrom and m.strand = a.strand and m.p_from = a.p_from and m.p_to = a.p_to and m.ref = a.nte3_ref and m.alt = a.nte3
+where a.k > 0 and ascii(substr(f.qual, a.len, 1)) - 33 >= 30 and (a.k = 1 or ascii(substr(f.qual, a.len - 1, 1)) - 33 >= 30) group by 1, 2, 3, 4, 5""")
+def phred_filter_compat(spark, d):
+    out = phred.recount(profiled(spark, d), modifications(spark, d), bridge(spark, d, "fastq"), 30, compat=True)
+    return out.select("anno_name", "pos_from", "pos_to", "ref", "alt", "n")
+
+
 # Cohort
 
 SITE = ["aid", "mod_type", "pos", "ref", "alt"]

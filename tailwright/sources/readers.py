@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tailwright.functions import modifications as M
 from tailwright.functions.sequence import abundance, md_render, tag_value
+from tailwright.operators.align import options
 from tailwright.sources import fastq as _fastq
 
 Paths = str | list[str]
@@ -119,6 +120,15 @@ def manifest(spark: SparkSession, path: str) -> list[str]:
     return [r["value"].split()[0] for r in _lines(spark, path, r"^\s*#").collect()]
 
 
+def aligner_options(spark: SparkSession, path: str) -> dict[str, int]:
+    """``mismatches`` and ``most`` of the last line of a file of aligner commands; lines that begin with # are skipped."""
+    lines = spark.read.text(path, wholetext=True).first().value.splitlines()
+    used = [x for x in lines if x.strip() and not x.startswith("#")]
+    if not used:
+        raise ValueError("no command in the file")
+    return options(used[-1])
+
+
 def priority(spark: SparkSession, path: str) -> DataFrame:
     """(species, rnk) of a short list: one class a line, or rank and class; the order is the rank."""
     lines = [r["value"].split() for r in _lines(spark, path, r"^\s*#").coalesce(1).collect()]
@@ -174,6 +184,7 @@ def snps(spark: SparkSession, path: Paths) -> DataFrame:
 
 #: Columns of the annotation summary, in file order: fixed values.
 SUMMARY = ["anno_name", "species", "chrom", "strand", "anno_start", "anno_end", "anno_sequence", "total_reads", "perfect_reads", "mismatch_reads", "rpm", "total_nte5", "total_nte3", "total_internal", "nte5", "nte3", "internal"]
+SUMMARY_HEADER = ["annotation_name", "species", "chromosome", "strand", "start", "end", "anno_sequence", "total_read_count", "perfect_match_count", "anno_mismatch_count", "RPM", "total_nte5_count", "total_nte3_count", "total_internal_count", "nte5", "nte3", "internal_mismatch"]
 _SUMMARY_LONGS = {"anno_start", "anno_end", "total_reads", "perfect_reads", "mismatch_reads", "total_nte5", "total_nte3", "total_internal"}
 
 
