@@ -24,13 +24,13 @@ def test_reverse_complement_is_its_own_inverse(spark, texts):
 
 
 def test_mismatch_strings(spark):
-    md = F.lit("MD:Z:0A0C20")
+    md = F.lit("MD:Z:0G0T20")
     r = one(spark, S.md_lengths(md), S.md_refs(md), F.to_json(S.md_mismatches(md)), S.md_mismatches(F.lit("22")), S.md_render(S.md_mismatches(md), F.lit(22)))
-    assert r[0] == [0, 0, 20] and r[1] == "AC" and r[2] == '[{"offset":0,"ref":"A"},{"offset":1,"ref":"C"}]' and r[3] == [] and r[4] == "0A0C20"
+    assert r[0] == [0, 0, 20] and r[1] == "GT" and r[2] == '[{"offset":0,"ref":"G"},{"offset":1,"ref":"T"}]' and r[3] == [] and r[4] == "0G0T20"
 
 
 def test_read_ids_and_trimming(spark):
-    assert tuple(one(spark, S.abundance(F.lit("229|3")), S.abundance(F.lit("229")), S.trim(F.lit("ACGTA"), 1, 2), S.trim(F.lit("AC"), 2, 2), S.tag_value(F.lit("NM:i:1")), S.tag_value(F.lit("7")))) == (3, 1, "CG", "", "1", "7")
+    assert tuple(one(spark, S.abundance(F.lit("57|4")), S.abundance(F.lit("57")), S.trim(F.lit("ACGTA"), 1, 2), S.trim(F.lit("AC"), 2, 2), S.tag_value(F.lit("NM:i:1")), S.tag_value(F.lit("7")))) == (4, 1, "CG", "", "1", "7")
 
 
 def test_an_end_modification_needs_every_base_to_differ(spark):
@@ -45,10 +45,10 @@ def mir_rows(spark):
     """Reads of one minus-strand miRNA: none, 3' of two bases, 3' of one, both ends."""
     return spark.createDataFrame(
         [
-            ("chr8", "-", 22102488, 22102509, "a|108", None, None, 0, "22", "TCGCCCTCTCAACCCAGCTTTT"),
-            ("chr8", "-", 22102486, 22102509, "b|3", None, "TT", 2, "0T0T22", "AATCGCCCTCTCAACCCAGCTTTT"),
-            ("chr8", "-", 22102488, 22102509, "c|10", None, "C", 1, "0T21", "GCGCCCTCTCAACCCAGCTTTT"),
-            ("chr8", "-", 22102488, 22102510, "d|11", "T", "T", 2, "0T21T0", "ACGCCCTCTCAACCCAGCTTTTA"),
+            ("chr13", "-", 7030312, 7030333, "a|108", None, None, 0, "22", "TGACCGATCTTAGGACCATGTT"),
+            ("chr13", "-", 7030310, 7030333, "b|3", None, "TT", 2, "0T0T22", "AATGACCGATCTTAGGACCATGTT"),
+            ("chr13", "-", 7030312, 7030333, "c|10", None, "C", 1, "0T21", "GGACCGATCTTAGGACCATGTT"),
+            ("chr13", "-", 7030312, 7030334, "d|11", "T", "T", 2, "0T21T0", "AGACCGATCTTAGGACCATGTTA"),
         ],
         MIR,
     )
@@ -59,10 +59,10 @@ def test_places_on_the_minus_strand(spark):
     df = df.select("read_id", M.change_text(F.col("three")).alias("three"), M.change_text(F.col("five")).alias("five"), F.size("inner").alias("inner"), "end")
     got = {r.read_id: tuple(r)[1:] for r in df.collect()}
     assert got == {
-        "a|108": (None, None, 0, 22102488),
-        "b|3": ("22102487-22102486:AA>TT", None, 0, 22102488),
-        "c|10": ("22102488:A>C", None, 0, 22102489),
-        "d|11": ("22102488:A>T", "22102510:A>T", 0, 22102489),
+        "a|108": (None, None, 0, 7030312),
+        "b|3": ("7030311-7030310:AA>TT", None, 0, 7030312),
+        "c|10": ("7030312:A>C", None, 0, 7030313),
+        "d|11": ("7030312:A>T", "7030334:A>T", 0, 7030313),
     }
 
 
@@ -78,7 +78,7 @@ def test_internal_positions_and_the_compat_form(spark):
 
 
 def test_cells_round_trip(spark):
-    for cell in ("0", "58218439:T>A:1|58218440:G>A:6|58218440:G>T:12", "101488429-101488430:CG>AA:45|101488429:C>A:14"):
+    for cell in ("0", "4417019:T>C:2|4417020:G>A:5|4417020:G>C:31", "9315072-9315073:CT>AA:17|9315072:C>G:8"):
         assert one(spark, M.render_cells(M.parse_cells(F.lit(cell))))[0] == cell
 
 

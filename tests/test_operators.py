@@ -124,7 +124,7 @@ def aligned(spark):
 
 
 def annos(spark):
-    return spark.createDataFrame([("chr8", "-", 22102488, 22102509, "mir", 0, "mirna"), ("chr8", "-", 22102480, 22102560, "long", 1, "piRNA"), ("chr8", "+", 22102488, 22102509, "wrong strand", 2, "mirna")], ANNO)
+    return spark.createDataFrame([("chr13", "-", 7030312, 7030333, "mir", 0, "mirna"), ("chr13", "-", 7030304, 7030384, "long", 1, "piRNA"), ("chr13", "+", 7030312, 7030333, "wrong strand", 2, "mirna")], ANNO)
 
 
 def prio(spark):
@@ -137,7 +137,7 @@ def test_annotation_summary_of_one_mirna(spark):
     r = summary.annotation_summary(reads_, depth).collect()
     assert len(r) == 1
     assert (r[0].anno_name, r[0].total_reads, r[0].perfect_reads, r[0].total_nte5, r[0].total_nte3) == ("mir", 132, 108, 11, 24)
-    assert r[0].nte3 == "22102487-22102486:AA>TT:3|22102488:A>C:10|22102488:A>T:11" and r[0].nte5 == "22102510:A>T:11" and r[0].rpm == 1e6
+    assert r[0].nte3 == "7030311-7030310:AA>TT:3|7030312:A>C:10|7030312:A>T:11" and r[0].nte5 == "7030334:A>T:11" and r[0].rpm == 1e6
 
 
 def test_priority_falls_back_on_file_order(spark):
@@ -185,7 +185,7 @@ def test_variants(spark):
 def test_quality_recount(spark):
     a = annotate.with_profiles(annotate.annotate(aligned(spark), annos(spark), prio(spark)))
     m = summary.modification_counts(a)
-    rna = flip("GCGCCCTCTCAACCCAGCTTTT")
+    rna = flip("GGACCGATCTTAGGACCATGTT")
     fq = spark.createDataFrame([("q1", rna, "I" * 22), ("q2", rna, "I" * 21 + "#"), ("q3", rna, "#" * 21 + "I"), ("q4", "ACGT", "IIII")], "name string, seq string, qual string")
     got = phred.recount(a, m, fq, 30).collect()
     assert [(r.alt, r.n) for r in got] == [("C", 2)]
@@ -213,7 +213,7 @@ def test_matrices_sum_to_what_they_show(spark):
 def test_stringency_levels(spark):
     a = annotate.with_profiles(annotate.annotate(aligned(spark), annos(spark), prio(spark)))
     a = a.unionByName(a.where("read_id = 'c|10'").withColumn("read_id", F.lit("e|2")))
-    h = spark.createDataFrame([(i, "chr8", "+", s, e, k) for k, (i, s, e) in enumerate([("a|108", 22102488, 22102509), ("c|10", 22102488, 22102509), ("e|2", 1, 22), ("d|11", 22102488, 22102510), ("d|11", 5, 27)])], "read_id string, chrom string, strand string, full_start bigint, full_end bigint, ordinal bigint")
+    h = spark.createDataFrame([(i, "chr13", "+", s, e, k) for k, (i, s, e) in enumerate([("a|108", 7030312, 7030333), ("c|10", 7030312, 7030333), ("e|2", 1, 22), ("d|11", 7030312, 7030334), ("d|11", 5, 27)])], "read_id string, chrom string, strand string, full_start bigint, full_end bigint, ordinal bigint")
     j = hits.concordance(a, h)
     assert {r.read_id: r.consensus for r in j.collect()} == {"a|108": "CORRECT", "c|10": "CORRECT", "e|2": "DIFF-UNIQ", "d|11": "SAME-MULTIMAPP", "b|3": "NO_BLAT_RESULT"}
     nte = lambda level: {r.read_id: r.nte3 for r in hits.stringency(j, level).collect()}

@@ -59,9 +59,9 @@ def test_small_tables(spark, tmp_path):
     assert [(r.chrom, r.anno_start, r.anno_name) for r in readers.annotations(spark, a).orderBy("aid").collect()] == [("chr1", 5, "p1"), ("chr2", 7, "p2")]
     assert [tuple(r) for r in readers.priority(spark, put(tmp_path / "prio", "mirna\ntRf\n")).orderBy("rnk").collect()] == [("mirna", 0), ("tRf", 1)]
     assert readers.manifest(spark, put(tmp_path / "man", "# x\n/a/b\n/c\n")) == ["/a/b", "/c"]
-    s = readers.snps(spark, put(tmp_path / "snp", "chr1 10039 A>C dbSNP\nchr1 10043 T>A dbSNP |gnomAD-exomes\n")).orderBy("pos").collect()
-    assert [(r.pos, r.ref, r.alt, r.source) for r in s] == [(10039, "A", "C", "dbSNP"), (10043, "T", "A", "dbSNP")]
-    assert readers.library_depth(spark, put(tmp_path / "sum", "total number of reads:\t21914717\nmirna\t5\n")).first().depth == 21914717
+    s = readers.snps(spark, put(tmp_path / "snp", "chr1 20511 G>C dbSNP\nchr1 20518 T>G dbSNP |gnomAD-exomes\n")).orderBy("pos").collect()
+    assert [(r.pos, r.ref, r.alt, r.source) for r in s] == [(20511, "G", "C", "dbSNP"), (20518, "T", "G", "dbSNP")]
+    assert readers.library_depth(spark, put(tmp_path / "sum", "total number of reads:\t8123456\nmirna\t5\n")).first().depth == 8123456
     assert [tuple(r)[:3] for r in readers.bed(spark, put(tmp_path / "bed", "#c\nchr1\t4\t9\n")).collect()] == [("chr1", 4, 9)]
 
 
@@ -90,7 +90,7 @@ def test_annotated_reads_round_trip(spark, tmp_path):
     a = annotate.with_profiles(annotate.annotate(aligned(spark), annos(spark), prio(spark)))
     writers.tsv(writers.annotated_reads(a), str(tmp_path / "out"))
     back = {r.read_id: r for r in readers.annotated_reads(spark, str(tmp_path / "out")).collect()}
-    assert back["b|3"].nte3_profile == "chr8:-:22102487-22102486:AA>TT" and back["a|108"].nte3 is None and back["d|11"].nte5_profile == "chr8:-:22102510:A>T" and len(back) == 4
+    assert back["b|3"].nte3_profile == "chr13:-:7030311-7030310:AA>TT" and back["a|108"].nte3 is None and back["d|11"].nte5_profile == "chr13:-:7030334:A>T" and len(back) == 4
 
 
 def test_streaming_class_counts(spark, tmp_path):
