@@ -11,12 +11,13 @@ excluded; below order 0 the rest are equally likely.  The probabilities of each
 All counts cover the whole corpus, and no context is left out: every distinct (context, next byte) of all documents
 gets its probability once, in tasks that hold all contexts with the same last three bytes.  What is sent to the
 executors is bounded: counts of up to two bytes of context, the ``MAX_GRAMS`` most frequent (context, next byte) with
-their probabilities, and the ``MAX_HOT`` most frequent words of up to 64 bytes.  The rarer of both are joined by
+their probabilities, and the ``MAX_HOT`` most frequent words, longer ones by a hash.  The rarer of both are joined by
 shuffle, which has no hot key left, so the bounds change the cost and not the scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
@@ -38,12 +39,12 @@ MAX_GRAMS = 1_000_000
 LOW = 2
 #: Rows of the trie that a task turns into probabilities at a time, and as many more as end the last three bytes.
 TRIE_ROWS = 200_000
-#: Words whose counts are sent to every executor, each of at most HOT_BYTES bytes.
+#: Words whose counts are sent to every executor; a word of more than HOT_BYTES bytes is counted by its hash.
 MAX_HOT, HOT_BYTES = 200_000, 64
 #: Additive smoothing of the base.
 ADD = 0.1
-#: Distinct words that a task counts before it passes their counts on.
-HELD_WORDS = 250_000
+#: Distinct words, and (context, next byte), that a task counts before it passes their counts on.
+HELD_WORDS, HELD_GRAMS = 250_000, 1_000_000
 #: Bytes of text per numpy step.
 STEP_BYTES = 1 << 20
 
@@ -55,6 +56,13 @@ def normalised(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()
 
 
+def keys_of(words: list[bytes]) -> list[bytes]:
+    """The words, long ones by 192 bits of a hash after a space, with which no word begins."""
+    if not words or max(map(len, words)) <= HOT_BYTES:
+        return words
+    return [w if len(w) <= HOT_BYTES else b" " + hashlib.blake2b(w, digest_size=24).digest() for w in words]
+
+
 def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words as bytes, each text after ORDER newlines and closed by one; where each text begins and how long it is."""
     parts = [b" ".join(w) for w in texts]
@@ -103,6 +111,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(words)
         return pa.record_batch([pa.array(np.full(n, -1)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["gram", "word", "n"])
 
+    def gram_rows(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(k), 100_000):
+            part = k[at : at + 100_000]
+            yield pa.record_batch([pa.array(part), pa.array([b""] * len(part), pa.binary()), pa.array(n[at : at + 100_000])], names=["gram", "word", "n"])
+
     for batch in batches:
         away = batch.column(1).to_pylist()
         for first, texts in steps(batch.column(0).to_pylist()):
@@ -110,7 +123,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w, out in zip(texts, away[first : first + len(texts)], strict=True):
                 sides[out].append(w)
             for w in sides[0]:
-                words.update(w)
+                words.update(keys_of(w))
             if sides[0]:
                 words[b"\n"] += len(sides[0])
             for out, side in enumerate(sides):
@@ -119,19 +132,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k, n = np.unique(grams(buf, begin), return_counts=True)
                     keys.append(k), times.append(n * (1 - out))
                     held += len(k)
-            if held > 2_000_000:
+            if held > 2 * HELD_GRAMS:
                 k, n = merged()
                 keys, times, held = [k], [n], 0
+                if len(k) > HELD_GRAMS:
+                    yield from gram_rows(k, n)
+                    keys, times = [], []
             if len(words) > HELD_WORDS:
                 yield word_rows()
                 words.clear()
     if words:
         yield word_rows()
     if keys:
-        k, n = merged()
-        for at in range(0, len(k), 100_000):
-            part = k[at : at + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array([b""] * len(part), pa.binary()), pa.array(n[at : at + 100_000])], names=["gram", "word", "n"])
+        yield from gram_rows(*merged())
 
 
 def train_counts(docs: DataFrame) -> DataFrame:
@@ -364,8 +377,8 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", id_co
     words = counts.where("gram < 0").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == b"\n", F.col("n"))), F.lit(0)).alias("ends")).first()
     n, floor = total["n"], total["n"] + ADD * (total["v"] + 1)
-    least = at_least(words.where(F.length("word") <= HOT_BYTES), "n", MAX_HOT)
-    hot = words.where((F.length("word") <= HOT_BYTES) & (F.col("n") >= least)).toArrow()
+    least = at_least(words, "n", MAX_HOT)
+    hot = words.where(F.col("n") >= least).toArrow()
     scored = scored_grams(counts)
     often = at_least(scored.where("n > 0"), "n", MAX_GRAMS)
     top = scored.where(F.col("n") >= often).select("gram", "n", "value").toArrow()
@@ -396,12 +409,12 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", id_co
                 cold_row, cold_gram = row + cold_text, gram[cold]
                 uid, word, times = [], [], []
                 tokens, sure, sums = [], [], []
-                for w in texts:
+                for w in map(keys_of, texts):
                     rare = Counter([x for x in w if x not in known])
                     uid += [row] * (len(rare) + 1)
                     word += rare
                     times += rare.values()
-                    word.append(b" %d" % row)  # no word begins with a space
+                    word.append(b" %d" % row)  # no word begins with a space, and a hash is longer
                     times.append(0)
                     tokens.append(len(w) + 1)
                     inside = len(w) - sum(rare.values())
@@ -423,7 +436,7 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", id_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     parts = base.mapInArrow(run, f"uid long, word binary, times int, id {kind}, held_out boolean, n_tokens long, sure long, sums double, score double")
-    rare = words.where((F.length("word") > HOT_BYTES) | (F.col("n") < least)).select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
+    rare = words.where(F.col("n") < least).select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
     rare = rare.unionByName(scored.where(F.col("n") < often).select("word", F.lit(None).cast("long").alias("c"), "value"))
     joined = parts.join(rare, "word", "left")
     value = F.log10((F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADD)) / F.lit(floor))

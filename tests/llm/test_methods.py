@@ -89,6 +89,40 @@ def test_rare_words_and_cut_contexts_still_score(spark, monkeypatch):
         assert (few[k].n_known, few[k].n_tokens) == (r.n_known, r.n_tokens) and few[k].base_score == pytest.approx(r.base_score, rel=1e-9)
 
 
+def test_long_words_are_counted_by_hash(spark, monkeypatch):
+    long, other = "x" * 300 + "é", "y" * 65
+    texts = [f"{long} and {other}" if k % 2 else f"{long} {'z' * 64}" for k in range(30)] + ["never seen " + "q" * 500]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(w for t in texts[:30] for w in t.split()) + Counter({"\n": 30})
+    n, v = sum(seen.values()), len(seen)
+    for most in (0, 10**6):
+        monkeypatch.setattr(ppm, "MAX_HOT", most)
+        for r in ppm.score_documents(d, F.col("doc_id") == 30).collect():
+            w = texts[r.doc_id].split() + ["\n"]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in seen for x in w), n)
+            assert r.base_score == pytest.approx(sum(math.log10((seen[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
+
+
+def test_counts_that_are_passed_on_add_up(monkeypatch):
+    rng = random.Random(42)
+    texts = [prose(rng, 60).encode() for _ in range(40)]
+    batch = pa.record_batch([pa.array(texts, pa.binary()), pa.array([False] * 40)], names=["text", "held_out"])
+
+    def sums(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(ppm, name, value)
+        out, rows = Counter(), 0
+        for b in ppm._counts(iter([batch])):
+            rows += b.num_rows
+            for g, w, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                out[g, w] += n
+        return out, rows
+
+    whole, few = sums()
+    parts, more = sums(STEP_BYTES=500, HELD_GRAMS=100, HELD_WORDS=50)
+    assert whole == parts and more > few
+
+
 def test_each_context_is_a_distribution():
     buf, begin, _ = ppm.stream([b"thon reer on".split(), b"on the".split()])
     five, n = np.unique(ppm.grams(buf, begin), return_counts=True)
