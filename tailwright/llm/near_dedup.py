@@ -43,6 +43,8 @@ REGISTERS = ROWS * BANDS
 MAYBE = SIMILAR - 3 * float(np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))
 #: Members of a bucket that a task compares with as many others at a time: by registers, and by texts of up to TILE_BYTES.
 SIGNED_TILE, TILE, TILE_BYTES = 2048, 512, 4 << 20
+#: Members that are compared with their leader in one part.
+GROUP = 512
 
 
 def weighted_shingles(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,26 +208,53 @@ def _pair_blocks(left: list[bytes | None], right: list[bytes | None], limit: int
         yield at, Block(held, 0)
 
 
+def _shingles_of(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles and weights of each text."""
+    for block in blocks(texts, 1 << 19):
+        doc, h, w = weighted_shingles(block)
+        cut = np.searchsorted(doc, np.arange(block.n + 1))
+        for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            yield h[a:b], w[a:b]
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose ``texts(key, text)`` are similar.  Large groups on one key are left to skew joins."""
+    """The (a, b) of ``pairs`` whose ``texts(key, text)`` are similar.
+
+    The texts of all b go to their a, in parts of about GROUP, and that of a comes first in each of them; so an a with
+    very many b is many parts, each text is sent once a pair, and that of a is cut into shingles once a part.
+    """
     bounded(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            ok = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= SIMILAR
-            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
-
-    x = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return x.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+            a, b = [], []
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for (lead, key, other), own in zip(names, _shingles_of(batch.column(3).to_pylist()), strict=True):
+                if not other:
+                    first = own[0].copy(), own[1].copy()
+                elif _similar(first, own):
+                    a.append(lead), b.append(key)
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("key"), F.lit(True).alias("other"))
+    leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("key"), F.lit(False).alias("other"))
+    rows = others.unionByName(leads).join(texts.select("key", "text"), "key").repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    return rows.select("a", "key", "other", "text").mapInArrow(run, "a binary, b binary")
 
 
 def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether two texts, as sorted shingles and weights, reach the limit."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(i):
+    if not len(a[0]) or not len(b[0]):
         return False
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][at] == a[0])
+    j = at[i]
     if len(i) >= SIMILAR * (len(a[0]) + len(b[0]) - len(i)):
         return True
+    if not len(i):
+        return False
     x, y = a[1][i] / a[1].sum(), b[1][j] / b[1].sum()
     return _probability(np.zeros(len(i), np.int64), x, y, 1)[0] >= SIMILAR
 
@@ -301,10 +330,10 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     weighed = members.join(mass, "node").select("bucket", "node", "mass")
     leader = weighed.groupBy("bucket").agg(F.max(F.struct("mass", "node")).alias("lead"))
     pairs = weighed.join(leader, "bucket").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    texts = table(_texts_of(docs, members.select("node").distinct(), text).join(reps.select("key", "sig"), "key"), "texts", n)
+    texts = table(_texts_of(docs, members.select("node").distinct(), text), "texts", n)
     links = table(verified(pairs, texts), "links", n)
     labels = components(links)
-    more = table(_open_links(members.select("bucket", "node"), labels, texts, n), "links", n)
+    more = table(_open_links(members.select("bucket", "node"), labels, reps.select("key", "sig"), texts, n), "links", n)
     if not more.isEmpty():
         labels = components(table(links.unionByName(more), "links", n, 100_000))
     named_nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -332,18 +361,21 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
     return one
 
 
-def _open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Links between different components that share a bucket; each bucket is dealt out as pairs of tiles.  The texts
-    are of about ``n`` documents."""
+def _open_links(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links between different components that share a bucket; each bucket is dealt out as pairs of tiles.
+
+    Texts are looked up for those members only whose registers leave a link possible; they are of about ``n``
+    documents.
+    """
     named = table(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named", n)
     per = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
     open_ = per.where("low <> high").groupBy("low", "high", "n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
     named = table(named.join(open_, "bucket"), "open", n)
     largest = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("largest"))
     named = named.join(largest, "bucket").withColumn("inner", F.col("label") == F.col("largest.label")).drop("largest")
-    ready = table(named.join(texts.withColumnRenamed("key", "node"), "node"), "open", n)
-    maybe = _dealt(ready.drop("text"), F.lit(1.0 / SIGNED_TILE)).groupBy("bucket", "i", "j").applyInArrow(_maybe, "bucket long, node binary")
-    ready = table(ready.join(table(maybe.distinct(), "maybe", n), ["bucket", "node"], "left_semi"), "open", n)
+    signed_ = table(named.join(sigs.withColumnRenamed("key", "node"), "node"), "open", n)
+    maybe = table(_dealt(signed_, F.lit(1.0 / SIGNED_TILE)).groupBy("bucket", "i", "j").applyInArrow(_maybe, "bucket long, node binary").distinct(), "maybe", n)
+    ready = table(signed_.join(maybe, ["bucket", "node"], "left_semi").join(texts.withColumnRenamed("key", "node"), "node"), "open", n)
     return _dealt(ready, F.lit(1.0 / TILE) + F.length("text") / float(TILE_BYTES)).groupBy("bucket", "i", "j").applyInArrow(_tiles, "a binary, b binary").distinct()
 
 
