@@ -11,6 +11,8 @@ from tailwright.operators.intervals import BIN, binned
 
 #: Slack in bases at either end, and the length above which an annotation need only contain the read.
 SLACK, LONG = 3, 50
+#: Rank of classes that no list names.
+UNLISTED = 2**31 - 1
 ALIGNMENT = ["read_id", "abundance", "chrom", "strand", "read_start", "read_end", "nte5", "nte3", "nm", "md", "seq"]
 
 
@@ -40,23 +42,26 @@ def candidates(alignments: DataFrame, annotations: DataFrame, compat: bool = Fal
 def annotate(alignments: DataFrame, annotations: DataFrame, priority: DataFrame, compat: bool = False) -> DataFrame:
     """Alignments with one annotation each: that of the best class rank, then of the first place in the file.
 
+    One row for each alignment that fits any annotation, equal ones included.
     ``annotations(chrom, strand, anno_start, anno_end, anno_name, aid, species)`` with ``aid`` the file order;
     ``priority(species, rnk)``; classes not listed come last.  Picking is an aggregate of the least (rank, order), so
     each task combines before the shuffle.  ``compat``: the rank of the first hit is kept for all comparisons, so the
     last hit with a better rank than the first wins.
     """
     keys = [c for c in alignments.columns]
-    ranked = annotations.join(priority, "species", "left").withColumn("rnk", F.coalesce("rnk", F.lit(99)))
+    ranked = annotations.join(priority, "species", "left").withColumn("rnk", F.coalesce("rnk", F.lit(UNLISTED)))
     pairs = candidates(alignments, ranked, compat)
     anno = F.struct("rnk", "aid", "anno_name", "anno_start", "anno_end", "species")
+    # equal alignments have equal annotations, a handful, so this is how many there are of each
+    times = (F.count("*") / F.size(F.collect_set("aid"))).cast("int").alias("times")
     if not compat:
-        best = pairs.groupBy(*keys).agg(F.min(anno).alias("a"))
+        best = pairs.groupBy(*keys).agg(F.min(anno).alias("a"), times)
     else:
         byfile = F.struct("aid", "rnk", "anno_name", "anno_start", "anno_end", "species")
-        all_ = F.array_sort(F.collect_list(byfile)).alias("all")  # annotations over one read, a handful
-        best = pairs.groupBy(*keys).agg(all_).withColumn("better", F.filter("all", lambda x: x["rnk"] < F.col("all")[0]["rnk"]))
+        all_ = F.array_sort(F.collect_list(byfile)).alias("all")
+        best = pairs.groupBy(*keys).agg(all_, times).withColumn("better", F.filter("all", lambda x: x["rnk"] < F.col("all")[0]["rnk"]))
         best = best.withColumn("a", F.when(F.size("better") > 0, F.element_at("better", -1)).otherwise(F.col("all")[0])).drop("all", "better")
-    return best.select(*keys, "a.anno_name", "a.anno_start", "a.anno_end", "a.species", "a.aid")
+    return best.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*keys, "a.anno_name", "a.anno_start", "a.anno_end", "a.species", "a.aid")
 
 
 def with_profiles(annotated: DataFrame, compat: bool = False) -> DataFrame:

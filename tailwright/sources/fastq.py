@@ -10,13 +10,15 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "name string, seq string, qual string"
-#: Bytes of a range.
-RANGE = 64 << 20
+#: Bytes of a range, and records handed to Spark at once.
+RANGE, ROWS = 64 << 20, 8192
 
 
 class Range(InputPartition):
@@ -24,12 +26,21 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def _records(lines: Iterator[bytes], path: str) -> Iterator[tuple[str, str, str]]:
-    while name := next(lines, b"").rstrip(b"\r\n"):
-        seq, plus, qual = (next(lines, b"").rstrip(b"\r\n") for _ in range(3))
-        if not name.startswith(b"@") or not plus.startswith(b"+") or len(seq) != len(qual):
-            raise ValueError(f"{path}: not a FASTQ record: {name[:80]!r}")
-        yield name[1:].decode(), seq.decode(), qual.decode()
+def _batches(lines: Iterator[bytes], path: str) -> Iterator[pa.RecordBatch]:
+    """Blank lines may end a file; anywhere else they are damage."""
+    while block := [x.rstrip(b"\r\n") for x in islice(lines, 4 * ROWS)]:
+        block += [b""] * (-len(block) % 4)
+        names, seqs, signs, quals = (block[k::4] for k in range(4))
+        if b"" in names:
+            k = names.index(b"")
+            if any(block[4 * k :]) or any(x.strip() for x in lines):
+                raise ValueError(f"{path}: not a FASTQ record: a blank line before {next(filter(None, block[4 * k :]), b'')[:80]!r}")
+            names, seqs, signs, quals = names[:k], seqs[:k], signs[:k], quals[:k]
+        for name, seq, sign, qual in zip(names, seqs, signs, quals, strict=True):
+            if name[:1] != b"@" or sign[:1] != b"+" or len(seq) != len(qual):
+                raise ValueError(f"{path}: not a FASTQ record: {name[:80]!r}")
+        if names:
+            yield pa.record_batch([pa.array([x.decode() for x in column], pa.string()) for column in ([n[1:] for n in names], seqs, quals)], names=["name", "seq", "qual"])
 
 
 def _first_record(f, start: int) -> int:
@@ -68,13 +79,13 @@ class FastqReader(DataSourceReader):
                 out += [Range(prefix + x.path, a, min(a + self.size, x.size)) for a in range(0, x.size, self.size)]
         return out
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(part.path) if "://" in part.path else (fs.LocalFileSystem(), part.path)
         if part.end is None:
             with system.open_input_stream(path, compression=None) as raw, gzip.open(raw) as f:
-                yield from _records(iter(f.readline, b""), path)
+                yield from _batches(iter(f.readline, b""), path)
             return
         with io.BufferedReader(system.open_input_file(path)) as f:
             f.seek(_first_record(f, part.start))
@@ -88,7 +99,7 @@ class FastqReader(DataSourceReader):
                     count += 1
                     yield line
 
-            yield from _records(lines(), path)
+            yield from _batches(lines(), path)
 
 
 class Fastq(DataSource):

@@ -18,14 +18,12 @@ def _lines(spark: SparkSession, path: Paths, skip: str | None = None) -> DataFra
     return rows.where(~F.col("value").rlike(skip)) if skip else rows
 
 
-def _fields(spark: SparkSession, path: Paths, names: dict[int, tuple[str, str]], skip: str | None = None, by: str = r"\s+", lenient: bool = False) -> DataFrame:
-    """Fields by 0-based place: {place: (name, type)}; a missing field is null.  Quotes and backslashes mean nothing.
-
-    A field that isn't of its type is an error, or null if ``lenient``, as in header lines.
-    """
+def _fields(spark: SparkSession, path: Paths, names: dict[int, tuple[str, str]], skip: str | None = None, by: str = r"\s+") -> DataFrame:
+    """Fields by 0-based place: {place: (name, type)}; a missing field is null, and one that isn't of its type an error.
+    Quotes and backslashes mean nothing."""
     parts = F.split(F.trim("value"), by)
     field = lambda k: F.try_element_at(parts, F.lit(k + 1))
-    picked = [(field(k).try_cast(kind) if lenient else field(k).cast(kind)).alias(name) for k, (name, kind) in names.items()]
+    picked = [field(k).cast(kind).alias(name) for k, (name, kind) in names.items()]
     return _lines(spark, path, skip).select(*picked)
 
 
@@ -109,8 +107,11 @@ def annotations(spark: SparkSession, path: Paths) -> DataFrame:
     paths = [path] if isinstance(path, str) else path
     out = None
     for k, one in enumerate(paths):
-        rows = _fields(spark, one, {0: ("chrom", "string"), 1: ("strand", "string"), 2: ("anno_start", "long"), 3: ("anno_end", "long"), 4: ("species", "string"), 5: ("anno_name", "string")}, r"^\s*#", lenient=True)
-        rows = rows.withColumn("aid", F.monotonically_increasing_id() + F.lit(k).cast("long") * F.lit(1 << 50)).where("anno_start is not null")  # a header has no number there
+        rows = _fields(spark, one, {0: ("chrom", "string"), 1: ("strand", "string"), 2: ("anno_start", "string"), 3: ("anno_end", "string"), 4: ("species", "string"), 5: ("anno_name", "string")}, r"^\s*#")
+        rows = rows.withColumn("aid", F.monotonically_increasing_id() + F.lit(k).cast("long") * F.lit(1 << 50))
+        number = lambda c: F.coalesce(F.col(c).rlike("^[0-9]+$"), F.lit(False))
+        rows = rows.where(number("anno_start") | number("anno_end"))  # a header has no number there; a damaged line is an error
+        rows = rows.withColumns({c: F.col(c).cast("long") for c in ("anno_start", "anno_end")})
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -145,6 +145,16 @@ def test_priority_falls_back_on_file_order(spark):
     assert {r.anno_name for r in annotate.annotate(aligned(spark), tie, prio(spark)).collect()} == {"mir"}
 
 
+def test_repeated_alignments_and_unlisted_classes(spark):
+    """Equal rows stay apart, and a class that isn't listed comes after all that are, however many these are."""
+    many = spark.createDataFrame([(f"c{k}", k) for k in range(150)] + [("mirna", 150)], "species string, rnk int")
+    two = aligned(spark).union(aligned(spark).where("read_id = 'c|10'"))
+    names = annos(spark)
+    other = names.where(F.col("species") == "mirna").limit(1).withColumns({"species": F.lit("unlisted"), "aid": F.lit(-1).cast(names.schema["aid"].dataType), "anno_name": F.lit("first in the file")})
+    got = annotate.annotate(two, names.unionByName(other), many)
+    assert got.where("read_id = 'c|10'").count() == 2 and got.where("species = 'unlisted'").count() == 0
+
+
 def test_empty_inputs_give_empty_results(spark):
     none = aligned(spark).where("false")
     a = annotate.with_profiles(annotate.annotate(none, annos(spark), prio(spark)))

@@ -35,6 +35,21 @@ def test_fastq_gzip_and_damage(spark, tmp_path):
         readers.fastq(spark, put(tmp_path / "b.fq", "@a\nACC\n+\nII\n")).collect()
 
 
+def test_fastq_blank_lines(spark, tmp_path):
+    record = "@{0}\nACGT\n+\nIIII\n"
+    whole = "".join(record.format(k) for k in range(9))
+    assert readers.fastq(spark, put(tmp_path / "end.fq", whole + "\n\n")).count() == 9
+    assert [tuple(r) for r in readers.fastq(spark, put(tmp_path / "none.fq", "@a\n\n+\n")).collect()] == [("a", "", "")]
+    for size in (30, 1 << 20):
+        with pytest.raises(Exception, match="not a FASTQ record"):
+            readers.fastq(spark, put(tmp_path / f"in{size}.fq", whole + "\n" + whole), size).collect()
+
+
+def test_a_damaged_annotation_line_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        readers.annotations(spark, put(tmp_path / "anno", "chr strand start end class name\nchr1 + 5 x30 piRNA p1\n")).collect()
+
+
 def test_sniff(spark, tmp_path):
     assert readers.sniff(spark, put(tmp_path / "a", ">x\nACGT\n")) == "fasta"
     assert readers.sniff(spark, put(tmp_path / "b", "@x\nACGT\n+\nIIII\n")) == "fastq"
