@@ -41,6 +41,8 @@ GROUP_BYTES = 6 << 20
 REMEMBERED = 100_000
 #: A pre-token of more bytes is merged on its own.
 LONG = 192
+#: Characters of a text from which on its pre-tokens are not listed all at once.
+AT_ONCE = 1 << 22
 
 
 class RankQueue:
@@ -283,7 +285,7 @@ class Memory:
     """
 
     def __init__(self, encoder: Encoder, pattern: str) -> None:
-        self.encoder, self.find = encoder, regex.compile(pattern).findall
+        self.encoder, self.pattern = encoder, regex.compile(pattern)
         self.clear()
 
     def clear(self) -> None:
@@ -299,7 +301,9 @@ class Memory:
 
     def numbers(self, text: str) -> array:
         """The number of each pre-token of ``text``."""
-        return array("i", map(self.number.__getitem__, self.find(text)))
+        # of a very long text no list of all pieces is made
+        found = self.pattern.findall(text) if len(text) < AT_ONCE else (m[0] for m in self.pattern.finditer(text))
+        return array("i", map(self.number.__getitem__, found))
 
     def fill(self) -> None:
         """Encodes what numbers() has met since, and decodes it again."""

@@ -190,6 +190,8 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: list
 
     lang_pred is the most probable language (on a tie the first by name) and score its mean probability.  A text that
     is null, empty or without a letter gives ``und`` with score 0, and so does every text if nothing was learned.
+    Repeated rows are judged alike; other columns of ``docs`` are not read, and those of ``keep`` may have any name but
+    ``__letters``, ``__text`` and those added.
     """
     keep = keep if keep is not None else [F.col("doc_id")]
     sent, key = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex

@@ -182,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Field:
 def score(docs: DataFrame, field: Field, keep: list[Column], text: str = "text") -> DataFrame:
     """``keep`` columns with score, predicted and bad_lines for every whole text, one row out per row in.
 
-    A null or empty text is one empty line, whose score is that of any other empty line.
+    A null or empty text is one empty line, whose score is that of any other empty line.  Repeated rows are scored
+    alike; other columns of ``docs`` are not read, and those of ``keep`` may have any name but ``__text`` and those added.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     ready = docs.select(*keep, F.col(text).cast("binary").alias("__text"))

@@ -14,7 +14,9 @@ RANGE = 4096
 
 
 def length_histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
-    """(length, n_docs): one row for each encoded length that occurs (a null length counts as 0)."""
+    """(length, n_docs): one row for each encoded length that occurs (a null length counts as 0).
+
+    Every row counts, repeated and null ids included; no other column is read, and an empty table has no rows."""
     return counts.groupBy(F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("length")).agg(F.count("*").alias("n_docs"))
 
 

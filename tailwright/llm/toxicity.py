@@ -167,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Ordinal:
 
 def score(docs: DataFrame, model: Ordinal, keep: list[Column], text: str = "text") -> DataFrame:
     """``keep`` columns with severity (the expected grade), p_toxic, grade (the most probable; on a tie the lower),
-    toxic and marked (features found) of every whole text, one row out per row in; null and empty texts have none."""
+    toxic and marked (features found) of every whole text, one row out per row in; null and empty texts have none.
+    Repeated rows are scored alike; other columns of ``docs`` are not read, and those of ``keep`` may have any name but
+    ``__text`` and those added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ready = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
     bounded(docs.sparkSession)

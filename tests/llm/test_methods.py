@@ -210,6 +210,15 @@ def test_bpe_of_long_pieces(tik, text):
     assert m.ids(x) == tik.encode_ordinary(text)
 
 
+def test_bpe_of_texts_whose_pieces_are_not_listed(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 10)
+    mem = bpe.Memory(bpe.Encoder(bpe.parse_ranks(RANKS)), public_tokenizers.PATTERN)
+    text = prose(random.Random(43), 300) + " \n\n  é 12 34's"
+    numbers = mem.numbers(text)
+    mem.fill()
+    assert mem.ids(numbers) == tik.encode_ordinary(text) and mem.count(numbers) == len(tik.encode_ordinary(text))
+
+
 def test_bpe_documents_and_counts(spark, tik):
     rng = random.Random(5)
     rows = [(k, prose(rng, 90, ["en", "de", "fr"][k % 3])) for k in range(30)]
