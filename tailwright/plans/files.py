@@ -12,9 +12,9 @@ from tailwright.sources import readers, writers
 
 def sample(spark: SparkSession, reads_path: str, genome: str, annotations: str, priority: str, settings: Settings | None = None, repeats: str | None = None, psl: str | None = None, snps: str | None = None, fastq: str | None = None, aligner: str | None = None) -> Pipeline:
     """One sample's steps from the paths of its inputs; reads may be FASTA, FASTQ or alignments, as their content
-    shows, ``annotations`` is a list of paths and ``aligner`` a file of aligner commands."""
+    shows (or the name's end, ``.bam``), ``annotations`` is a list of paths and ``aligner`` a file of aligner commands."""
     s = settings or Settings()
-    kind = readers.sniff(spark, reads_path)
+    kind = "bam" if reads_path.endswith(".bam") else readers.sniff(spark, reads_path)
     known = {"annotations": readers.annotations(spark, readers.manifest(spark, annotations)), "priority": readers.priority(spark, priority), "settings": s}
     if repeats:
         known["repeats"] = readers.bed(spark, repeats)
@@ -25,9 +25,9 @@ def sample(spark: SparkSession, reads_path: str, genome: str, annotations: str,
         known["snps"] = readers.snps(spark, snps)
     if fastq:
         known["fastq"] = readers.fastq(spark, fastq)
-    if kind == "sam":
+    if kind in ("sam", "bam"):
         none = F.lit(None).cast("string")
-        return Pipeline(readers.sam(spark, reads_path).withColumns({"nte5": none, "nte3": none, "trim_step": F.lit(align.ROUNDS[0][3])}), **known)
+        return Pipeline(getattr(readers, kind)(spark, reads_path).withColumns({"nte5": none, "nte3": none, "trim_step": F.lit(align.ROUNDS[0][3])}), **known)
     collapsed = readers.fasta(spark, reads_path) if kind == "fasta" else reads.collapse(readers.fastq(spark, reads_path)).withColumn("read_id", F.concat_ws("|", F.md5("seq"), "abundance"))
     limits = readers.aligner_options(spark, aligner) if aligner else {}
     return Pipeline.from_reads(collapsed, readers.genome(spark, genome), limits=limits, **known)

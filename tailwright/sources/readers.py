@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tailwright.functions import modifications as M
 from tailwright.functions.sequence import abundance, md_render, tag_value
 from tailwright.operators.align import options
+from tailwright.sources import bam as _bam
 from tailwright.sources import fastq as _fastq
 
 Paths = str | list[str]
@@ -71,6 +72,13 @@ def sam(spark: SparkSession, path: Paths) -> DataFrame:
     return out.withColumn("read_end", F.col("read_start") + F.length("seq") - 1)
 
 
+def bam(spark: SparkSession, path: str) -> DataFrame:
+    """Mapped alignments of binary files, with the columns of sam()."""
+    _bam.register(spark)
+    rows = spark.read.format("bam").load(path).where(F.col("flag").bitwiseAND(4) == 0)
+    return rows.select(F.col("name").alias("read_id"), abundance("name").alias("abundance"), strand_of(F.col("flag")).alias("strand"), "chrom", F.col("pos").alias("read_start"), "seq", "qual", "md", "nm", (F.col("pos") + F.length("seq") - 1).alias("read_end"))
+
+
 #: Places of the fields in alignments with end modifications: fixed values.
 NTE_SAM = {0: ("read_id", "string"), 1: ("flag", "int"), 2: ("chrom", "string"), 3: ("read_start", "long"), 6: ("trim_step", "string"), 7: ("nte5", "string"), 8: ("nte3", "string"), 9: ("seq", "string"), 12: ("md", "string"), 13: ("nm", "string")}
 
@@ -183,6 +191,12 @@ def snps(spark: SparkSession, path: Paths) -> DataFrame:
     return rows.select("chrom", "pos", F.split_part("change", F.lit(">"), F.lit(1)).alias("ref"), F.split_part("change", F.lit(">"), F.lit(2)).alias("alt"), "source")
 
 
+def snp_table(spark: SparkSession, path: str) -> DataFrame:
+    """The same from the folders that writers.snp_table() makes; a filter on ``chrom`` chooses folders."""
+    kinds = "pos long, ref string, alt string, source string, chrom string"
+    return spark.read.schema(kinds).parquet(path).select("chrom", "pos", "ref", "alt", "source")
+
+
 #: Columns of the annotation summary, in file order: fixed values.
 SUMMARY = ["anno_name", "species", "chrom", "strand", "anno_start", "anno_end", "anno_sequence", "total_reads", "perfect_reads", "mismatch_reads", "rpm", "total_nte5", "total_nte3", "total_internal", "nte5", "nte3", "internal"]
 SUMMARY_HEADER = ["annotation_name", "species", "chromosome", "strand", "start", "end", "anno_sequence", "total_read_count", "perfect_match_count", "anno_mismatch_count", "RPM", "total_nte5_count", "total_nte3_count", "total_internal_count", "nte5", "nte3", "internal_mismatch"]

@@ -68,6 +68,11 @@ def query_fasta(reads: DataFrame, species: str = "mirna", compat: bool = False)
     return own.select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq").alias("value"))
 
 
+def snp_table(snps: DataFrame, path: str, mode: str = "error") -> None:
+    """Known variants as Parquet, a folder for each chromosome, so that readers of some chromosomes read no others."""
+    snps.repartition("chrom", F.floor(F.col("pos") / 10_000_000)).write.mode(mode).partitionBy("chrom").parquet(path)
+
+
 def repeat_bed(alignments: DataFrame) -> DataFrame:
     """Alignments as 0-based intervals."""
     return alignments.select("chrom", (F.col("read_start") - 1).alias("start0"), F.col("read_end").alias("end0"), "read_id", "anno_name", "strand")

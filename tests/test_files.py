@@ -79,6 +79,16 @@ def test_writers_read_back(spark, inputs, tmp_path):
     assert [tuple(r) for r in readers.sample_manifest(spark, str(tmp_path / "man")).orderBy("sample").collect()] == [(0, "all", "/a", "/b"), (1, "all", "/c", None)]
 
 
+def test_snp_folders_are_chosen_by_chromosome(spark, tmp_path):
+    (tmp_path / "snps").write_text("chr1 20511 G>C x\nchr2 7 A>T y\nchr2 20000007 A>T y\n")
+    d = readers.snps(spark, str(tmp_path / "snps"))
+    writers.snp_table(d, str(tmp_path / "table"))
+    back = readers.snp_table(spark, str(tmp_path / "table"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, d.collect()))
+    assert "PartitionFilters: [isnotnull(chrom" in back.where("chrom = 'chr2'")._jdf.queryExecution().executedPlan().toString()
+    assert back.where("chrom = 'chr2'").count() == 2
+
+
 def test_aligner_options(spark, inputs, tmp_path):
     d, _ = inputs
     assert readers.aligner_options(spark, f"{d}/aligner.txt") == {"mismatches": 1, "most": 1}

@@ -64,6 +64,39 @@ def test_sam_keeps_odd_qualities(spark, tmp_path):
     assert len(r) == 1 and (r[0].read_id, r[0].abundance, r[0].strand, r[0].read_start, r[0].read_end, r[0].qual, r[0].md, r[0].nm) == ("1|6", 6, "-", 157, 160, '"\\I#', "0A3", 1)
 
 
+def bam_bytes(rows):
+    """The binary form of (name, flag, chromosome, place, sequence, qualities or None, md, nm)."""
+    import struct
+
+    codes = "=ACMGRSVTWYHKDBN"
+    out = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 2)
+    for name in (b"chr1\0", b"chrX\0"):
+        out += struct.pack("<i", len(name)) + name + struct.pack("<i", 10_000)
+    for name, flag, chrom, pos, seq, qual, md, nm in rows:
+        nibbles = [codes.index(c) for c in seq] + [0] * (len(seq) % 2)
+        packed = bytes(a << 4 | b for a, b in zip(nibbles[::2], nibbles[1::2], strict=True))
+        signs = bytes(ord(q) - 33 for q in qual) if qual else b"\xff" * len(seq)
+        tags = b"XAAc" + b"XBBc" + struct.pack("<ibb", 2, 1, 2) + b"XFf" + struct.pack("<f", 1.5) + (b"NMC" + bytes([nm]) if nm is not None else b"") + (b"MDZ" + md.encode() + b"\0" if md else b"")
+        body = struct.pack("<iiBBHHHiiii", chrom, pos - 1, len(name) + 1, 255, 0, 1, flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + struct.pack("<I", len(seq) << 4) + packed + signs + tags
+        out += struct.pack("<i", len(body)) + body
+    return out
+
+
+def test_bam_equals_sam(spark, tmp_path):
+    rows = [("a|6", 16, 1, 157, "GGAA", "II#!", "0A3", 1), ("b|1", 4, -1, 0, "AC", "II", None, None), ("c|2", 0, 0, 1, "ACGTN", None, "5", 0)]
+    rows += [(f"r{k}|1", 0, 0, k + 1, "ACGTACG"[: 1 + k % 7], None, str(1 + k % 7), 0) for k in range(9000)]
+    raw = bam_bytes(rows)
+    (tmp_path / "a.bam").write_bytes(b"".join(gzip.compress(raw[k : k + 5000]) for k in range(0, len(raw), 5000)))  # blocks cut records
+    names = {-1: "*", 0: "chr1", 1: "chrX"}
+    p = put(tmp_path / "a.sam", "".join(f"{n}\t{f}\t{names[c]}\t{at}\t255\t{len(s)}M\t*\t0\t0\t{s}\t{q or '*'}" + (f"\tMD:Z:{md}\tNM:i:{nm}" if md else "") + "\n" for n, f, c, at, s, q, md, nm in rows))
+    want = readers.sam(spark, p)
+    assert sorted(map(tuple, readers.bam(spark, str(tmp_path / "a.bam")).select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    for damage in (raw[:-3], b"BAX" + raw):
+        (tmp_path / "b.bam").write_bytes(gzip.compress(damage))
+        with pytest.raises(Exception, match="BAM file"):
+            readers.bam(spark, str(tmp_path / "b.bam")).collect()
+
+
 def test_native_alignments(spark, tmp_path):
     p = put(tmp_path / "a.txt", "1|2\t+\tchr1\t9\tACGT\tIIII\t0\t1:G>C\n2|1\t-\tchr1\t9\tACGT\tIIII\t0\t0:G>C\n3|1\t+\tchr1\t9\tACGT\tIIII\t0\n")
     assert {r.read_id: (r.read_start, r.read_end, r.nm, r.md) for r in readers.native_alignments(spark, p).collect()} == {"1|2": (10, 13, 1, "1G2"), "2|1": (10, 13, 1, "3G0"), "3|1": (10, 13, 0, "4")}
