@@ -45,6 +45,8 @@ MAYBE = SIMILAR - 3 * float(np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))
 SIGNED_TILE, TILE, TILE_BYTES = 2048, 512, 4 << 20
 #: Members that are compared with their leader in one part.
 GROUP = 512
+#: Bytes of the ids of dropped rows (with ID_BYTES more for each) up to which every executor gets them all.
+SENT_BYTES, ID_BYTES = 128 << 20, 32
 
 
 def weighted_shingles(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -398,14 +400,18 @@ def _dealt(rows: DataFrame, weight: Column) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each class: that of the least id (where ids repeat or are null, one of its rows).
 
-    Only the id and the text are read; all columns are carried along, whatever their names.
+    Only the id and the text are read; all columns are carried along, whatever their names.  The ids to drop are sent to
+    every executor while they are at most SENT_BYTES, so that no row moves; more are joined by shuffle, with equal rows.
     """
     found = table(near_classes(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "id"), "classes")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     ready = docs.select(row, F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
     if found.where(F.col("id").isNull()).isEmpty() and found.groupBy("id").count().where("count > 1").isEmpty():
-        kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("kept"))
-        return ready.join(kept, F.col("id") == F.col("kept"), "left_semi").select("row.*")
+        dropped = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("dropped"))
+        size = dropped.agg(F.coalesce(F.sum(F.length(F.col("dropped").cast("string")) + ID_BYTES), F.lit(0)).alias("size")).first()["size"]
+        if size <= SENT_BYTES:
+            dropped = F.broadcast(dropped)
+        return ready.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
     kept = found.groupBy("class_id").agg(F.min(F.when(F.col("id").eqNullSafe(F.col("class_id")), F.col("key"))).alias("kept"))
     bounded(docs.sparkSession)
 

@@ -726,6 +726,22 @@ def test_many_items_go_in_turns(spark, monkeypatch):
     assert decontaminate.clean(d, b).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 27])
+def test_kept_rows_do_not_depend_on_how_ids_are_sent(spark, monkeypatch, sent):
+    rng = random.Random(35)
+    base = [prose(rng, 80) for _ in range(30)]
+    rows = [(k, base[k % 30] + (" tail" if k % 7 == 0 else "")) for k in range(100)]
+    monkeypatch.setattr(near_dedup, "SENT_BYTES", sent)
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+        assert ("BroadcastHashJoin" in kept._jdf.queryExecution().sparkPlan().toString()) == (sent > 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+
+
 # the pipeline
 
 
