@@ -62,7 +62,9 @@ def features(docs: DataFrame, text: str = "text", keep: Sequence[Column] = (), b
 
 def bucket_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, longest: int = RUN) -> DataFrame:
     """(bucket, n) over all texts; a row a bucket and task is shuffled at most."""
-    return features(docs, text, (), buckets, longest).select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    # outer, as for an inner one the optimizer would test the array's size first and so make all runs twice
+    each = features(docs, text, (), buckets, longest).select(F.explode_outer("buckets").alias("bucket")).where("bucket is not null")
+    return each.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = RUN) -> DataFrame:
@@ -70,7 +72,7 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: i
     have = bucket_counts(docs, buckets=buckets, longest=longest).withColumnRenamed("n", "s")
     want = bucket_counts(target, buckets=buckets, longest=longest).withColumnRenamed("n", "t")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(have, "bucket", "left").join(want, "bucket", "left")
-    every = every.select("bucket", F.coalesce("s", F.lit(0)).cast("double").alias("s"), F.coalesce("t", F.lit(0)).cast("double").alias("t"))
+    every = table(every.select("bucket", F.coalesce("s", F.lit(0)).cast("double").alias("s"), F.coalesce("t", F.lit(0)).cast("double").alias("t")), "buckets")
     sums = every.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     ratio = (F.col("t") + 1) * (F.col("all_s") + buckets) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
     gain = F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain")
