@@ -1,7 +1,7 @@
 """Line dedup: lines that many documents share are dropped from all of them.
 
 Lines are normalised, hashed to 128 bits and exploded; a document counts once for each of its hashes, and sums are
-combined map-side, so a line of a third of all documents is one row a task.  Only hashes and positions travel: the
+combined map-side, so a line of a third of all documents is one row a task; its places are found in salted parts.  Only hashes and positions travel: the
 positions of frequent lines go back to their document, whose whole text moves once, and are taken out there.
 
 Defined results: every row is a document of its own, whatever its id; rows that agree in id and text get equal
@@ -18,6 +18,8 @@ from tailwright.llm.session import documents
 
 #: A line goes if so many documents have it, and its key has at least so many code points.
 MIN_DOCUMENTS, MIN_CHARS = 10, 1
+#: Parts in which a line's documents look it up, so that those of a line that many have don't meet in one task.
+SALT = 16
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,7 +48,7 @@ def line_hashes(lines: Column, min_chars: int = MIN_CHARS) -> Column:
 
 def frequent_lines(hashes: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(a, b, n_docs) of the hashes in at least so many rows of ``hashes(hashes)``."""
-    one = hashes.select(F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null").select("h.a", "h.b")
+    one = hashes.select(F.explode_outer(F.array_distinct("hashes")).alias("h")).where("h is not null").select("h.a", "h.b")
     return one.groupBy("a", "b").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_documents)
 
 
@@ -58,8 +60,10 @@ def drop_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: i
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = docs.select(F.struct(F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("row")).select(key.alias("key"), line_hashes(lines, min_chars).alias("hashes"))
     frequent = frequent_lines(found.select("hashes"), min_documents)
-    places = found.select("key", F.posexplode("hashes").alias("pos", "h")).where("h is not null").select("key", "pos", "h.a", "h.b")
-    gone = places.join(frequent, ["a", "b"], "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
+    # outer, as for an inner one the optimizer would test the array's size first and so hash all lines twice
+    places = found.select("key", F.posexplode_outer("hashes").alias("pos", "h")).where("h is not null").select("key", "pos", "h.a", "h.b", F.pmod("key.text.a", F.lit(SALT)).alias("salt"))
+    salted = frequent.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    gone = places.join(salted, ["a", "b", "salt"], "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
     whole = rows.select("row", key.alias("key"), lines.alias("lines")).join(gone, "key", "left")
     n = F.size("lines")
     gone_ = F.coalesce("gone", F.array().cast("array<int>"))
