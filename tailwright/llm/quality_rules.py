@@ -8,17 +8,20 @@ against the most that the length allows and that of the commonest token alone (-
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.llm.bpe import parse_ranks, read_ranks
+from tailwright.llm.bpe import Encoder, parse_ranks, read_ranks
 from tailwright.llm.session import bounded, documents
 from tailwright.llm.textkernel import Block, blocks, windows
 
@@ -128,10 +131,15 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
+#: White space on which the library's pattern may run out of stack: texts with it are cut into pieces here instead.
+LONG_BLANKS = re.compile(r"\s{4096}")
+
+
 class Vocabulary:
     def __init__(self, raw: bytes, pattern: str) -> None:
         ranks = parse_ranks(raw)
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.raw, self.pattern, self.encoder = raw, regex.compile(pattern), None
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
         self.broken = np.zeros(max(ranks.values()) + 1, bool)
         for token, i in ranks.items():
             try:
@@ -140,6 +148,18 @@ class Vocabulary:
                 self.broken[i] = True
 
 
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, the same either way."""
+        return self.by_pieces(text) if LONG_BLANKS.search(text) else self.library(text)
+
+    def by_pieces(self, text: str) -> np.ndarray:
+        self.encoder = self.encoder or Encoder(parse_ranks(self.raw))
+        number: dict[str, int] = {}
+        order = array("i", (number.setdefault(m[0], len(number)) for m in self.pattern.finditer(text)))
+        ids = [np.array(x, np.int64) for x in self.encoder.encode_pieces([t.encode() for t in number])]
+        return np.concatenate([ids[k] for k in order])
+
+
 _VOCABULARY: dict[str, Vocabulary] = {}
 
 

@@ -407,6 +407,30 @@ def test_the_second_vocabulary_decides_too():
     assert not quality_rules.judge(*x[:2], b.second_low / 2, *x[3:]) and not quality_rules.judge(*x[:2], b.second_high * 2, *x[3:])
 
 
+def test_fertility_of_long_runs_equals_a_plain_computation(spark, tik):
+    """Runs on which the library runs out of stack, in the midst of prose too; and prose, by the library."""
+    rng = random.Random(41)
+    english = prose(rng, 300)
+    texts = [english, " " * 4095 + "a", "", " " * 1_200_000, english + "\n" * 1_200_000 + english, "x" * 1_200_000, "\t \n" * 500_000, english + " " * 5000 + "é"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.measure(d).collect()}
+    tokens = {r.doc_id: r.n_tokens for r in bpe.encode_documents(d).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].chars_per_token == pytest.approx(len(t) / max(1, tokens[k]))
+        assert (got[k].chars_per_token_second > 0) == bool(t) and (got[k].n_words > 0) == bool(t.strip())
+    second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path(quality_rules.VOCABULARIES[1]))), special_tokens={})
+    for k in (0, 1):
+        ids, r = tik.encode(texts[k]), got[k]
+        p = [c / len(ids) for c in Counter(ids).values()]
+        whole = [tik.decode_single_token_bytes(i).decode("utf-8", "replace") for i in ids]
+        assert r.chars_per_token_second == pytest.approx(len(texts[k]) / len(second.encode(texts[k])))
+        assert r.entropy_ratio == pytest.approx(-sum(x * math.log2(x) for x in p) / math.log2(max(2, len(ids)))) and r.commonest_bits == pytest.approx(-math.log2(max(p)))
+        assert r.fallback_share == pytest.approx(sum("�" in w for w in whole) / len(ids))
+    v = quality_rules.vocabulary(RANKS, public_tokenizers.PATTERN)
+    for t in (english, " \n\n\t x" * 900, "\n" * 3000 + english, " " * 5000 + "a"):
+        assert v.by_pieces(t).tolist() == tik.encode(t) == v.library(t).tolist()
+
+
 # 6
 
 
