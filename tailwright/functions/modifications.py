@@ -98,6 +98,16 @@ def profile_text(chrom: Column | str, strand: Column | str, site: Column) -> Col
     return F.when(site.isNotNull(), F.concat_ws(":", col(chrom), col(strand), change_text(site)))
 
 
+def parse_profile(text: Column | str) -> Column:
+    """The site of what profile_text() gives; null for a null or empty text."""
+    x = F.nullif(col(text), F.lit(""))
+    place, change = F.split_part(x, F.lit(":"), F.lit(3)), F.split_part(x, F.lit(":"), F.lit(4))
+    first = F.split_part(place, F.lit("-"), F.lit(1)).cast("long")
+    last = F.coalesce(F.nullif(F.split_part(place, F.lit("-"), F.lit(2)), F.lit("")).cast("long"), first)
+    site = F.struct(first.alias("pos_from"), last.alias("pos_to"), F.split_part(change, F.lit(">"), F.lit(1)).alias("ref"), F.split_part(change, F.lit(">"), F.lit(2)).alias("alt"))
+    return F.when(x.isNotNull(), site)
+
+
 def end_without_nte3(strand: Column | str, start: Column | str, end: Column | str, nte3: Column | str) -> Column:
     """Where the 3' end lies without its modification."""
     return F.when(col(strand) == "+", col(end) - size(nte3)).otherwise(col(start) + size(nte3))

@@ -1,8 +1,10 @@
 """Aligning short reads with at most one mismatch, trimming in rounds, and telling what was added at the ends.
 
-Seeds: of two halves of a read one must match exactly, so the first bases of either half, as many as the lengths in
-``SEEDS`` allow, are looked up among the genome's k-mers by an equi-join.  The bases beside a k-mer rule out most
-chance hits at once; what is left is compared over its whole length.  Complete for one mismatch.
+Seeds: the first bases of a read, as many as the largest of LEVELS that it holds, are cut into three parts.  One
+mismatch spoils one part, so a read is looked up by each two of its parts, two thirds of a level's bases, among the
+genome's seeds of that level: an equi-join of packed integers.  The joined row holds a word of the genome (31 bases),
+so mismatches are counted inside the join, by XOR; only what is left of longer reads is compared afterwards.
+Complete for one mismatch.
 """
 
 from __future__ import annotations
@@ -10,15 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tailwright.functions import packed
 from tailwright.functions.modifications import resolved
+from tailwright.functions.packed import WORD
 from tailwright.functions.sequence import md_render, reverse_complement, trim
+from tailwright.plans.store import table
 
 #: Bases of a tile's own; it also holds the next MARGIN ones, so that a read that begins in it lies inside.
 TILE, MARGIN = 1000, 200
-#: Lengths of seeds: half a read is looked up by the longest one that it holds, and has no place without one.
-SEEDS = (6, 8, 11, 14)
-#: Bases beside a seed that are compared before a hit's whole reference is fetched.
-CONTEXT = 12
+#: Bases that are cut into three parts: a read is looked up by the largest level that it holds, and has no place without.
+LEVELS = (12, 15, 18, 21, 24)
+#: The parts, of three, that have to be equal, in the order in which they are tried.
+SHAPES = ((0, 1), (1, 2), (0, 2))
 #: Rounds of trimming, in their fixed order: (order, bases off the 5' end, bases off the 3' end, name).
 ROUNDS = [(0, 0, 0, "init-mapping-0"), (1, 0, 1, "three-trim-1"), (2, 0, 2, "three-trim-2"), (3, 1, 0, "five-trim-1"), (4, 2, 0, "five-trim-2"), (5, 1, 1, "both-trim-1")]
 #: A resolved alignment has fewer mismatches than this besides its end modifications.
@@ -46,55 +51,86 @@ def fetch(rows: DataFrame, tiled: DataFrame, start: Column, length: Column, name
     return found.drop("_start", "_length", "_bin", "_tbin", "_chrom", "_first", "_bases")
 
 
-def seeds(tiled: DataFrame, ks: tuple[int, ...] = SEEDS, tile: int = TILE) -> DataFrame:
-    """(kmer, chrom, pos, before, after): every k-mer of the genome's own bases, with the CONTEXT bases on either side
-    as far as its tile holds them; a table of these can be bucketed by k-mer."""
+def parts(level: int) -> list[int]:
+    """The bits of the three parts of a level's bases."""
+    cuts = [0, level // 3, 2 * level // 3, level]
+    return [packed.span(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def of(k: int) -> Column:
-        own = F.least(F.lit(tile), F.length("bases") - k + 1)
-        places_ = F.when(own > 0, F.sequence(F.lit(1), own)).otherwise(F.array().cast("array<int>"))
-        cut = lambda i, n: F.substring("bases", i, n)
-        return F.transform(places_, lambda i: F.struct(cut(i, F.lit(k)).alias("kmer"), (F.col("first") + i - 1).alias("pos"), cut(F.greatest(i - CONTEXT, F.lit(1)), F.least(i - 1, F.lit(CONTEXT))).alias("before"), cut(i + k, F.lit(CONTEXT)).alias("after")))
 
-    return tiled.select("chrom", F.explode(F.concat(*map(of, ks))).alias("x")).select("x.kmer", "chrom", "x.pos", "x.before", "x.after")
+def masks(level: int) -> list[int]:
+    """The bits that two words share if the parts of each of SHAPES are equal."""
+    p = parts(level)
+    return [p[a] | p[b] for a, b in SHAPES]
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Bases at which two texts of one length differ."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+def seeds(tiled: DataFrame, levels: tuple[int, ...] = LEVELS, tile: int = TILE) -> DataFrame:
+    """(shape, seed, chrom, pos, room, word, odd): for every place of the genome's own bases, level and shape the bits of
+    its parts.  ``shape`` tells the level too.  A few rows of numbers a base: for a real genome, save_seeds() writes it once."""
+    w = packed.windows(tiled, tile, min(levels))
+    each = [(level, k, m) for level in sorted(levels) for k, m in enumerate(masks(level))]
+    keys = F.array(*[F.struct(F.lit(level * 3 + k).alias("shape"), F.lit(level).alias("level"), F.col("word").bitwiseAND(F.lit(m)).alias("seed")) for level, k, m in each])
+    return w.withColumn("x", F.explode(keys)).where("x.level <= room").select("x.shape", "x.seed", "chrom", "pos", "room", "word", "odd")
 
 
-def _half_equal(a: Column, b: Column, n: Column) -> Column:
-    """Whether the first or the second half of two texts of n bases is equal, as one mismatch at most leaves one."""
-    k = F.floor(n / 2).cast("int")
-    return (F.left(a, k) == F.left(b, k)) | (F.right(a, n - k) == F.right(b, n - k))
+def save_seeds(tiled: DataFrame, name: str, buckets: int, levels: tuple[int, ...] = LEVELS, tile: int = TILE, path: str | None = None) -> DataFrame:
+    """The seeds as a table of the catalog (at ``path``, if given), bucketed and sorted by what they are joined on: reads
+    that are looked up in it travel to its buckets, and it is never shuffled again."""
+    writer = seeds(tiled, levels, tile).repartition(buckets, "shape", "seed").write.bucketBy(buckets, "shape", "seed").sortBy("shape", "seed")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return tiled.sparkSession.table(name)
 
 
-def places(queries: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, mismatches: int = 1) -> DataFrame:
+def _lookups(queries: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """(query, strand, plus, n, word, odd, level, k, shape, seed): three rows for each strand of a query."""
+    both = F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("plus")), F.struct(F.lit("-").alias("strand"), reverse_complement("seq").alias("plus")))
+    q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where("plus is not null").withColumn("n", F.length("plus"))
+    q = q.withColumns({"word": packed.word_of(F.col("plus")), "odd": packed.odd_of(F.col("plus"))})
+
+    def of(level: int) -> Column:
+        return F.array(*[F.struct(F.lit(level).alias("level"), F.lit(k).alias("k"), F.lit(level * 3 + k).alias("shape"), F.col("word").bitwiseAND(F.lit(m)).alias("seed")) for k, m in enumerate(masks(level))])
+
+    found = F.coalesce(*[F.when(F.col("n") >= level, of(level)) for level in sorted(levels, reverse=True)])
+    return q.withColumn("x", F.explode(found)).select(*q.columns, "x.*")
+
+
+def _first_shape(levels: tuple[int, ...]) -> Column:
+    """Whether no shape before a row's own is equal too, so that no place comes up twice."""
+    differ = F.col("word").bitwiseXOR(F.col("g_word"))
+    out = F.lit(True)
+    for level in levels:
+        m = masks(level)
+        out = F.when(F.col("level") != level, out).when(F.col("k") == 0, F.lit(True)).when(F.col("k") == 1, differ.bitwiseAND(F.lit(m[0])) != 0).otherwise((differ.bitwiseAND(F.lit(m[0])) != 0) & (differ.bitwiseAND(F.lit(m[1])) != 0))
+    return out
+
+
+def places(queries: DataFrame, tiled: DataFrame, mismatches: int = 1, index: DataFrame | None = None, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """All places of ``queries(query, seq)`` with at most ``mismatches`` (0 or 1): query, chrom, strand, start, mm.
 
-    A query shorter than two of the shortest seeds has none.  A place is found by its left half if that is equal and
-    by its right half otherwise, so no place comes up twice.
+    A query shorter than the least level has none; letters other than A, C, G and T are mismatches on either side.
+    ``index`` is what save_seeds() gives for the same levels; without one, seeds are made of the levels that these
+    queries need.  ``queries`` should be a stored table then, as their lengths are looked at first.
     """
     if mismatches not in (0, 1):
-        raise ValueError("two seeds find no more than one mismatch")
-    both = F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("plus")), F.struct(F.lit("-").alias("strand"), reverse_complement("seq").alias("plus")))
-    q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where("plus is not null")
-    n = F.length("plus")
-    half = F.floor(n / 2).cast("int")
-    longest = lambda room: F.coalesce(*[F.when(room >= k, F.lit(k)) for k in sorted(ks, reverse=True)])
-    seed = lambda at, room: F.struct(at.alias("at"), longest(room).alias("k"), F.substring("plus", at + 1, longest(room)).alias("kmer"))
-    q = q.withColumn("seed", F.explode(F.array(seed(F.lit(0), half), seed(half, n - half)))).select("query", "strand", "plus", "seed.*").where("k is not null")
-    left = F.col("at") == 0
-    after, before = F.least(F.lit(CONTEXT), n - F.col("k")), F.least(F.lit(CONTEXT), half)
-    likely = F.when(left, (F.length("after") < after) | _half_equal(F.left("after", after), F.substring("plus", F.col("k") + 1, after), after))
-    likely = likely.otherwise((F.length("before") < before) | _half_equal(F.right("before", before), F.substring("plus", half - before + 1, before), before))
-    hits = q.join(seeds(tiled, ks), "kmer").where(likely).select("query", "strand", "plus", "at", "chrom", (F.col("pos") - F.col("at")).alias("start"))
-    full = fetch(hits, tiled, F.col("start"), n, "reference")
-    same = F.left("plus", half) == F.left("reference", half)
-    rest = n - half
-    full = full.where(F.when(left, same).otherwise(~same & (F.right("plus", rest) == F.right("reference", rest))))
-    return full.withColumn("mm", hamming(F.col("plus"), F.col("reference"))).where(F.col("mm") <= mismatches).select("query", "chrom", "strand", "start", "mm")
+        raise ValueError("seeds of three parts find no more than one mismatch")
+    if index is None:
+        n = F.length("seq")
+        level = F.coalesce(*[F.when(n >= k, F.lit(k)) for k in sorted(levels, reverse=True)]).alias("level")
+        used = [r["level"] for r in queries.select(level).where("level is not null").distinct().collect()]  # a few numbers
+        index = seeds(tiled, tuple(used) or levels[:1])
+    g = index.select("shape", "seed", "chrom", "pos", "room", F.col("word").alias("g_word"), F.col("odd").alias("g_odd"))
+    q = _lookups(queries, levels)
+    mm = packed.mismatches(F.col("word"), F.col("g_word"), F.col("odd"), F.col("g_odd"), packed.first_bases(F.col("n")))
+    near = (F.col("room") >= F.least("n", F.lit(WORD))) & (mm <= mismatches) & _first_shape(levels)
+
+    def hits(some: DataFrame) -> DataFrame:
+        return some.join(g, ["shape", "seed"]).where(near).select("query", "strand", "plus", "n", "chrom", F.col("pos").alias("start"), mm.alias("mm"))
+
+    out = ["query", "chrom", "strand", "start", "mm"]
+    short = hits(q.where(F.col("n") <= WORD))
+    rest = fetch(hits(q.where(F.col("n") > WORD)), tiled, F.col("start"), F.col("n"), "reference")
+    tail = lambda c: F.substring(c, F.lit(WORD + 1), F.col("n") - WORD)
+    rest = rest.withColumn("mm", F.col("mm") + packed.text_mismatches(tail(F.col("plus")), tail(F.col("reference")))).where(F.col("mm") <= mismatches)
+    return short.select(*out).unionByName(rest.select(*out))
 
 
 def unique_best(found: DataFrame, most: int = 1) -> DataFrame:
@@ -126,19 +162,20 @@ def options(line: str) -> dict[str, int]:
     return out
 
 
-def trim_cascade(reads: DataFrame, tiled: DataFrame, ks: tuple[int, ...] = SEEDS, rounds: list[tuple[int, int, int, str]] = ROUNDS, mismatches: int = 1, most: int = 1) -> DataFrame:
+def trim_cascade(reads: DataFrame, tiled: DataFrame, rounds: list[tuple[int, int, int, str]] = ROUNDS, mismatches: int = 1, most: int = 1, index: DataFrame | None = None, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Reads by the first round in which they have a unique best place: columns of ``reads``, chrom, strand, start,
     nm, and the round's step, trim5, trim3 and trim_step.
 
     ``reads(read_id, abundance, seq)``, one row a read.  Every distinct trimmed sequence of all reads and rounds is
-    aligned once, in one join, and a read's least round with a place wins, rather than a loop of anti joins; a place
-    that is dropped later is not retried in another round.
+    written once and aligned once, in one join, and a read's least round with a place wins, rather than a loop of anti
+    joins; a place that is dropped later is not retried in another round.
     """
     tries = F.array(*[F.struct(F.lit(o).alias("step"), F.lit(a).alias("trim5"), F.lit(b).alias("trim3"), F.lit(n).alias("trim_step")) for o, a, b, n in rounds])
     r = reads.withColumn("t", F.explode(tries)).select(*reads.columns, "t.*")
     cut = F.coalesce(*[F.when((F.col("trim5") == a) & (F.col("trim3") == b), trim("seq", a, b)) for _, a, b, _ in rounds])
     r = r.withColumn("cut", cut)
-    mapped = unique_best(places(r.select(F.col("cut").alias("query"), F.col("cut").alias("seq")).distinct(), tiled, ks, mismatches), most).withColumnRenamed("query", "cut")
+    cuts = table(r.select("cut").distinct(), "cuts").select(F.col("cut").alias("query"), F.col("cut").alias("seq"))
+    mapped = unique_best(places(cuts, tiled, mismatches, index, levels), most).withColumnRenamed("query", "cut")
     each = r.join(mapped, "cut").drop("cut")
     return each.groupBy(F.col("read_id").alias("_read")).agg(F.min_by(F.struct(*each.columns), "step").alias("m")).select("m.*")
 

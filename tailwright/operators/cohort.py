@@ -32,19 +32,20 @@ def credible_counts(counts: DataFrame, key: list[str], reads: int = READS, sampl
     return counts.where(F.col("n") >= reads).join(ok, ["grp", *key], "left_semi")
 
 
-def credible_reads(reads: DataFrame, ok: DataFrame) -> DataFrame:
+def credible_reads(reads: DataFrame, ok: DataFrame, by: tuple[str, ...] = (), rows: tuple[str, ...] = ("read_id", "anno_name", "read_start")) -> DataFrame:
     """Reads that are perfect (no mismatch) or keep a modification; what isn't credible becomes none.
 
-    ``reads`` carry nte5, nte3, site5, site3, sites and chrom, strand; ``ok(mod_type, chrom, strand, pos_from, pos_to,
-    ref, alt)`` is the credible set.  Membership is tested by left joins on the place; internal mismatches one by one.
+    ``reads`` carry nte5, nte3, site5, site3, sites and chrom, strand; ``ok(by..., mod_type, chrom, strand, pos_from,
+    pos_to, ref, alt)`` is the credible set, of each group where ``by`` names its column.  ``rows`` tell reads apart.
+    Membership is tested by left joins on the place; internal mismatches one by one.
     """
+    rows, where = list(rows), [*by, "chrom", "strand"]
     sided = reads
     for kind, site in ((0, "site5"), (1, "site3")):
-        one = ok.where(F.col("mod_type") == kind).select("chrom", "strand", F.struct("pos_from", "pos_to", "ref", "alt").alias(site), F.lit(True).alias(f"{site}_ok"))
-        sided = sided.join(one, ["chrom", "strand", site], "left")
-    inner = ok.where(F.col("mod_type") == 2).select("chrom", "strand", F.struct("pos_from", "pos_to", "ref", "alt").alias("site"))
-    rows = ["read_id", "anno_name", "read_start"]
-    kept = reads.select(*rows, "chrom", "strand", F.posexplode("sites").alias("at", "site")).join(inner, ["chrom", "strand", "site"], "left_semi").groupBy(*rows).agg(F.array_sort(F.collect_list(F.struct("at", "site"))).alias("s"))  # a read's own few sites
+        one = ok.where(F.col("mod_type") == kind).select(*where, F.struct("pos_from", "pos_to", "ref", "alt").alias(site), F.lit(True).alias(f"{site}_ok"))
+        sided = sided.join(one, [*where, site], "left")
+    inner = ok.where(F.col("mod_type") == 2).select(*where, F.struct("pos_from", "pos_to", "ref", "alt").alias("site"))
+    kept = reads.select(*dict.fromkeys([*rows, *where]), F.posexplode("sites").alias("at", "site")).join(inner, [*where, "site"], "left_semi").groupBy(*rows).agg(F.array_sort(F.collect_list(F.struct("at", "site"))).alias("s"))  # a read's own few sites
     out = sided.join(kept, rows, "left").withColumn("sites_ok", F.coalesce(F.transform("s", lambda x: x["site"]), F.slice("sites", 1, 0)))
     perfect = F.col("nm") == 0
     keep = lambda ok, value: F.when(perfect | F.col(ok), F.col(value)).alias(value)

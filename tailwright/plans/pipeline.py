@@ -30,6 +30,7 @@ class Settings:
     reads: int = cohort.READS
     samples: int = cohort.SAMPLES
     compat: bool = False
+    snp_rule: str = "any"
 
     def __post_init__(self) -> None:
         checks = {
@@ -38,6 +39,7 @@ class Settings:
             "percentages are 0 to 100, the least first": 0 <= self.least_percent <= self.most_percent <= 100,
             "a quality limit is 0 to 42": 0 <= self.quality <= 42,
             "reads and samples are at least 1": self.reads >= 1 and self.samples >= 1,
+            "a variant rule is 'any' or 'end'": self.snp_rule in ("any", "end"),
         }
         for text, ok in checks.items():
             if not ok:
@@ -59,9 +61,9 @@ class Pipeline:
 
     @classmethod
     def from_reads(cls, collapsed: DataFrame, genome: DataFrame, annotations: DataFrame, priority: DataFrame, limits: dict | None = None, **more) -> Pipeline:
-        """Aligns ``collapsed(read_id, abundance, seq)`` to ``genome(chrom, offset, seq)`` first; ``limits`` are those of
-        trim_cascade()."""
-        tiled = align.tiles(genome)
+        """Aligns ``collapsed(read_id, abundance, seq)`` first, to ``genome``: pieces (chrom, offset, seq) or the tiles of
+        readers.genome_tiles(); ``limits`` are those of trim_cascade()."""
+        tiled = genome if "bases" in genome.columns else align.tiles(genome)
         return cls(table(align.resolve_ends(align.trim_cascade(collapsed, tiled, **(limits or {})), tiled), "alignments"), annotations, priority, **more)
 
     @cached_property
@@ -103,7 +105,17 @@ class Pipeline:
 
     @cached_property
     def without_snps(self) -> DataFrame:
-        return variants.without_snps(self.counted, self.snps) if self.snps is not None else self.counted
+        """Without known variants, or (``snp_rule`` "end") cut at them; ``compat`` keeps the first annotation's of each
+        chromosome, in the order of the annotations' files."""
+        if self.snps is None:
+            return self.counted
+        snps = variants.within_reach(self.snps, self.counted)
+        if self.settings.snp_rule == "end":
+            return variants.cut_at_snps(self.counted, snps)
+        if not self.settings.compat:
+            return variants.without_snps(self.counted, snps)
+        order = self.canonical.groupBy("anno_name").agg(F.min("aid").alias("aid"))
+        return variants.without_snps(self.counted.join(order, "anno_name"), snps, compat_order="aid").select(*self.counted.columns)
 
     @cached_property
     def without_zygous(self) -> DataFrame:
@@ -122,13 +134,10 @@ class Pipeline:
         return summary.with_modifications(self.summary, self.modifications)
 
 
-def cohort_profiles(samples: dict[tuple[str, str], DataFrame], settings: Settings | None = None) -> dict[str, DataFrame]:
-    """From modification counts by (grp, sample): support, credible counts, and the wide tables of the latter."""
+def cohort_profiles(counts: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """From ``counts(grp, sample, anno_name, mod_type, key..., n)`` of all samples, one frame: support, credible counts,
+    and the wide tables of the latter.  The plan is the same for any number of samples."""
     s = settings or Settings()
-    counts = None
-    for (grp, sample), one in samples.items():
-        tagged = one.select(F.lit(grp).alias("grp"), F.lit(sample).alias("sample"), "anno_name", "mod_type", *KEY, "n")
-        counts = tagged if counts is None else counts.unionByName(tagged)
     key = ["mod_type", *KEY]
     good = cohort.credible_counts(counts, key, s.reads, s.samples, s.compat)
     rows = ["grp", "sample", "anno_name"]

@@ -2,13 +2,13 @@
 
 Plain files are cut into byte ranges.  A range begins at the first record that starts in it: a line that begins with
 ``@`` two lines before one that begins with ``+``, which a quality line cannot imitate, as the line two after it is a
-sequence.  Gzip files are one range each.
+sequence.  Files of gzip blocks (as bgzip writes them) are cut at blocks, and records are found in the same way in what
+they unpack to.  Any other gzip file can only be read from its beginning and is one task.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
 from collections.abc import Iterator
 from itertools import islice
 
@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tailwright.sources.bgzf import Unpacked, first_block, is_blocked
+from tailwright.sources.paths import files_of, opened, streamed
+
 SCHEMA = "name string, seq string, qual string"
 #: Bytes of a range, and records handed to Spark at once.
 RANGE, ROWS = 64 << 20, 8192
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None) -> None:
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int | None, blocked: bool = False) -> None:
+        self.path, self.start, self.end, self.blocked = path, start, end, blocked
 
 
 def _batches(lines: Iterator[bytes], path: str) -> Iterator[pa.RecordBatch]:
@@ -60,46 +63,59 @@ def _first_record(f, start: int) -> int:
             return at[-3][0]
 
 
+def _skip_to_record(f: Unpacked) -> None:
+    """Passes over the rest of the line that the first block begins with, whose record is the range's before, and on to
+    a record."""
+    f.readline()
+    held: list[bytes] = []
+    while line := f.readline():
+        held.append(line)
+        if len(held) >= 3 and held[-3].startswith(b"@") and line.startswith(b"+"):
+            f.unread(b"".join(held[-3:]))
+            return
+
+
+def _lines(f, inside) -> Iterator[bytes]:
+    """Lines of the records that begin inside."""
+    count = 0
+    while (count % 4 or inside()) and (line := f.readline()):
+        count += 1
+        yield line
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.size = options["path"], int(options.get("rangeBytes", RANGE))
 
     def partitions(self) -> list[Range]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        info = system.get_file_info(root)
-        files = [info] if info.is_file else [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and not x.base_name.startswith((".", "_"))]
         out = []
-        for x in sorted(files, key=lambda x: x.path):
-            prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
-            if x.path.endswith(".gz"):
-                out.append(Range(prefix + x.path, 0, None))
-            else:
-                out += [Range(prefix + x.path, a, min(a + self.size, x.size)) for a in range(0, x.size, self.size)]
+        for path, size in files_of(self.path):
+            blocked = False
+            if path.endswith(".gz"):
+                with opened(path) as f:
+                    blocked = is_blocked(f)
+                if not blocked:
+                    out.append(Range(path, 0, None))
+                    continue
+            out += [Range(path, a, min(a + self.size, size), blocked) for a in range(0, size, self.size)]
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(part.path) if "://" in part.path else (fs.LocalFileSystem(), part.path)
         if part.end is None:
-            with system.open_input_stream(path, compression=None) as raw, gzip.open(raw) as f:
-                yield from _batches(iter(f.readline, b""), path)
-            return
-        with io.BufferedReader(system.open_input_file(path)) as f:
-            f.seek(_first_record(f, part.start))
-
-            def lines() -> Iterator[bytes]:
-                count = 0
-                while count % 4 or f.tell() < part.end:
-                    line = f.readline()
-                    if not line:
-                        return
-                    count += 1
-                    yield line
-
-            yield from _batches(lines(), path)
+            with streamed(part.path) as raw, gzip.open(raw) as f:
+                yield from _batches(iter(f.readline, b""), part.path)
+        elif part.blocked:
+            with opened(part.path) as f:
+                at = first_block(f, part.start, f.seek(0, 2))
+                if at < part.end:
+                    body = Unpacked(f, at, part.end)
+                    if part.start:
+                        _skip_to_record(body)
+                    yield from _batches(_lines(body, body.follows_inside), part.path)
+        else:
+            with opened(part.path) as f:
+                f.seek(_first_record(f, part.start))
+                yield from _batches(_lines(f, lambda: f.tell() < part.end), part.path)
 
 
 class Fastq(DataSource):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tailwright.functions import modifications as M
 from tailwright.functions.sequence import abundance, md_render, tag_value
-from tailwright.operators.align import options
+from tailwright.operators.align import MARGIN, TILE, options
 from tailwright.sources import bam as _bam
 from tailwright.sources import fastq as _fastq
+from tailwright.sources import genome as _genome
 
 Paths = str | list[str]
 
@@ -72,10 +73,15 @@ def sam(spark: SparkSession, path: Paths) -> DataFrame:
     return out.withColumn("read_end", F.col("read_start") + F.length("seq") - 1)
 
 
-def bam(spark: SparkSession, path: str) -> DataFrame:
-    """Mapped alignments of binary files, with the columns of sam()."""
+def bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, range_bytes: int = _bam.RANGE) -> DataFrame:
+    """Mapped alignments of binary files, with the columns of sam(); with a ``region`` those that begin in it (chromosome,
+    first and last place), of which a file with an index beside it reads little else."""
     _bam.register(spark)
-    rows = spark.read.format("bam").load(path).where(F.col("flag").bitwiseAND(4) == 0)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    source = spark.read.format("bam").options(rangeBytes=str(range_bytes), pushed=pushed.lower())
+    if region:
+        source = source.options(chrom=region[0], start=str(region[1]), end=str(region[2]))
+    rows = source.load(path).where(F.col("flag").bitwiseAND(4) == 0)
     return rows.select(F.col("name").alias("read_id"), abundance("name").alias("abundance"), strand_of(F.col("flag")).alias("strand"), "chrom", F.col("pos").alias("read_start"), "seq", "qual", "md", "nm", (F.col("pos") + F.length("seq") - 1).alias("read_end"))
 
 
@@ -156,13 +162,29 @@ def annotated_reads(spark: SparkSession, path: Paths) -> DataFrame:
     return rows.select(*zero, tag_value("nm").cast("int").alias("nm"), tag_value("md").alias("md"), abundance("read_id").alias("abundance"))
 
 
+def annotated_sites(spark: SparkSession, path: Paths) -> DataFrame:
+    """Annotated reads with their modifications as sites again: site5, site3 and sites, and the file's name in ``path``."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("path")).where((F.trim("value") != "") & ~F.col("value").rlike("^#"))
+    field = lambda n: F.try_element_at(parts, F.lit(OVERLAP.index(n) + 1)).cast("long" if n in _LONGS else "string").alias(n)
+    rows = rows.select("path", *[field(n) for n in OVERLAP[:18]])
+    none = lambda c: M.none_if_zero(c)
+    site = lambda c: M.parse_profile(none(c))
+    each = F.filter(F.transform(F.split(F.coalesce(none("internal_profile"), F.lit("")), r"\|"), M.parse_profile), lambda x: x.isNotNull())
+    found = rows.withColumns({"site5": site("nte5_profile"), "site3": site("nte3_profile"), "sites": each})
+    own = {"nte5": none("nte5"), "nte3": none("nte3"), "nm": tag_value("nm").cast("int"), "md": tag_value("md")}
+    return found.withColumns(own).drop("nte5_profile", "nte3_profile", "internal_profile", "anno_chrom").withColumn("abundance", abundance("read_id"))
+
+
 #: The 21 columns of the PSL format, with types: fixed values.
 PSL = ["matches:int", "mismatches:int", "rep_matches:int", "n_count:int", "q_num_insert:int", "q_base_insert:int", "t_num_insert:int", "t_base_insert:int", "strand:string", "q_name:string", "q_size:int", "q_start:int", "q_end:int", "t_name:string", "t_size:long", "t_start:long", "t_end:long", "block_count:int", "block_sizes:string", "q_starts:string", "t_starts:string"]
 
 
 def psl(spark: SparkSession, path: Paths) -> DataFrame:
-    """Hits of the second aligner; header lines are skipped and ``.fa`` is cut off target names."""
+    """Hits of the second aligner; header lines are skipped and ``.fa`` is cut off target names.  ``ordinal`` is the order
+    of lines in a file, files by name."""
     rows = _fields(spark, path, {k: tuple(x.split(":")) for k, x in enumerate(PSL)}, r"^psL|^\s*match|^----", "\t")
+    rows = rows.withColumn("ordinal", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     numbers = lambda c, kind: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast(kind)).alias(c)
     out = rows.withColumn("t_name", F.regexp_replace("t_name", r"\.fa$", ""))
     return out.select(*[c for c in out.columns if c not in ("block_sizes", "q_starts", "t_starts")], numbers("block_sizes", "int"), numbers("q_starts", "int"), numbers("t_starts", "long"))
@@ -224,10 +246,15 @@ def sample_manifest(spark: SparkSession, path: str, grp: str = "all") -> DataFra
 
 
 def genome(spark: SparkSession, path: Paths) -> DataFrame:
-    """(chrom, offset, seq) of a FASTA genome, one piece a chromosome; the aligner cuts it into tiles."""
+    """(chrom, offset, seq) of a small FASTA genome, packed or not, one piece a chromosome; the aligner cuts it into tiles."""
     return fasta(spark, path).select(F.split("read_id", r"\s+")[0].alias("chrom"), F.lit(1).cast("long").alias("offset"), "seq")
 
 
+def genome_tiles(spark: SparkSession, path: Paths, tile: int = TILE, margin: int = MARGIN, range_bytes: int = _genome.RANGE) -> DataFrame:
+    """The tiles of a FASTA genome of any size, read in byte ranges: no row holds more than a tile and its margin."""
+    return _genome.genome_tiles(spark, path, tile, margin, range_bytes)
+
+
 def library_depth(spark: SparkSession, path: str) -> DataFrame:
     """(depth): the number in the first line of a read summary."""
     return spark.read.text(path).limit(1).select(F.regexp_extract("value", r"([0-9]+)\s*$", 1).cast("long").alias("depth"))

@@ -35,14 +35,15 @@ def nte_sam(alignments: DataFrame) -> DataFrame:
     return alignments.select("read_id", flag.alias("flag"), "chrom", F.col("read_start").alias("start"), F.lit(255).alias("mapq"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"), "trim_step", M.zero_if_none(F.col("nte5")).alias("nte5"), M.zero_if_none(F.col("nte3")).alias("nte3"), "seq", F.lit("*").alias("qual"), F.lit("*").alias("other"), F.concat(F.lit("MD:Z:"), "md").alias("md"), F.concat(F.lit("NM:i:"), "nm").alias("nm"))
 
 
-def annotated_reads(reads: DataFrame) -> DataFrame:
-    """Reads with annotation, profiles and, if there, the verdict of the second aligner.
+def annotated_reads(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reads with annotation, profiles and, if there, the verdict of the second aligner.  ``by`` columns come first, to
+    write a folder for each sample.
 
     The header names are fixed values, although two of them don't say what the columns hold.
     """
     zero = lambda c: M.zero_if_none(F.col(c)).alias(c)
     out = reads.select(
-        F.col("chrom").alias("#chr"), "strand", F.col("read_start").alias("start"), F.col("read_end").alias("end"), F.col("read_id").alias("ID"), zero("nte5"), zero("nte3"),
+        *by, F.col("chrom").alias("#chr"), "strand", F.col("read_start").alias("start"), F.col("read_end").alias("end"), F.col("read_id").alias("ID"), zero("nte5"), zero("nte3"),
         F.concat(F.lit("NM:i:"), "nm").alias("mismatch_position"), F.concat(F.lit("MD:Z:"), "md").alias("mismatch_type"), F.col("seq").alias("sequence"), F.col("anno_name").alias("ann_name"), F.col("chrom").alias("ann_chr"), F.col("anno_start").alias("ann_start"), F.col("anno_end").alias("ann_end"), "species",
         _profile("site5").alias("nte5_profile"), _profile("site3").alias("nte3_profile"), _internal(lambda s: M.profile_text("chrom", "strand", s)).alias("internal_profile"), _internal(lambda s: s["alt"]).alias("INTERNAL"),
         *[c for x in ("consensus", "alt_locus") if x in reads.columns for c in [F.col(x).alias(x.upper())]],
@@ -69,8 +70,9 @@ def query_fasta(reads: DataFrame, species: str = "mirna", compat: bool = False)
 
 
 def snp_table(snps: DataFrame, path: str, mode: str = "error") -> None:
-    """Known variants as Parquet, a folder for each chromosome, so that readers of some chromosomes read no others."""
-    snps.repartition("chrom", F.floor(F.col("pos") / 10_000_000)).write.mode(mode).partitionBy("chrom").parquet(path)
+    """Known variants as Parquet, a folder for each chromosome, so that readers of some chromosomes read no others, sorted
+    by place, so that readers of some places pass over the others' row groups."""
+    snps.repartition("chrom", F.floor(F.col("pos") / 10_000_000)).sortWithinPartitions("chrom", "pos").write.mode(mode).partitionBy("chrom").parquet(path)
 
 
 def repeat_bed(alignments: DataFrame) -> DataFrame:
