@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tailwright.functions import modifications as M
 from tailwright.functions.sequence import bin_of
-from tailwright.operators.intervals import BIN, binned
+from tailwright.operators.intervals import containing_pairs
 
 #: Slack in bases at either end, and the length above which an annotation need only contain the read.
 SLACK, LONG = 3, 50
+#: Bins of the older tools, whose edges show in the compat form.
+BIN = 1000
 #: Rank of classes that no list names.
 UNLISTED = 2**31 - 1
 ALIGNMENT = ["read_id", "abundance", "chrom", "strand", "read_start", "read_end", "nte5", "nte3", "nm", "md", "seq"]
@@ -26,17 +28,15 @@ def fits(start: Column, end: Column, anno_start: Column, anno_end: Column) -> Co
 def candidates(alignments: DataFrame, annotations: DataFrame, compat: bool = False) -> DataFrame:
     """All (alignment, annotation) pairs that fit.
 
-    A fitting annotation covers the read's start up to the slack, so only annotations are spread over bins and each
-    alignment looks into one; no pair appears twice.  ``compat``: an annotation must also touch the bin in which the
-    alignment starts without the slack.
+    A fitting annotation covers the read's start up to the slack, so that place is looked up among annotations by
+    hierarchical bins; an annotation is two rows at most, however long it is, and no pair appears twice.
+    ``compat``: an annotation must also touch the bin in which the alignment starts without the slack.
     """
-    a = alignments.withColumn("bin", bin_of("read_start", BIN))
-    b = binned(annotations, F.col("anno_start") - SLACK, F.col("anno_end") + SLACK).withColumnsRenamed({"chrom": "a_chrom", "strand": "a_strand", "bin": "a_bin"})
-    hit = (F.col("chrom") == F.col("a_chrom")) & (F.col("strand") == F.col("a_strand")) & (F.col("bin") == F.col("a_bin"))
-    hit &= fits(F.col("read_start"), F.col("read_end"), F.col("anno_start"), F.col("anno_end"))
+    b = annotations.withColumnsRenamed({"chrom": "b_chrom", "strand": "b_strand"}).withColumns({"b_low": F.col("anno_start") - SLACK, "b_high": F.col("anno_end") + SLACK})
+    hit = fits(F.col("read_start"), F.col("read_end"), F.col("anno_start"), F.col("anno_end"))
     if compat:
-        hit &= F.col("bin").between(bin_of("anno_start", BIN), bin_of("anno_end", BIN))
-    return a.join(b, hit).drop("bin", "a_bin", "a_chrom", "a_strand")
+        hit &= bin_of("read_start", BIN).between(bin_of("anno_start", BIN), bin_of("anno_end", BIN))
+    return containing_pairs(alignments, b, F.col("read_start"), ("chrom", "strand"), hit).drop("b_chrom", "b_strand", "b_low", "b_high")
 
 
 def annotate(alignments: DataFrame, annotations: DataFrame, priority: DataFrame, compat: bool = False) -> DataFrame:
@@ -48,20 +48,20 @@ def annotate(alignments: DataFrame, annotations: DataFrame, priority: DataFrame,
     each task combines before the shuffle.  ``compat``: the rank of the first hit is kept for all comparisons, so the
     last hit with a better rank than the first wins.
     """
-    keys = [c for c in alignments.columns]
+    keys = alignments.columns
     ranked = annotations.join(priority, "species", "left").withColumn("rnk", F.coalesce("rnk", F.lit(UNLISTED)))
-    pairs = candidates(alignments, ranked, compat)
+    # equal alignments are one until they have their annotation
+    each = alignments.groupBy(*keys).agg(F.count("*").cast("int").alias("_times"))
+    pairs = candidates(each, ranked, compat)
     anno = F.struct("rnk", "aid", "anno_name", "anno_start", "anno_end", "species")
-    # equal alignments have equal annotations, a handful, so this is how many there are of each
-    times = (F.count("*") / F.size(F.collect_set("aid"))).cast("int").alias("times")
     if not compat:
-        best = pairs.groupBy(*keys).agg(F.min(anno).alias("a"), times)
+        best = pairs.groupBy(*each.columns).agg(F.min(anno).alias("a"))
     else:
         byfile = F.struct("aid", "rnk", "anno_name", "anno_start", "anno_end", "species")
-        all_ = F.array_sort(F.collect_list(byfile)).alias("all")
-        best = pairs.groupBy(*keys).agg(all_, times).withColumn("better", F.filter("all", lambda x: x["rnk"] < F.col("all")[0]["rnk"]))
+        best = pairs.groupBy(*each.columns).agg(F.array_sort(F.collect_list(byfile)).alias("all")).withColumn("better", F.filter("all", lambda x: x["rnk"] < F.col("all")[0]["rnk"]))  # an alignment's own few annotations
         best = best.withColumn("a", F.when(F.size("better") > 0, F.element_at("better", -1)).otherwise(F.col("all")[0])).drop("all", "better")
-    return best.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*keys, "a.anno_name", "a.anno_start", "a.anno_end", "a.species", "a.aid")
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
+    return best.withColumn("_time", again).select(*keys, "a.anno_name", "a.anno_start", "a.anno_end", "a.species", "a.aid")
 
 
 def with_profiles(annotated: DataFrame, compat: bool = False) -> DataFrame:

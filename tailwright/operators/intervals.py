@@ -1,33 +1,121 @@
-"""Interval joins by explicit bins: an equi-join on (chrom, bin) with the exact predicate as residual."""
+"""Interval joins by hierarchical bins: equi-joins on (chrom, level, bin) with the exact predicate as residual.
+
+An interval's level is the narrowest one whose bins are as wide as the interval, so it touches two bins of it at most,
+however long it is.  Two intervals are compared at the higher of their levels: each row also stands for itself at the
+levels above its own, as far as the other side has any.  Both go into the join with rows in proportion to their number.
+All intervals here are 1-based with both ends included unless they are called ``start0`` and ``end0``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailwright.functions.sequence import bin_of
+#: Widths of the bins of each level, as powers of two; the last holds any chromosome.
+SHIFTS = (10, 14, 18, 22, 26, 40)
+
+
+def level_of(low: Column, high: Column) -> Column:
+    """The narrowest level with bins of at least the interval's length."""
+    n = high - low + 1
+    return F.coalesce(*[F.when(n <= (1 << s), F.lit(k)) for k, s in enumerate(SHIFTS)], F.lit(len(SHIFTS) - 1))
+
+
+def _bin(position: Column, shift: int) -> Column:
+    return F.shiftright(position.cast("long"), shift)
+
+
+def at_own_level(intervals: DataFrame, low: Column, high: Column) -> DataFrame:
+    """``intervals`` with ``level`` and ``bin``: one row for each bin of its own level that it touches, two at most."""
+    own = level_of(low, high)
+    at = lambda s: F.array_distinct(F.array(_bin(low, s), _bin(high, s)))
+    bins = F.coalesce(*[F.when(own == k, at(s)) for k, s in enumerate(SHIFTS)])
+    return intervals.withColumns({"level": own, "bin": F.explode(bins)})
+
+
+def levels_in(*binned: DataFrame) -> DataFrame:
+    """(level): the levels that occur, one row each, so never more than there are in SHIFTS."""
+    out = binned[0].select("level")
+    for other in binned[1:]:
+        out = out.union(other.select("level"))
+    return out.distinct()
+
 
-#: Width of a bin in bases.
-BIN = 1000
+def at_levels(points: DataFrame, position: Column, levels: DataFrame) -> DataFrame:
+    """``points`` with ``level`` and ``bin``: one row for each of the ``levels``."""
+    each = F.array(*[F.struct(F.lit(k).alias("level"), _bin(position, s).alias("bin")) for k, s in enumerate(SHIFTS)])
+    return points.withColumn("_x", F.explode(each)).select(*[F.col(f"`{c}`") for c in points.columns], "_x.level", "_x.bin").join(F.broadcast(levels), "level", "left_semi")  # a row a level
 
 
-def binned(intervals: DataFrame, low: Column, high: Column, width: int = BIN) -> DataFrame:
-    """One row for each bin that [low, high] touches, as column ``bin``."""
-    return intervals.withColumn("bin", F.explode(F.sequence(bin_of(low, width), bin_of(high, width))))
+def _from_own_level(intervals: DataFrame, low: Column, high: Column, levels: DataFrame) -> DataFrame:
+    """The same for intervals: at their own level and those above, in each bin that they touch; ``first`` is the first."""
+    own = level_of(low, high)
+
+    def at(k: int, s: int) -> Column:
+        bins = F.array_distinct(F.array(_bin(low, s), _bin(high, s)))
+        one = lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"), _bin(low, s).alias("first"), own.alias("own"))
+        return F.when(own <= k, F.transform(bins, one)).otherwise(F.array().cast("array<struct<level:int,bin:bigint,first:bigint,own:int>>"))
+
+    each = F.flatten(F.array(*[at(k, s) for k, s in enumerate(SHIFTS)]))
+    out = intervals.withColumn("_x", F.explode(each)).select(*[F.col(f"`{c}`") for c in intervals.columns], "_x.*")
+    return out.join(F.broadcast(levels), "level", "left_semi")  # a row a level
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, slack: int = 0, how: str = "inner") -> DataFrame:
+    """All pairs of ``a(chrom, low, high, ...)`` and ``b(b_chrom, b_low, b_high, ...)`` that share a base, or are at most
+    ``slack`` bases apart; each once.  With ``how="left_semi"`` the distinct rows of ``a`` that have such a partner."""
+    low, high = F.col("low") - slack, F.col("high") + slack
+    levels = levels_in(a.select(level_of(low, high).alias("level")), b.select(level_of(F.col("b_low"), F.col("b_high")).alias("level")))
+    x = _from_own_level(a, low, high, levels)
+    y = _from_own_level(b, F.col("b_low"), F.col("b_high"), levels).withColumnsRenamed({"level": "b_level", "bin": "b_bin", "first": "b_first", "own": "b_own"})
+    hit = (F.col("chrom") == F.col("b_chrom")) & (F.col("level") == F.col("b_level")) & (F.col("bin") == F.col("b_bin"))
+    # once: at the higher of both levels, in the first bin that both touch
+    hit &= (F.col("level") == F.greatest("own", "b_own")) & (F.col("bin") == F.greatest("first", "b_first"))
+    hit &= (low <= F.col("b_high")) & (F.col("b_low") <= high)
+    out = x.join(y, hit, how).drop("level", "bin", "first", "own", "b_level", "b_bin", "b_first", "b_own")
+    return out.distinct() if how == "left_semi" else out  # a row may have partners at several levels
+
+
+def containing_pairs(points: DataFrame, intervals: DataFrame, position: Column, by: tuple[str, ...] = ("chrom",), residual: Column | None = None) -> DataFrame:
+    """Pairs of ``points`` and ``intervals(b_<by>..., b_low, b_high, ...)`` that hold the point's ``position``."""
+    y = at_own_level(intervals, F.col("b_low"), F.col("b_high")).withColumnsRenamed({"level": "b_level", "bin": "b_bin"})
+    x = at_levels(points, position, levels_in(y.withColumnRenamed("b_level", "level")))
+    hit = (F.col("level") == F.col("b_level")) & (F.col("bin") == F.col("b_bin")) & position.between(F.col("b_low"), F.col("b_high"))
+    for c in by:
+        hit &= F.col(c) == F.col(f"b_{c}")
+    if residual is not None:
+        hit &= residual
+    return x.join(y, hit).drop("level", "bin", "b_level", "b_bin")
+
+
+def nearest(a: DataFrame, b: DataFrame, slack: int) -> DataFrame:
+    """``a`` with ``distance`` and ``near``, its nearest interval of ``b`` at most ``slack`` bases away: 0 where they share a
+    base, ties to the first by b's columns; null where there is none.  Rows of ``a`` that are equal become one.
+
+    The least (distance, interval) is an aggregate, combined map-side.
+    """
+    pairs = overlap_pairs(a, b, slack)
+    distance = F.greatest(F.lit(0).cast("long"), (F.col("b_low") - F.col("high")).cast("long"), (F.col("low") - F.col("b_high")).cast("long"))
+    place = F.struct(distance.alias("distance"), F.struct("b_low", "b_high", *[c for c in b.columns if c not in ("b_chrom", "b_low", "b_high")]).alias("near"))
+    best = pairs.groupBy(*a.columns).agg(F.min(place).alias("best")).select(*a.columns, "best.distance", "best.near")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in a.columns]
+    on = same[0]
+    for c in same[1:]:
+        on &= c
+    return a.distinct().alias("x").join(best.alias("y"), on, "left").select("x.*", "y.distance", "y.near")
 
 
 def overlapping(alignments: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Keys of alignments (1-based, both ends included) that share a base with a repeat (0-based, end excluded);
+    """Distinct rows of alignments (1-based, both ends included) that share a base with a repeat (0-based, end excluded);
     strand does not matter."""
-    a = binned(alignments, F.col("read_start"), F.col("read_end"))
-    b = binned(repeats.select("chrom", "start0", "end0"), F.col("start0") + 1, F.col("end0"))
-    hit = (a["chrom"] == b["chrom"]) & (a["bin"] == b["bin"]) & (a["read_start"] - 1 < b["end0"]) & (b["start0"] < a["read_end"])
-    return a.join(b, hit, "left_semi").drop("bin")
+    a = alignments.withColumns({"low": F.col("read_start"), "high": F.col("read_end")})
+    b = repeats.select(F.col("chrom").alias("b_chrom"), (F.col("start0") + 1).alias("b_low"), F.col("end0").alias("b_high"))
+    return overlap_pairs(a, b, how="left_semi").drop("low", "high")
 
 
 def repeat_reads(alignments: DataFrame, repeats: DataFrame) -> DataFrame:
     """(read_id): reads with an alignment on a repeat."""
-    return overlapping(alignments, repeats).select("read_id").distinct()
+    return overlapping(alignments.select("read_id", "chrom", "read_start", "read_end"), repeats).select("read_id").distinct()
 
 
 def without_repeats(alignments: DataFrame, repeats: DataFrame, compat: bool = False) -> DataFrame:

@@ -127,7 +127,24 @@ judged as (
   where a.species = 'mirna'),
 mods as (
   select anno_name, aid, chrom, strand, p_from, p_to, nte3_ref ref, nte3 alt, cast(sum(abundance) as bigint) n
-  from ann where k > 0 group by anno_name, aid, chrom, strand, p_from, p_to, nte3_ref, nte3)"""
+  from ann where k > 0 group by anno_name, aid, chrom, strand, p_from, p_to, nte3_ref, nte3),
+stretch as (
+  select o_orderkey sid, concat('chr', o_custkey % 24 + 1) chrom, (o_orderkey * 7919) % 3000000 + 1 low,
+         (o_orderkey * 7919) % 3000000 + case when o_orderkey % 1000 = 0 then 5000000 when o_orderkey % 100 = 1 then 300000
+                                              when o_orderkey % 50 = 2 then 20000 else 20 + o_orderkey % 400 end high
+  from orders),
+spot as (
+  select p_partkey pid, concat('chr', p_partkey % 24 + 1) chrom, (p_partkey * 104729) % 3000000 + 1 low,
+         (p_partkey * 104729) % 3000000 + 18 + p_size high from part),
+ends as (
+  select concat('m', p_partkey) anno_name, p_partkey % 3 mod_type, chrom, strand, k,
+         base + 40 + case when strand = '+' then 0 else k - 1 end p_from, base + 40 + case when strand = '+' then k - 1 else 0 end p_to,
+         case when strand = '+' then substr(seq64, 41, k) else reverse(translate(substr(seq64, 41, k), 'ACGT', 'TGCA')) end ref, n
+  from (select *, case when p_partkey % 3 = 2 then 1 else 2 + p_partkey % 2 end k, cast(p_size as bigint) n from locus) l),
+variant as (
+  select distinct chrom, base + 40 + o pos, substr(seq64, cast(41 + o as int), 1) ref, translate(substr(seq64, cast(41 + o as int), 1), 'ACGT', 'CATG') alt
+  from (select chrom, base, seq64, cast(floor(p_partkey / 5) as int) % 3 o from locus where p_partkey % 4 <> 0
+        union all select chrom, base, seq64, cast(floor(p_partkey / 11) as int) % 3 o from locus where p_partkey % 7 = 0) v)"""
 
 
 def bridge(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwright.operators import align, annotate, ends, hits, reads
+from tailwright.operators import align, annotate, cohort, ends, hits
+from tailwright.operators.reads import collapse
+from tailwright.operators.summary import KEY
 from tailwright.plans.pipeline import Pipeline, Settings, cohort_profiles
 from tailwright.sources import readers, writers
+from tailwright.sources.paths import files_of
 
 
 def sample(spark: SparkSession, reads_path: str, genome: str, annotations: str, priority: str, settings: Settings | None = None, repeats: str | None = None, psl: str | None = None, snps: str | None = None, fastq: str | None = None, aligner: str | None = None) -> Pipeline:
@@ -20,7 +23,7 @@ def sample(spark: SparkSession, reads_path: str, genome: str, annotations: str,
         known["repeats"] = readers.bed(spark, repeats)
     if psl:
         best = hits.extended(hits.best_hits(readers.psl(spark, psl)))
-        known["hits"] = best.select(F.col("q_name").alias("read_id"), F.col("t_name").alias("chrom"), "strand", "full_start", "full_end", F.monotonically_increasing_id().alias("ordinal"))
+        known["hits"] = best.select(F.col("q_name").alias("read_id"), F.col("t_name").alias("chrom"), "strand", "full_start", "full_end", "ordinal")
     if snps:
         known["snps"] = readers.snps(spark, snps)
     if fastq:
@@ -28,9 +31,9 @@ def sample(spark: SparkSession, reads_path: str, genome: str, annotations: str,
     if kind in ("sam", "bam"):
         none = F.lit(None).cast("string")
         return Pipeline(getattr(readers, kind)(spark, reads_path).withColumns({"nte5": none, "nte3": none, "trim_step": F.lit(align.ROUNDS[0][3])}), **known)
-    collapsed = readers.fasta(spark, reads_path) if kind == "fasta" else reads.collapse(readers.fastq(spark, reads_path)).withColumn("read_id", F.concat_ws("|", F.md5("seq"), "abundance"))
+    collapsed = readers.fasta(spark, reads_path) if kind == "fasta" else collapse(readers.fastq(spark, reads_path)).withColumn("read_id", F.concat_ws("|", F.md5("seq"), "abundance"))
     limits = readers.aligner_options(spark, aligner) if aligner else {}
-    return Pipeline.from_reads(collapsed, readers.genome(spark, genome), limits=limits, **known)
+    return Pipeline.from_reads(collapsed, (readers.genome if genome.endswith(".gz") else readers.genome_tiles)(spark, genome), limits=limits, **known)
 
 
 def write(p: Pipeline, out: str) -> dict[str, str]:
@@ -66,11 +69,29 @@ def write(p: Pipeline, out: str) -> dict[str, str]:
     return paths
 
 
-def write_cohort(spark: SparkSession, samples: dict[tuple[str, str], str], out: str, settings: Settings | None = None) -> dict[str, str]:
-    """The cohort's tables from the annotation summaries of ``samples``, paths by (group, sample)."""
+def cohort_samples(spark: SparkSession, samples: dict[tuple[str, str], str]) -> DataFrame:
+    """(path, grp, sample) of the files of the cohort's tables, by (group, sample)."""
+    rows = [(part, str(grp), str(sample)) for (grp, sample), path in samples.items() for part, _ in files_of(path)]
+    return spark.createDataFrame(rows, "path string, grp string, sample string")
+
+
+def _by_sample(df: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with the group and sample of the file that they come from."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    own = named.select(plain(F.col("path")).alias("_path"), "grp", "sample")
+    there = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    return df.withColumn("_path", plain(there)).join(own, "_path").drop("_path", "path")
+
+
+def write_cohort(spark: SparkSession, samples: dict[tuple[str, str], str], out: str, settings: Settings | None = None, reads: dict[tuple[str, str], str] | None = None) -> dict[str, str]:
+    """The cohort's tables from the annotation summaries of ``samples``, paths by (group, sample); with the paths of their
+    annotated ``reads`` also those reads with nothing but credible modifications.
+
+    All samples are one read of all paths, joined to their names by the files' paths.
+    """
     s = settings or Settings()
-    read = {k: readers.summary(spark, path) for k, path in samples.items()}
-    counts = {k: readers.long_counts(x) for k, x in read.items()}
+    whole = _by_sample(readers.summary(spark, list(dict.fromkeys(samples.values()))), cohort_samples(spark, samples))
+    counts = readers.long_counts(whole, ("grp", "sample"))
     made = cohort_profiles(counts, s)
     paths: dict[str, str] = {}
 
@@ -83,10 +104,11 @@ def write_cohort(spark: SparkSession, samples: dict[tuple[str, str], str], out:
     for kind, name in (("nte5", "nte5_counts"), ("nte3", "nte3_counts"), ("internal", "internal_mm_counts")):
         put(name, writers.kmer_table(made[kind], rows))
     put("internal_mm_compsition", writers.substitution_table(made["substitutions"], rows))
-    whole = None
-    for (grp, name), one in read.items():
-        tagged = one.select(F.lit(grp).alias("grp"), F.lit(name).alias("sample"), *[c for c in one.columns if c != "path"])
-        whole = tagged if whole is None else whole.unionByName(tagged)
-    credible = writers.credible_summary(whole, made["credible"], ("grp", "sample"))
-    put("anno_summary" + writers.suffix("credible", reads=s.reads, samples=s.samples), credible, ("grp", "sample"))
+    name = "anno_summary" + writers.suffix("credible", reads=s.reads, samples=s.samples)
+    put(name, writers.credible_summary(whole, made["credible"], ("grp", "sample")), ("grp", "sample"))
+    if reads:
+        own = _by_sample(readers.annotated_sites(spark, list(dict.fromkeys(reads.values()))), cohort_samples(spark, reads))
+        ok = made["credible"].select("grp", "mod_type", *KEY).distinct()
+        kept = cohort.credible_reads(own, ok, by=("grp",), rows=("grp", "sample", "read_id", "anno_name", "read_start"))
+        put("reads" + writers.suffix("credible", reads=s.reads, samples=s.samples), writers.annotated_reads(kept, ("grp", "sample")), ("grp", "sample"))
     return paths

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tailwright.functions import modifications as M
 from tailwright.functions import sequence as S
-from tailwright.operators import align, annotate, cohort, ends, hits, intervals, phred, profiles, reads, summary, variants
+from tailwright.operators import align, annotate, cohort, ends, hits, intervals, phred, profiles, reads, summary, ungapped, variants
 from tailwright.plans.bridge import bridge, oracle
+from tailwright.plans.pipeline import cohort_profiles
 from tailwright.plans.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,6 +465,48 @@ def credible_reads(spark, d):
     return out.select("read_id", "anno_name", M.zero_if_none(F.col("nte3")).alias("nte3"))
 
 
+# Intervals of any length
+
+
+def stretches(spark: SparkSession, d: str) -> DataFrame:
+    return bridge(spark, d, "stretch").withColumnsRenamed({"chrom": "b_chrom", "low": "b_low", "high": "b_high"})
+
+
+@query("select pid, sid from spot a join stretch b on a.chrom = b.chrom and a.low <= b.high and b.low <= a.high")
+def interval_overlaps(spark, d):
+    return intervals.overlap_pairs(bridge(spark, d, "spot"), stretches(spark, d)).select("pid", "sid")
+
+
+@query("select pid, sid from spot a join stretch b on a.chrom = b.chrom and a.low >= b.low and a.high <= b.high")
+def interval_containment(spark, d):
+    return intervals.containing_pairs(bridge(spark, d, "spot"), stretches(spark, d), F.col("low"), residual=F.col("high") <= F.col("b_high")).select("pid", "sid")
+
+
+@query("""select pid, distance, sid from (
+  select a.pid, b.sid, case when b.sid is not null then greatest(0, b.low - a.high, a.low - b.high) end distance,
+         row_number() over (partition by a.pid order by greatest(0, b.low - a.high, a.low - b.high), b.low, b.high, b.sid) rn
+  from spot a left join stretch b on a.chrom = b.chrom and a.low - 200 <= b.high and b.low <= a.high + 200) x where rn = 1""")
+def interval_nearest(spark, d):
+    return intervals.nearest(bridge(spark, d, "spot"), stretches(spark, d), 200).select("pid", "distance", "near.sid")
+
+
+# Variants inside end modifications: the rule of a helper that the older tools don't ship, so nothing can verify it
+
+
+@query("""select anno_name, mod_type, chrom, strand, p_from + step * b pos_from, p_from + step * (b + len - 1) pos_to,
+       substr(ref, b + 1, len) ref, translate(substr(ref, b + 1, len), 'ACGT', 'CATG') alt, cast(sum(n) as bigint) n
+from (select e.*, case when strand = '-' then -1 else 1 end step, cast(case when v.far is not null and mod_type = 1 then v.far + 1 else 0 end as int) b,
+             cast(case when v.far is null then k when mod_type = 1 then k - 1 - v.far when mod_type = 0 then v.near else 0 end as int) len
+      from ends e left join (
+        select e.anno_name, max(abs(v.pos - e.p_from)) far, min(abs(v.pos - e.p_from)) near from ends e
+        join variant v on v.chrom = e.chrom and v.pos between least(e.p_from, e.p_to) and greatest(e.p_from, e.p_to) group by e.anno_name) v
+      on v.anno_name = e.anno_name) x
+where len > 0 group by all""")
+def snp_end_rule(spark, d):
+    e = bridge(spark, d, "ends").withColumnsRenamed({"p_from": "pos_from", "p_to": "pos_to"}).withColumn("alt", F.translate("ref", "ACGT", "CATG"))
+    return variants.cut_at_snps(e.select("anno_name", "mod_type", *summary.KEY, "n"), bridge(spark, d, "variant"))
+
+
 # Profiles
 
 
@@ -496,6 +539,17 @@ def substitution_matrix(spark, d):
     return profiles.substitution_matrix(sample_counts(spark, d).where("mod_type = 2"), ["grp", "sample", "aid"])
 
 
+@query(_wide(S.kmers(), "translate(alt, 'T', 'U')", 1).replace("select grp, sample, aid", "select grp, sample, cast(aid as varchar) anno_name").replace("from smod where", """from (
+  select s.* from smod s join (select grp, mod_type, pos, ref, alt, count(distinct sample) samples from smod where cnt >= 2 group by all) p
+    on p.grp = s.grp and p.mod_type = s.mod_type and p.pos = s.pos and p.ref = s.ref and p.alt = s.alt
+  join (select grp, count(distinct sample) total from smod group by grp) t on t.grp = s.grp
+  where s.cnt >= 2 and p.samples >= least(5, t.total)) c where"""))
+def cohort_nte3_matrix(spark, d):
+    """All samples in one frame."""
+    place = {"chrom": F.lit("chr1"), "strand": F.lit("+"), "pos_from": F.col("pos"), "pos_to": F.col("pos"), "anno_name": F.col("aid").cast("string")}
+    return cohort_profiles(sample_counts(spark, d).withColumns(place))["nte3"]
+
+
 # Alignment
 
 
@@ -510,6 +564,23 @@ def genome_lookup(spark, d):
     return align.fetch(loci, align.tiles(genome(spark, d)), F.col("place"), F.lit(20), "bases")
 
 
+@query("""select concat(p_partkey, case when p_partkey % 2 = 0 then '+' else '-' end) q_name, case when p_partkey % 2 = 0 then '+' else '-' end strand, chrom t_name,
+       case when p_partkey % 3 = 0 and p_partkey % 2 = 1 then 1 else 0 end q_start, case when p_partkey % 3 = 0 and p_partkey % 2 = 0 then 29 else 30 end q_end,
+       base + 9 + case when p_partkey % 3 = 0 and p_partkey % 2 = 1 then 1 else 0 end t_start,
+       base + 9 + case when p_partkey % 3 = 0 and p_partkey % 2 = 0 then 29 else 30 end t_end,
+       case p_partkey % 3 when 0 then 29 when 1 then 28 else 30 end score from locus""")
+def ungapped_best(spark, d):
+    """Planted loci: every one's bases 11 to 40, in a third the RNA's last one exchanged, in a third one in the middle."""
+    l = bridge(spark, d, "locus")
+    other = lambda x: F.translate(x, "ACGT", "CATG")
+    rna = F.when(F.col("strand") == "+", F.substring("seq64", 11, 30)).otherwise(F.reverse(F.translate(F.substring("seq64", 11, 30), "ACGT", "TGCA")))
+    l = l.withColumn("rna", rna)
+    planted = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.left("rna", F.lit(29)), other(F.right("rna", F.lit(1))))).when(F.col("p_partkey") % 3 == 1, F.concat(F.left("rna", F.lit(15)), other(F.substring("rna", 16, 1)), F.right("rna", F.lit(14)))).otherwise(F.col("rna"))
+    q = l.select(F.concat("p_partkey", "strand").alias("query"), planted.alias("seq"))
+    found = hits.best_hits(ungapped.ungapped_hits(q, align.tiles(genome(spark, d)), score=20))
+    return found.select("q_name", "strand", "t_name", "q_start", "q_end", F.col("t_start").cast("long").alias("t_start"), F.col("t_end").cast("long").alias("t_end"), (F.col("matches") - F.col("mismatches")).alias("score"))
+
+
 CASCADE = """, raw as (select seq, length(seq) n, count(*) abundance, concat(md5(seq), '|', count(*)) read_id from fastq group by seq),
 tries as (select r.*, o.*, substr(seq, t5 + 1, greatest(n - t5 - t3, 0)) cut from raw r
   cross join (values (0, 0, 0, 'init-mapping-0'), (1, 0, 1, 'three-trim-1'), (2, 0, 2, 'three-trim-2'), (3, 1, 0, 'five-trim-1'), (4, 2, 0, 'five-trim-2'), (5, 1, 1, 'both-trim-1')) o(step, t5, t3, trim_step)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tailwright.operators import align, hits
 from tailwright.plans import files
-from tailwright.plans.pipeline import Settings
+from tailwright.plans.pipeline import Settings, cohort_profiles
 from tailwright.sources import readers, writers
 
 OTHER = {"A": "C", "C": "A", "G": "T", "T": "G"}
@@ -114,3 +114,51 @@ def test_a_sample_is_aligned_once(spark, inputs):
         read = df.inputFiles()
         assert not [f for f in read if "genome.fa" in f or "reads.fa" in f]
     assert all("/canonical-" in f or "/alignments-" in f for f in p.filtered_summary.inputFiles())
+
+
+def test_a_cohort_s_reads_and_order_dependent_forms(spark, inputs, tmp_path):
+    """Reads with nothing but credible modifications; known variants in both forms; the end-inward rule."""
+    d, g = inputs
+    (tmp_path / "snps.txt").write_text(f"chr1 1523 {g[1522]}>{OTHER[g[1522]]} known\n")
+    make = lambda **s: files.sample(spark, f"{d}/reads.fa", f"{d}/genome.fa", f"{d}/list.txt", f"{d}/prio.txt", settings=Settings(**s), snps=f"{tmp_path}/snps.txt")
+    p = make()
+    assert p.counted.count() == 1 and p.without_snps.count() == 0
+    assert make(compat=True).without_snps.select(p.counted.columns).collect() == p.counted.collect()  # the chromosome's first annotation
+    assert make(snp_rule="end").without_snps.count() == 0
+    with pytest.raises(ValueError, match="variant rule"):
+        Settings(snp_rule="some")
+    paths = files.write(p, str(tmp_path / "s"))
+    name = next(k for k in paths if k.endswith("canonical_end"))
+    keys = [("g", "s 1"), ("g", "s+2"), ("h", "s%203")]
+    for need, want in ((1, ["p1|90", "p2|12", "p3|40"]), (99, ["p1|90", "p3|40"])):
+        out = files.write_cohort(spark, dict.fromkeys(keys, paths["anno_summary"]), str(tmp_path / f"cohort{need}"), Settings(reads=need), reads=dict.fromkeys(keys, paths[name]))
+        kept = readers.annotated_reads(spark, [f"{out[f'reads.credible-r{need}-N5']}/grp=g/sample=s 1"])
+        assert sorted(r.read_id for r in kept.collect()) == want
+        assert {(r.read_id, r.nte3_profile) for r in kept.collect() if r.nte3} == ({("p2|12", f"chr1:+:1523:{g[1522]}>{OTHER[g[1522]]}")} if need == 1 else set())
+
+
+def test_a_cohort_of_many_samples_is_one_plan(spark, tmp_path):
+    row = "m1\tmirna\tchr1\t+\t5\t26\t0\t140\t100\t40\t9333.3\t0\t19\t0\t0\t26:G>T:12|26-27:GA>TT:7\t0\n"
+
+    def made(n):
+        (tmp_path / str(n)).mkdir()
+        samples = {}
+        for k in range(n):
+            (tmp_path / str(n) / f"{k}.txt").write_text("annotation_name\tspecies\n" + row)
+            samples["g", f"s{k}"] = f"{tmp_path}/{n}/{k}.txt"
+        whole = files._by_sample(readers.summary(spark, list(samples.values())), files.cohort_samples(spark, samples))
+        return cohort_profiles(readers.long_counts(whole, ("grp", "sample")), Settings(samples=n))
+
+    few, many = made(3), made(500)
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert {k: size(v) for k, v in few.items()} == {k: size(v) for k, v in many.items()}
+    assert {(r.alt, r.samples, r.total_samples) for r in many["support"].collect()} == {("T", 500, 500), ("TT", 500, 500)}
+    assert many["nte3"].count() == 500 and many["credible"].count() == 1000
+
+
+def test_hits_are_numbered_as_they_stand_in_the_file(spark, tmp_path):
+    line = lambda name, start: f"22\t0\t0\t0\t0\t0\t0\t0\t+\t{name}\t22\t0\t22\tchr1\t900\t{start}\t{start + 22}\t1\t22,\t0,\t{start},\n"
+    (tmp_path / "a.psl").write_text("".join(line(f"q{k % 50}|1", 7 * (997 * k % 1000)) for k in range(1000)))
+    best = hits.best_hits(readers.psl(spark, f"{tmp_path}/a.psl")).repartition(7)
+    first = best.groupBy("q_name").agg(F.min_by("t_start", "ordinal").alias("t")).collect()
+    assert {r.q_name: r.t for r in first} == {f"q{k}|1": 7 * (997 * k % 1000) for k in range(50)}

@@ -240,5 +240,188 @@ def test_planted_truth_end_to_end(spark, genome):
     m = {(x.anno_name, x.pos_from, x.alt): x.n for x in p.modifications.collect()}
     assert m == {("m1", 1523, other(g[1522])): 12}  # p4 ends elsewhere than the commonest end
     assert {x.anno_name: x.total_reads for x in p.summary.collect()} == {"m1": 102, "m2": 40}
-    wide = cohort_profiles({("g", "s1"): p.modifications, ("g", "s2"): p.modifications})
+    both = F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("sample")
+    wide = cohort_profiles(p.modifications.select(F.lit("g").alias("grp"), both, *p.modifications.columns))
     assert wide["credible"].count() == 2 and wide["support"].first().samples == 2
+
+
+def mods(spark, rows):
+    return spark.createDataFrame([("a", *r) for r in rows], "anno_name string, mod_type int, chrom string, strand string, pos_from long, pos_to long, ref string, alt string, n long")
+
+
+def test_modifications_are_cut_at_variants(spark):
+    """From the RNA's end inward the first variant stops; what lies outside it is kept, and equal rests are added up."""
+    m = mods(spark, [
+        (1, "c", "+", 10, 12, "ACG", "TTT", 5), (1, "c", "+", 11, 12, "CG", "TT", 7), (1, "c", "+", 12, 12, "G", "T", 1), (1, "c", "+", 20, 21, "AC", "GG", 2),
+        (1, "c", "-", 32, 30, "ACG", "TTT", 3), (0, "c", "+", 40, 42, "ACG", "TTT", 4), (0, "c", "-", 52, 50, "ACG", "TTT", 6), (2, "c", "+", 60, 60, "A", "T", 8), (2, "c", "+", 61, 61, "A", "T", 9),
+    ])
+    v = spark.createDataFrame([("c", 10, "A", "T"), ("c", 11, "C", "T"), ("c", 21, "C", "G"), ("c", 31, "G", "A"), ("c", 41, "C", "T"), ("c", 52, "T", "A"), ("c", 60, "A", "T"), ("c", 61, "A", "C"), ("d", 61, "A", "T")], "chrom string, pos long, ref string, alt string")
+    got = variants.cut_at_snps(m, v)
+    assert got.columns == m.columns
+    assert sorted(map(tuple, got.drop("anno_name", "chrom").collect())) == [
+        (0, "+", 40, 40, "A", "T", 4),
+        (1, "+", 12, 12, "G", "T", 13),
+        (1, "-", 30, 30, "G", "T", 3),
+        (2, "+", 61, 61, "A", "T", 9),
+    ]
+    assert sorted(map(tuple, variants.cut_at_snps(m, v.limit(0)).collect())) == sorted(map(tuple, m.collect()))
+
+
+def slow_pairs(a, b, slack):
+    return sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] - slack <= y[3] and y[2] <= x[3] + slack)
+
+
+@pytest.fixture(scope="module")
+def wide_and_narrow(spark):
+    rng = random.Random(8)
+    lengths = [1, 2, 20, 400, 1023, 1024, 1025, 20_000, 300_000, 5_000_000]
+    make = lambda n, long: [(k, f"chr{rng.randint(1, 2)}", a := rng.choice([1, 1024, 1025, 16_384, 1 << 22, rng.randint(1, 8_000_000)]), a + rng.choice(lengths if long else lengths[:6]) - 1) for k in range(n)]
+    a, b = make(250, True), make(250, True)
+    return a, b, spark.createDataFrame(a, "id long, chrom string, low long, high long"), spark.createDataFrame(b, "b_id long, b_chrom string, b_low long, b_high long")
+
+
+@pytest.mark.parametrize("slack", [0, 1, 700])
+def test_overlaps_equal_brute_force(wide_and_narrow, slack):
+    a, b, x, y = wide_and_narrow
+    got = intervals.overlap_pairs(x, y, slack)
+    assert sorted(map(tuple, got.select("id", "b_id").collect())) == slow_pairs(a, b, slack)
+    semi = intervals.overlap_pairs(x, y, slack, "left_semi")
+    assert semi.columns == x.columns and sorted(r.id for r in semi.collect()) == sorted({p[0] for p in slow_pairs(a, b, slack)})
+
+
+def test_nearest_equals_brute_force(wide_and_narrow):
+    a, b, x, y = wide_and_narrow
+    got = {r.id: (r.distance, tuple(r.near) if r.near else None) for r in intervals.nearest(x, y, 700).collect()}
+    for k, c, low, high in a:
+        d = [(max(0, bl - high, low - bh), (bl, bh, j)) for j, bc, bl, bh in b if bc == c]
+        d = [p for p in d if p[0] <= 700]
+        assert got[k] == (min(d) if d else (None, None))
+
+
+def test_rows_into_interval_joins_grow_with_the_intervals(spark, wide_and_narrow):
+    _, b, x, y = wide_and_narrow
+    own = intervals.at_own_level(y, F.col("b_low"), F.col("b_high"))
+    assert own.count() <= 2 * len(b) and own.groupBy("b_id").count().where("count > 2").count() == 0
+    points = intervals.at_levels(x, F.col("low"), intervals.levels_in(own))
+    assert points.count() <= len(intervals.SHIFTS) * x.count()
+    short = spark.createDataFrame([(1, "chr1", 5, 30)], "b_id long, b_chrom string, b_low long, b_high long")
+    assert intervals.at_levels(x, F.col("low"), intervals.levels_in(intervals.at_own_level(short, F.col("b_low"), F.col("b_high")))).count() == x.count()
+    for name, df in (("x", x), ("y", y)):
+        df.createOrReplaceTempView(f"intervals_{name}")
+    plan = intervals.overlap_pairs(x, y)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_packed_words_count_mismatches(spark):
+    from tailwright.functions import packed
+
+    rng = random.Random(3)
+    rows = []
+    for n in (1, 12, 30, 31, 32, 62, 63, 100):
+        for letters in ("ACGT", "ACGTN"):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = "".join(rng.choice(letters) if rng.random() < 0.3 else c for c in a)
+            rows.append((a, b, sum(p != q or p == "N" for p, q in zip(a, b, strict=True))))
+    got = spark.createDataFrame(rows, "a string, b string, want int").withColumn("got", packed.text_mismatches(F.col("a"), F.col("b")))
+    assert all(r.got == r.want for r in got.collect())
+
+
+def test_places_with_letters_that_are_no_bases_and_long_reads(spark, genome):
+    g = genome["chr1"][:400] + "NN" + genome["chr1"][402:]
+    t = align.tiles(spark.createDataFrame([("chr1", 1, g)], "chrom string, offset bigint, seq string"))
+    swap = lambda s, k: s[:k] + {"A": "C", "C": "A", "G": "T", "T": "G"}[s[k]] + s[k + 1 :]
+    cases = {"one N": (g[402:430][:9] + "N" + g[402:430][10:], 403, 1), "genome's N": (genome["chr1"][401:425], 402, 1), "both N": (genome["chr1"][395:420], None, None), "long": (g[600:700], 601, 0), "long, last": (swap(g[600:700], 99), 601, 1), "long, first": (swap(g[600:731], 0), 601, 1), "long, two": (swap(swap(g[600:700], 50), 99), None, None), "over the margin": (g[900:1110], None, None)}
+    q = spark.createDataFrame([(k, s) for k, (s, _, _) in cases.items()], "query string, seq string")
+    got = {r.query: (r.start, r.mm) for r in align.places(q, t).where("strand = '+'").collect()}
+    got.pop("over the margin", None)
+    assert got == {k: (a, m) for k, (_, a, m) in cases.items() if a}
+
+
+def test_saved_seeds_are_not_shuffled_again(spark, genome, simulated):
+    import tempfile
+
+    g = spark.createDataFrame([(c, 1, s) for c, s in genome.items()], "chrom string, offset bigint, seq string")
+    t = align.tiles(g)
+    name = "seeds_of_test"
+    spark.sql(f"drop table if exists {name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        path = tempfile.mkdtemp(prefix="seeds-")
+        index = align.save_seeds(t, name, 4, path=path)
+        q = spark.createDataFrame([(k, s) for k, s in simulated.items()], "query string, seq string")
+        want = sorted(map(tuple, align.places(q, t).collect()))
+        found = align.places(q, t, index=index)
+        assert sorted(map(tuple, found.collect())) == want
+        short = found._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount" in short or "Bucketed: true" in short
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"drop table if exists {name}")
+
+
+def slow_stretch(a, b):
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(i + 1, len(a) + 1):
+            v = sum(1 if x == y else -1 for x, y in zip(a[i:j], b[i:j], strict=True))
+            if v > best[0] or v == best[0] and v and (j, j - i) < (best[2], best[2] - best[1]):
+                best = (v, i, j)
+    return best
+
+
+def test_hits_without_gaps_equal_brute_force(spark, genome):
+    from tailwright.operators import ungapped
+
+    rng = random.Random(12)
+    g = {"chr1": genome["chr1"][:600], "chr2": genome["chr2"][600:900]}
+    queries = {}
+    for k in range(25):
+        c = rng.choice(list(g))
+        a = rng.randrange(len(g[c]) - 40)
+        s = "".join(rng.choice("ACGT") if rng.random() < 0.1 else x for x in g[c][a : a + rng.randint(14, 40)])
+        queries[f"q{k}"] = s if k % 2 else flip(s)
+    queries["short"], queries["none"] = "ACGTACG", "ACGTN" * 5
+    t = align.tiles(spark.createDataFrame([(c, 1, s) for c, s in g.items()], "chrom string, offset bigint, seq string"))
+    want = set()
+    for q, seq in queries.items():
+        for strand, s in (("+", seq), ("-", flip(seq.replace("N", "A")) if "N" not in seq else "")):
+            for c, ref in g.items():
+                for at in range(len(ref) - len(s) + 1 if s else 0):
+                    r = ref[at : at + len(s)]
+                    if any(s[i : i + 9] == r[i : i + 9] for i in range(len(s) - 8)):
+                        v, b, e = slow_stretch(s, r)
+                        if v >= 10:
+                            want.add((q, strand, c, at + b, v, e - b))
+    got = ungapped.ungapped_hits(spark.createDataFrame(list(queries.items()), "query string, seq string"), t, seed=9, score=10)
+    assert {(r.q_name, r.strand, r.t_name, r.t_start, r.matches - r.mismatches, r.t_end - r.t_start) for r in got.collect()} == want
+    best = hits.extended(hits.best_hits(got)).groupBy("q_name").count()
+    assert best.count() == len({w[0] for w in want}) >= 20
+
+
+def test_quality_words(spark):
+    rng = random.Random(2)
+    rows = []
+    for n in (1, 20, 61, 62, 63, 124, 125, 150):
+        for _ in range(12):
+            q = "".join(rng.choice("#5?@I") for _ in range(n))
+            at = sorted(rng.sample(range(n + 3), min(n, rng.randint(1, 3))))
+            rows.append((q, at, all(i < n and ord(q[i]) - 33 >= 30 for i in at)))
+    d = spark.createDataFrame(rows, "q string, at array<int>, want boolean")
+    assert all(r.got == r.want for r in d.withColumn("got", phred.all_good(phred.good_words(F.col("q"), 30), phred.needed_words(F.col("at")))).collect())
+
+
+def test_variants_out_of_reach_are_not_read(spark, tmp_path):
+    from tailwright.sources import readers, writers
+
+    snps = spark.range(40_000).select(F.concat(F.lit("chr"), F.col("id") % 4).alias("chrom"), (F.col("id") + 1).alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.lit("known").alias("source"))
+    writers.snp_table(snps, str(tmp_path / "snps"))
+    known = readers.snp_table(spark, str(tmp_path / "snps"))
+    m = mods(spark, [(1, "chr1", "+", 5002, 5002, "A", "T", 5), (1, "chr1", "-", 6007, 6006, "TT", "AA", 5), (1, "chr3", "+", 9000, 9000, "A", "G", 1)])
+    near = variants.within_reach(known, m)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((chrom" in plan.replace("isnotnull(chrom#", "") and "GreaterThanOrEqual(pos,5002)" in plan
+    assert near.count() == sum(1 for k in range(40_000) if k % 4 == 1 and 5002 <= k + 1 <= 6007 or k % 4 == 3 and k + 1 == 9000)
+    assert {f.split("chrom=")[1][:4] for f in near.inputFiles()} <= {"chr0", "chr1", "chr2", "chr3"}
+    both = [sorted(map(tuple, variants.without_snps(m, s).collect())) for s in (known, near)]
+    assert both[0] == both[1] and [r[2] for r in both[0]] == ["chr3"]
+    assert variants.within_reach(known, m.limit(0)).count() == 0
