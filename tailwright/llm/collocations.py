@@ -9,7 +9,7 @@ joins on names; no phrase is counted as text but words.
 What is shuffled is a chunk's distinct words and pairs with their counts, summed map-side, so a word or phrase of a
 third of all tokens is a row a chunk.  Pairs that no frequent pair's bits allow stay out of the naming join; the bit
 table has a fixed size and changes no result.  A chunk, the only group that a task takes whole, has CHUNK tokens, or
-one text where that is longer.
+one text more.
 
 Defined results: a null or empty text has no words, a null language is ``und``; every row is a document of its own.
 Without words there is no row.  Columns other than text and language aren't read.
@@ -36,7 +36,7 @@ WORDS, LEAST, INSIDE = 3, 10, 50
 TOP = 2_000
 SCALE = 1_000_000
 #: Tokens of a chunk.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 #: Bits of the table that tells which pairs can be frequent (a power of two of at least 2^15).
 BITS = 1 << 26
 #: Parts in which each language's best are found before they are ranked.
@@ -46,23 +46,26 @@ UNKNOWN = "und"
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _ONE_CASE = bytes.maketrans(UPPER.encode() + ENDS + BLANKS, SMALL.encode() + b"." * len(ENDS) + b" " * len(BLANKS))
 
-CHUNKS = "chunk long, langs array<string>, words array<string>, codes array<int>"
-NAMED = "chunk long, names array<long>"
-PAIRS = "chunk long, left long, right long, n long"
+CHUNKS = "chunk long, langs array<string>, words array<string>, codes binary"
+NAMED = "chunk long, codes binary, names binary"
+PAIRS = "chunk long, code int, left long, right long, n long"
 
 
-def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, those of one rank together, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True) + len(x).to_bytes(8, "little")
 
 
-def _longs(x: np.ndarray, kind=pa.int64()) -> pa.Array:
-    """A list column of one row."""
-    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(raw[-8:], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw[:-8], n * size, "zstd"), np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
 def _chunks(size: int):
     """Codes are counted from 1 within a chunk; 0 ends a piece."""
-    schema = pa.schema([("chunk", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("codes", pa.list_(pa.int32()))])
+    schema = pa.schema([("chunk", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = count(TaskContext.get().partitionId() << 32)
@@ -72,10 +75,8 @@ def _chunks(size: int):
         held = 0
 
         def close() -> pa.RecordBatch:
-            langs = [lang for lang, _ in seen]
-            words = [w.decode() for _, w in seen]
-            codes = np.concatenate(parts)
-            return pa.RecordBatch.from_arrays([pa.array([next(names)], pa.int64()), pa.array([langs], schema.field(1).type), pa.array([words], schema.field(2).type), _longs(codes, pa.int32())], schema=schema)
+            rows = {"chunk": next(names), "langs": [lang for lang, _ in seen], "words": [w.decode() for _, w in seen], "codes": _packed(np.concatenate(parts))}
+            return pa.RecordBatch.from_pylist([rows], schema=schema)
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -111,37 +112,51 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             chunk, langs, words, codes = (batch.column(j)[k] for j in range(4))
-            n = np.bincount(codes.values.to_numpy(zero_copy_only=False), minlength=len(words) + 1)[1:]
             size = len(words)
+            n = np.bincount(_unpacked(codes.as_py(), np.int32), minlength=size + 1)[1:]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk.as_py())), pa.array(np.arange(1, size + 1, dtype=np.int32)), langs.values, words.values, pa.array(n.astype(np.int64))], names=["chunk", "code", "lang", "word", "n"])
 
 
-def _placed(of: pa.Table, found: pa.Table) -> pa.Table:
-    """A chunk's codes by the names of its frequent words, 0 for all else."""
-    names = np.zeros(len(of["words"][0]) + 1, np.int64)
-    names[found["code"].to_numpy()] = found["name"].to_numpy()
-    codes = of["codes"][0].values.to_numpy(zero_copy_only=False)
-    return pa.table([of["chunk"], _longs(names[codes])], names=["chunk", "names"])
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored, with ``name``: 1, 2, 3, ... without gaps."""
+    stored = table(df.withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a task that wrote
+    before, rows = 1, []
+    for k, n in sizes:
+        rows.append((k, before))
+        before += n
+    begins = df.sparkSession.createDataFrame(rows, "part long, begin long")
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn("part", part).join(F.broadcast(begins), "part").withColumn("name", F.col("begin") + within).drop("part", "begin", "at")
+
+
+def _together(left: DataFrame, right: DataFrame, f) -> DataFrame:
+    """Chunks with what was found for them; a chunk's rows on either side are bounded by its size."""
+    schema = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("names", pa.binary())])
+
+    def run(of: pa.Table, found: pa.Table) -> pa.Table:
+        codes, names = f(of, found["code"].to_numpy(), found["name"].to_numpy())
+        return pa.Table.from_pylist([{"chunk": of["chunk"][0].as_py(), "codes": codes, "names": names}], schema=schema)
+
+    return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, NAMED)
+
+
+def _placed(of: pa.Table, code: np.ndarray, name: np.ndarray) -> tuple[bytes, bytes]:
+    """A chunk's codes, and the names of its codes' words, 0 for those that aren't frequent."""
+    names = np.zeros(of["size"][0].as_py() + 1, np.int64)
+    names[code] = name
+    return of["codes"][0].as_py(), _packed(names)
 
 
 def named_words(chunked: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(totals, words, named): (lang, total) words of each language; (name, lang, word, n) of the frequent ones, names
-    counted from 1 with gaps; and NAMED."""
+    """(totals, words, named): (lang, total) words of each language; (name, lang, word, n) of the frequent ones; and NAMED."""
     tallied = chunked.mapInArrow(_tallies, "chunk long, code int, lang string, word string, n long")
     counts = table(tallied.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = table(counts.where(F.col("n") >= least).select((F.monotonically_increasing_id() + 1).alias("name"), "lang", "word", "n"), "frequent_words")
+    words = numbered(counts.where(F.col("n") >= least), "frequent_words")
     found = tallied.select("chunk", "code", "lang", "word").join(words.select("name", "lang", "word"), ["lang", "word"]).select("chunk", "code", "name")
-    return totals, words, _together(chunked, found, _placed, "named_words")
-
-
-def _together(left: DataFrame, right: DataFrame, f, name: str) -> DataFrame:
-    """Chunks with what was found for them; a chunk's rows on either side are bounded by its size."""
-
-    def run(of: pa.Table, found: pa.Table) -> pa.Table:
-        return f(of, found).cast(pa.schema([("chunk", pa.int64()), ("names", pa.list_(pa.int64()))]))
-
-    return table(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, NAMED), name)
+    return totals, words, table(_together(chunked.select("chunk", F.size("words").alias("size"), "codes"), found, _placed), "named_words")
 
 
 def _hashes(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
@@ -152,44 +167,46 @@ def _hashes(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
         return ((x ^ (x >> np.uint64(29))) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _adjacent(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(at, left, right, key): where both neighbours have names; equal pairs have equal keys."""
-    at = np.flatnonzero((names[:-1] != 0) & (names[1:] != 0))
-    own, codes = np.unique(names, return_inverse=True)
-    left, right = codes[at].astype(np.int64), codes[at + 1].astype(np.int64)
-    return at, names[at], names[at + 1], left * len(own) + right
+def _adjacent(codes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, key): the places where a named element is followed by one; equal pairs have equal keys, and the quotient and
+    remainder of a key by the number of codes are those of its parts."""
+    has = (names != 0)[codes]
+    at = np.flatnonzero(has[:-1] & has[1:])
+    return at, codes[at].astype(np.int64) * len(names) + codes[at + 1]
 
 
 def _pairs(allowed: bytes | None):
-    """A chunk's distinct adjacent pairs of names with their counts; only those that ``allowed`` has bits for."""
+    """A chunk's distinct adjacent pairs of names with their counts; only those that ``allowed`` has bits for.  Their
+    code is their rank among all of the chunk's pairs, from 1 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room = None if allowed is None else np.frombuffer(allowed, np.uint8)
         for batch in batches:
             for k in range(batch.num_rows):
-                _, left, right, key = _adjacent(batch.column(1)[k].values.to_numpy(zero_copy_only=False))
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                left, right = left[first], right[first]
+                names = _unpacked(batch.column(2)[k].as_py(), np.int64)
+                _, key = _adjacent(_unpacked(batch.column(1)[k].as_py(), np.int32), names)
+                key, n = np.unique(key, return_counts=True)
+                code = np.arange(1, len(key) + 1, dtype=np.int32)
+                left, right = names[key // len(names)], names[key % len(names)]
                 if room is not None:
                     h = _hashes(left, right, len(room) * 8)
                     can = (room[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
-                    left, right, n = left[can], right[can], n[can]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), batch.column(0)[k].as_py())), pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], names=["chunk", "left", "right", "n"])
+                    code, left, right, n = code[can], left[can], right[can], n[can]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), batch.column(0)[k].as_py())), pa.array(code), pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], names=["chunk", "code", "left", "right", "n"])
 
     return run
 
 
-def _paired(of: pa.Table, found: pa.Table) -> pa.Table:
-    """A chunk's names by those of the pairs that begin there, 0 for all else."""
-    names = of["names"][0].values.to_numpy(zero_copy_only=False)
-    out = np.zeros(len(names), np.int64)
-    if len(found):
-        at, left, right, key = _adjacent(names)
-        own, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        pairs = dict(zip(zip(found["left"].to_pylist(), found["right"].to_pylist(), strict=True), found["name"].to_pylist(), strict=True))
-        each = np.fromiter((pairs.get(p, 0) for p in zip(left[first].tolist(), right[first].tolist(), strict=True)), np.int64, len(own))
-        out[at] = each[inverse]
-    return pa.table([of["chunk"], _longs(out)], names=["chunk", "names"])
+def _paired(of: pa.Table, code: np.ndarray, name: np.ndarray) -> tuple[bytes, bytes]:
+    """A chunk's places by codes of the frequent pairs that begin there, 0 for all else, and the names of the codes."""
+    codes = _unpacked(of["codes"][0].as_py(), np.int32)
+    at, key = _adjacent(codes, _unpacked(of["names"][0].as_py(), np.int64))
+    own, inverse = np.unique(key, return_inverse=True)
+    new = np.zeros(len(own), np.int32)
+    new[code - 1] = np.arange(1, len(code) + 1, dtype=np.int32)
+    out = np.zeros(len(codes), np.int32)
+    out[at] = new[inverse]
+    return _packed(out), _packed(np.concatenate([np.zeros(1, np.int64), name.astype(np.int64)]))
 
 
 def _bits(pairs: DataFrame, bits: int) -> bytes:
@@ -217,15 +234,16 @@ def levels(docs: DataFrame, longest: int = WORDS, least: int = LEAST, text: str
     found = [words.select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("left"), none.alias("right"), empty.alias("heads"), empty.alias("tails"))]
     for k in range(2, longest + 1):
         counts = named.mapInArrow(_pairs(None), PAIRS).groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        pairs = table(counts.select((F.monotonically_increasing_id() + 1).alias("name"), "left", "right", "n"), "pairs")
+        pairs = numbered(counts, "pairs")
         before = found[-1]
         a = before.select(F.col("name").alias("left"), "lang", "phrase", F.concat("heads", F.array("n")).alias("heads"))
         b = before.select(F.col("name").alias("right"), "last", F.concat("tails", F.array("n")).alias("tails"))
         joined = pairs.join(a, "left").join(b, "right")
         found.append(table(joined.select("name", "lang", F.concat("phrase", F.lit(" "), "last").alias("phrase"), "last", "n", "left", "right", "heads", "tails"), "grams"))
         if k < longest:
-            likely = named.mapInArrow(_pairs(_bits(pairs, bits)), PAIRS).select("chunk", "left", "right")
-            named = _together(named, likely.join(pairs.select("name", "left", "right"), ["left", "right"]), _paired, "named_pairs")
+            likely = named.mapInArrow(_pairs(_bits(pairs, bits)), PAIRS).select("chunk", "code", "left", "right")
+            named = _together(named, likely.join(pairs.select("name", "left", "right"), ["left", "right"]).select("chunk", "code", "name"), _paired)
+            named = table(named, "named_pairs") if k + 1 < longest else named  # the last level is read once
     return totals, found
 
 
