@@ -136,7 +136,7 @@ stretch as (
 spot as (
   select p_partkey pid, concat('chr', p_partkey % 24 + 1) chrom, (p_partkey * 104729) % 3000000 + 1 low,
          (p_partkey * 104729) % 3000000 + 18 + p_size high from part),
-ends as (
+tips as (
   select concat('m', p_partkey) anno_name, p_partkey % 3 mod_type, chrom, strand, k,
          base + 40 + case when strand = '+' then 0 else k - 1 end p_from, base + 40 + case when strand = '+' then k - 1 else 0 end p_to,
          case when strand = '+' then substr(seq64, 41, k) else reverse(translate(substr(seq64, 41, k), 'ACGT', 'TGCA')) end ref, n

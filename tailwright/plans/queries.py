@@ -497,13 +497,13 @@ def interval_nearest(spark, d):
        substr(ref, b + 1, len) ref, translate(substr(ref, b + 1, len), 'ACGT', 'CATG') alt, cast(sum(n) as bigint) n
 from (select e.*, case when strand = '-' then -1 else 1 end step, cast(case when v.far is not null and mod_type = 1 then v.far + 1 else 0 end as int) b,
              cast(case when v.far is null then k when mod_type = 1 then k - 1 - v.far when mod_type = 0 then v.near else 0 end as int) len
-      from ends e left join (
-        select e.anno_name, max(abs(v.pos - e.p_from)) far, min(abs(v.pos - e.p_from)) near from ends e
+      from tips e left join (
+        select e.anno_name, max(abs(v.pos - e.p_from)) far, min(abs(v.pos - e.p_from)) near from tips e
         join variant v on v.chrom = e.chrom and v.pos between least(e.p_from, e.p_to) and greatest(e.p_from, e.p_to) group by e.anno_name) v
       on v.anno_name = e.anno_name) x
 where len > 0 group by all""")
 def snp_end_rule(spark, d):
-    e = bridge(spark, d, "ends").withColumnsRenamed({"p_from": "pos_from", "p_to": "pos_to"}).withColumn("alt", F.translate("ref", "ACGT", "CATG"))
+    e = bridge(spark, d, "tips").withColumnsRenamed({"p_from": "pos_from", "p_to": "pos_to"}).withColumn("alt", F.translate("ref", "ACGT", "CATG"))
     return variants.cut_at_snps(e.select("anno_name", "mod_type", *summary.KEY, "n"), bridge(spark, d, "variant"))
 
 

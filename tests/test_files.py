@@ -162,3 +162,19 @@ def test_hits_are_numbered_as_they_stand_in_the_file(spark, tmp_path):
     best = hits.best_hits(readers.psl(spark, f"{tmp_path}/a.psl")).repartition(7)
     first = best.groupBy("q_name").agg(F.min_by("t_start", "ordinal").alias("t")).collect()
     assert {r.q_name: r.t for r in first} == {f"q{k}|1": 7 * (997 * k % 1000) for k in range(50)}
+
+
+def test_the_command_line(spark, inputs, tmp_path):
+    from tailwright.__main__ import run
+
+    d, _ = inputs
+    got = run(spark, ["sample", "--reads", f"{d}/reads.fa", "--genome", f"{d}/genome.fa", "--annotations", f"{d}/list.txt", "--priority", f"{d}/prio.txt", "--snps", f"{d}/snps.txt", "--share", "0.4", "--out", f"{tmp_path}/a"])
+    assert {"NTE.sam", "reads.t0.4.canonical_end", "anno_summary.nosnp"} <= set(got)
+    (tmp_path / "g1.txt").write_text(f"{got['anno_summary']}\t{got['reads.t0.4.canonical_end']}\n" * 2)
+    (tmp_path / "g2.txt").write_text(f"{got['anno_summary']}\n")
+    made = run(spark, ["cohort", "--manifest", f"{tmp_path}/g1.txt", "--manifest", f"{tmp_path}/g2.txt", "--least-reads", "3", "--out", f"{tmp_path}/c"])
+    assert {"sample_count-r3-N5.sample_count", "reads.credible-r3-N5", "nte3_counts"} <= set(made)
+    assert sorted(x.split("\t")[1:] for x in lines(tmp_path / "c" / "sample_count-r3-N5.sample_count") if not x.startswith("modification")) == [["1", "1", "g2"], ["2", "2", "g1"]]
+    for wrong in (["sample"], ["cohort", "--manifest", "x", "--out", "y", "--level", "9"], ["trim"]):
+        with pytest.raises((SystemExit, ValueError)):
+            run(spark, wrong)

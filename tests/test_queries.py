@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tailwright.plans import file_queries  # noqa: F401  adds its queries to the registry
 from tailwright.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
