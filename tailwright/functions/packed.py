@@ -30,9 +30,14 @@ def span(first: int, last: int) -> int:
     return sum(3 << 2 * (WORD - 1 - k) for k in range(first, last))
 
 
+#: The letters that are packed as A.
+OTHERS = "BDEFHIJKLMNOPQRSUVWXYZ"
+
+
 def word_of(seq: Column) -> Column:
-    """The word of the first bases of an upper-case text."""
-    return F.conv(F.rpad(F.translate(F.regexp_replace(F.left(seq, F.lit(WORD)), "[^ACGT]", "A"), "ACGT", "0123"), F.lit(WORD), F.lit("0")), 4, 10).cast("long")
+    """The word of the first bases of a text of upper-case letters."""
+    digits = F.translate(F.left(seq, F.lit(WORD)), "ACGT" + OTHERS, "0123" + "0" * len(OTHERS))
+    return F.conv(F.rpad(digits, F.lit(WORD), F.lit("0")), 4, 10).cast("long")
 
 
 def odd_of(seq: Column) -> Column:

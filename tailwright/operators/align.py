@@ -69,7 +69,7 @@ def seeds(tiled: DataFrame, levels: tuple[int, ...] = LEVELS, tile: int = TILE)
     w = packed.windows(tiled, tile, min(levels))
     each = [(level, k, m) for level in sorted(levels) for k, m in enumerate(masks(level))]
     keys = F.array(*[F.struct(F.lit(level * 3 + k).alias("shape"), F.lit(level).alias("level"), F.col("word").bitwiseAND(F.lit(m)).alias("seed")) for level, k, m in each])
-    return w.withColumn("x", F.explode(keys)).where("x.level <= room").select("x.shape", "x.seed", "chrom", "pos", "room", "word", "odd")
+    return w.withColumn("x", F.explode_outer(keys)).where("x.level <= room").select("x.shape", "x.seed", "chrom", "pos", "room", "word", "odd")
 
 
 def save_seeds(tiled: DataFrame, name: str, buckets: int, levels: tuple[int, ...] = LEVELS, tile: int = TILE, path: str | None = None) -> DataFrame:
@@ -83,14 +83,15 @@ def save_seeds(tiled: DataFrame, name: str, buckets: int, levels: tuple[int, ...
 def _lookups(queries: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     """(query, strand, plus, n, word, odd, level, k, shape, seed): three rows for each strand of a query."""
     both = F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("plus")), F.struct(F.lit("-").alias("strand"), reverse_complement("seq").alias("plus")))
-    q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where("plus is not null").withColumn("n", F.length("plus"))
+    q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where(F.col("plus").rlike("^[A-Z]+$")).withColumn("n", F.length("plus"))
     q = q.withColumns({"word": packed.word_of(F.col("plus")), "odd": packed.odd_of(F.col("plus"))})
 
     def of(level: int) -> Column:
         return F.array(*[F.struct(F.lit(level).alias("level"), F.lit(k).alias("k"), F.lit(level * 3 + k).alias("shape"), F.col("word").bitwiseAND(F.lit(m)).alias("seed")) for k, m in enumerate(masks(level))])
 
     found = F.coalesce(*[F.when(F.col("n") >= level, of(level)) for level in sorted(levels, reverse=True)])
-    return q.withColumn("x", F.explode(found)).select(*q.columns, "x.*")
+    # outer, as for an inner one the optimizer would test the array first, and pack every sequence again for each test
+    return q.withColumn("x", F.explode_outer(found)).where("x is not null").select(*q.columns, "x.*")
 
 
 def _first_shape(levels: tuple[int, ...]) -> Column:
@@ -106,7 +107,8 @@ def _first_shape(levels: tuple[int, ...]) -> Column:
 def places(queries: DataFrame, tiled: DataFrame, mismatches: int = 1, index: DataFrame | None = None, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """All places of ``queries(query, seq)`` with at most ``mismatches`` (0 or 1): query, chrom, strand, start, mm.
 
-    A query shorter than the least level has none; letters other than A, C, G and T are mismatches on either side.
+    A query shorter than the least level has none, nor one with signs that are no letters; letters other than A, C, G
+    and T are mismatches on either side.
     ``index`` is what save_seeds() gives for the same levels; without one, seeds are made of the levels that these
     queries need.  ``queries`` should be a stored table then, as their lengths are looked at first.
     """
@@ -123,7 +125,8 @@ def places(queries: DataFrame, tiled: DataFrame, mismatches: int = 1, index: Dat
     near = (F.col("room") >= F.least("n", F.lit(WORD))) & (mm <= mismatches) & _first_shape(levels)
 
     def hits(some: DataFrame) -> DataFrame:
-        return some.join(g, ["shape", "seed"]).where(near).select("query", "strand", "plus", "n", "chrom", F.col("pos").alias("start"), mm.alias("mm"))
+        # Spark's estimate knows the genome's file but not how many seeds come of it, so a merge join is asked for
+        return some.join(g.hint("merge"), ["shape", "seed"]).where(near).select("query", "strand", "plus", "n", "chrom", F.col("pos").alias("start"), mm.alias("mm"))
 
     out = ["query", "chrom", "strand", "start", "mm"]
     short = hits(q.where(F.col("n") <= WORD))
@@ -166,10 +169,11 @@ def trim_cascade(reads: DataFrame, tiled: DataFrame, rounds: list[tuple[int, int
     """Reads by the first round in which they have a unique best place: columns of ``reads``, chrom, strand, start,
     nm, and the round's step, trim5, trim3 and trim_step.
 
-    ``reads(read_id, abundance, seq)``, one row a read.  Every distinct trimmed sequence of all reads and rounds is
-    written once and aligned once, in one join, and a read's least round with a place wins, rather than a loop of anti
-    joins; a place that is dropped later is not retried in another round.
+    ``reads(read_id, abundance, seq)``, one row a read, are stored, as they are read twice.  Every distinct trimmed
+    sequence of all reads and rounds is written once and aligned once, in one join, and a read's least round with a
+    place wins, rather than a loop of anti joins; a place that is dropped later is not retried in another round.
     """
+    reads = table(reads, "reads")
     tries = F.array(*[F.struct(F.lit(o).alias("step"), F.lit(a).alias("trim5"), F.lit(b).alias("trim3"), F.lit(n).alias("trim_step")) for o, a, b, n in rounds])
     r = reads.withColumn("t", F.explode(tries)).select(*reads.columns, "t.*")
     cut = F.coalesce(*[F.when((F.col("trim5") == a) & (F.col("trim3") == b), trim("seq", a, b)) for _, a, b, _ in rounds])

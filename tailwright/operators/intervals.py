@@ -2,7 +2,7 @@
 
 An interval's level is the narrowest one whose bins are as wide as the interval, so it touches two bins of it at most,
 however long it is.  Two intervals are compared at the higher of their levels: each row also stands for itself at the
-levels above its own, as far as the other side has any.  Both go into the join with rows in proportion to their number.
+levels above its own, of the larger side only those that the other has.  Both go into the join with rows in proportion to their number.
 All intervals here are 1-based with both ends included unless they are called ``start0`` and ``end0``.
 """
 
@@ -33,12 +33,9 @@ def at_own_level(intervals: DataFrame, low: Column, high: Column) -> DataFrame:
     return intervals.withColumns({"level": own, "bin": F.explode(bins)})
 
 
-def levels_in(*binned: DataFrame) -> DataFrame:
+def levels_in(binned: DataFrame) -> DataFrame:
     """(level): the levels that occur, one row each, so never more than there are in SHIFTS."""
-    out = binned[0].select("level")
-    for other in binned[1:]:
-        out = out.union(other.select("level"))
-    return out.distinct()
+    return binned.select("level").distinct()
 
 
 def at_levels(points: DataFrame, position: Column, levels: DataFrame) -> DataFrame:
@@ -47,27 +44,25 @@ def at_levels(points: DataFrame, position: Column, levels: DataFrame) -> DataFra
     return points.withColumn("_x", F.explode(each)).select(*[F.col(f"`{c}`") for c in points.columns], "_x.level", "_x.bin").join(F.broadcast(levels), "level", "left_semi")  # a row a level
 
 
-def _from_own_level(intervals: DataFrame, low: Column, high: Column, levels: DataFrame) -> DataFrame:
-    """The same for intervals: at their own level and those above, in each bin that they touch; ``first`` is the first."""
-    own = level_of(low, high)
-
-    def at(k: int, s: int) -> Column:
-        bins = F.array_distinct(F.array(_bin(low, s), _bin(high, s)))
-        one = lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"), _bin(low, s).alias("first"), own.alias("own"))
-        return F.when(own <= k, F.transform(bins, one)).otherwise(F.array().cast("array<struct<level:int,bin:bigint,first:bigint,own:int>>"))
-
-    each = F.flatten(F.array(*[at(k, s) for k, s in enumerate(SHIFTS)]))
-    out = intervals.withColumn("_x", F.explode(each)).select(*[F.col(f"`{c}`") for c in intervals.columns], "_x.*")
-    return out.join(F.broadcast(levels), "level", "left_semi")  # a row a level
+def _from_own_level(intervals: DataFrame, low: Column, high: Column, levels: DataFrame | None = None) -> DataFrame:
+    """The same for intervals: at their own level and those above (that are among ``levels``), in each bin that they
+    touch, two at most; ``first`` is the first and ``own`` their own level."""
+    each = F.array(*[F.struct(F.lit(k).alias("level"), _bin(low, s).alias("first"), _bin(high, s).alias("last")) for k, s in enumerate(SHIFTS)])
+    names = [F.col(f"`{c}`") for c in intervals.columns]
+    out = intervals.select(*names, level_of(low, high).alias("own"), F.explode(each).alias("_x")).where("_x.level >= own").select(*names, "own", "_x.level", "_x.first", "_x.last")
+    if levels is not None:
+        other = levels.select("level", F.lit(True).alias("_there"))
+        out = out.join(F.broadcast(other), "level", "left").where("_there or level = own").drop("_there")  # a row a level
+    return out.withColumn("bin", F.explode(F.sequence("first", "last"))).drop("last")
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, slack: int = 0, how: str = "inner") -> DataFrame:
     """All pairs of ``a(chrom, low, high, ...)`` and ``b(b_chrom, b_low, b_high, ...)`` that share a base, or are at most
     ``slack`` bases apart; each once.  With ``how="left_semi"`` the distinct rows of ``a`` that have such a partner."""
     low, high = F.col("low") - slack, F.col("high") + slack
-    levels = levels_in(a.select(level_of(low, high).alias("level")), b.select(level_of(F.col("b_low"), F.col("b_high")).alias("level")))
-    x = _from_own_level(a, low, high, levels)
-    y = _from_own_level(b, F.col("b_low"), F.col("b_high"), levels).withColumnsRenamed({"level": "b_level", "bin": "b_bin", "first": "b_first", "own": "b_own"})
+    # the smaller side b is asked for its levels, and stands at all above its own, as a isn't read twice
+    x = _from_own_level(a, low, high, b.select(level_of(F.col("b_low"), F.col("b_high")).alias("level")).distinct())
+    y = _from_own_level(b, F.col("b_low"), F.col("b_high")).withColumnsRenamed({"level": "b_level", "bin": "b_bin", "first": "b_first", "own": "b_own"})
     hit = (F.col("chrom") == F.col("b_chrom")) & (F.col("level") == F.col("b_level")) & (F.col("bin") == F.col("b_bin"))
     # once: at the higher of both levels, in the first bin that both touch
     hit &= (F.col("level") == F.greatest("own", "b_own")) & (F.col("bin") == F.greatest("first", "b_first"))

@@ -53,7 +53,7 @@ def ungapped_hits(queries: DataFrame, tiled: DataFrame, seed: int = SEED, score:
     q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where(F.length("plus") >= seed)
     each = q.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("plus") - seed)))
     each = each.withColumn("bases", F.substring("plus", F.col("at") + 1, F.lit(seed))).where(~F.col("bases").rlike("[^ACGT]")).withColumn("key", packed.word_of(F.col("bases")))
-    diagonals = each.join(w, "key").select("query", "strand", "plus", "chrom", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    diagonals = each.join(w.hint("merge"), "key").select("query", "strand", "plus", "chrom", (F.col("pos") - F.col("at")).alias("start")).distinct()
     found = fetch(diagonals, tiled, F.col("start"), F.length("plus"), "reference").withColumn("s", best_stretch(F.col("plus"), F.col("reference"))).where(F.col("s.score") >= score)
     none = lambda c: F.lit(0).alias(c)
     return found.select(F.col("query").alias("q_name"), "strand", F.col("chrom").alias("t_name"), F.col("s.begin").alias("q_start"), F.col("s.end").alias("q_end"), F.length("plus").alias("q_size"), (F.col("start") - 1 + F.col("s.begin")).alias("t_start"), (F.col("start") - 1 + F.col("s.end")).alias("t_end"), F.col("s.matches").alias("matches"), (F.col("s.end") - F.col("s.begin") - F.col("s.matches")).alias("mismatches"), none("q_num_insert"), none("t_num_insert"))

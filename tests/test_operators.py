@@ -423,5 +423,5 @@ def test_variants_out_of_reach_are_not_read(spark, tmp_path):
     assert near.count() == sum(1 for k in range(40_000) if k % 4 == 1 and 5002 <= k + 1 <= 6007 or k % 4 == 3 and k + 1 == 9000)
     assert {f.split("chrom=")[1][:4] for f in near.inputFiles()} <= {"chr0", "chr1", "chr2", "chr3"}
     both = [sorted(map(tuple, variants.without_snps(m, s).collect())) for s in (known, near)]
-    assert both[0] == both[1] and [r[2] for r in both[0]] == ["chr3"]
+    assert both[0] == both[1] and [r[0] for r in both[0]] == ["chr3"]
     assert variants.within_reach(known, m.limit(0)).count() == 0
