@@ -8,7 +8,7 @@ document's score is their mean weighted by line length in bytes.
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +20,9 @@ from tailwright.llm.samples import labelled
 from tailwright.llm.session import bounded, documents, extended, remainder
 from tailwright.llm.textkernel import Block, blocks
 
-#: The field is fitted on about so many labelled documents, chosen by a hash, of at most so many bytes in all.
-FIT_DOCS, FIT_BYTES = 4000, 32 << 20
+#: The field is fitted on about so many labelled documents, chosen by a hash, of at most so many bytes in all, where a
+#: line counts as LINE bytes at least, as its features are sent.
+FIT_DOCS, FIT_BYTES, LINE = 4000, 32 << 20, 64
 EPOCHS, RATE, RIDGE = 500, 0.1, 1e-5
 #: A document is predicted good from this score on.
 GOOD = 0.3
@@ -41,17 +42,29 @@ NAMES = [
     *("upper", "letters", "digits", "symbols", "exclaimed", "punctuation", "bars", "capitals_beyond_ascii"),
     *("log_bytes", "log_words", "word_length", "same_as_last_word", "same_as_earlier_line", "empty"),
 ]
+EARLIER = NAMES.index("same_as_earlier_line")
+#: Bytes of the lines whose features are made at a time, and lines of a text's piece at least.
+LINES_BYTES, PIECE = 1 << 20, 64
 #: Constant, the line's own features, and those of the line before and after.
 WIDTH = 1 + 3 * OWN
 
 
-def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (lines, WIDTH), line lengths in bytes, and the number of each text's first line."""
-    starts, ends, first = block.lines()
+def _ranges(block: Block, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, Block]]:
+    """Lines a to b of about LINES_BYTES at a time, whichever texts they are of, as a block of their own."""
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + LINES_BYTES)))
+        yield a, b, Block([block.buf[starts[a] : ends[b - 1]].tobytes()], 0)
+        a = b
+
+
+def own_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' own features but "same_as_earlier_line", whether they have words, and their hashes."""
+    starts, ends, _ = block.lines()
     size = ends - starts
     n = len(starts)
     own = np.zeros((n, OWN), np.float32)
-    count = lambda table: np.add.reduceat(table[block.buf], starts) if n else np.zeros(0)  # noqa: E731  a newline is of no kind
+    count = lambda table: np.add.reduceat(table[block.buf], starts)  # noqa: E731  a newline is of no kind
     per = np.maximum(size, 1)
     for k, table in enumerate(_KINDS):
         own[:, k] = count(table) / per
@@ -69,13 +82,27 @@ def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     own[:, 11] = np.bincount(line, same, minlength=n) / np.maximum(words, 1)
-    doc = np.repeat(np.arange(block.n), np.diff(first))
-    key = block.hashes(starts, ends)
-    order = np.lexsort((np.arange(n), key, doc))
-    again = np.zeros(n, bool)
-    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    own[:, 12] = again & (words > 0)
     own[:, 13] = words == 0
+    return own, words > 0, block.hashes(starts, ends)
+
+
+def repeated(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a line equals an earlier one of its text."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((key, doc))
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    return again
+
+
+def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (lines, WIDTH), line lengths in bytes, and the number of each text's first line."""
+    starts, ends, first = block.lines()
+    n = len(starts)
+    own, some, key = np.zeros((n, OWN), np.float32), np.zeros(n, bool), np.zeros(n, np.uint64)
+    for a, b, part in _ranges(block, starts, ends):
+        own[a:b], some[a:b], key[a:b] = own_features(part)
+    own[:, EARLIER] = repeated(key, first) & some
     out = np.zeros((n, WIDTH), np.float32)
     out[:, 0] = 1
     out[:, 1 : 1 + OWN] = own
@@ -83,11 +110,11 @@ def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[first[:-1], 1 + OWN : 1 + 2 * OWN] = 0
     out[:-1, 1 + 2 * OWN :] = own[1:]
     out[first[1:] - 1, 1 + 2 * OWN :] = 0
-    return out, size, first
+    return out, ends - starts, first
 
 
-def ragged(first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Texts by falling number of lines; for each line position, how many have it and which lines these are."""
+def ragged(first: np.ndarray) -> list[np.ndarray]:
+    """For each line position the lines at it, those of texts with more lines first."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     have = n[order]
@@ -97,8 +124,18 @@ def ragged(first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]
     for t in range(int(have[0]) if len(have) else 0):
         while have[alive - 1] <= t:
             alive -= 1
-        levels.append((alive, begin[:alive] + t))
-    return order, levels
+        levels.append(begin[:alive] + t)
+    return levels
+
+
+def pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut into pieces of about as many lines as the longest text has pieces, and of PIECE lines at least: each
+    piece's first line, and each text's first piece."""
+    n = np.diff(first)
+    size = max(PIECE, math.isqrt(int(n.max(initial=0))))
+    of_text = np.concatenate(([0], np.cumsum(-(-n // size))))
+    begin = np.repeat(first[:-1] - of_text[:-1] * size, np.diff(of_text)) + np.arange(of_text[-1]) * size
+    return np.append(begin, first[-1]), of_text
 
 
 class Field:
@@ -107,30 +144,78 @@ class Field:
     def __init__(self, weight: np.ndarray, move: np.ndarray) -> None:
         self.weight, self.move = weight, move
 
-    def marginals(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of every line; log partition of every text; summed pair marginals [from, to]."""
-        u = np.clip(x @ self.weight, -30, 30).astype(np.float64)
+    def _ends(self, e: np.ndarray, step: np.ndarray, levels: list[np.ndarray], begin: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a piece is entered with, before its first line's potential, and what its last line is left with: each
+        piece's lines are multiplied into one matrix, all pieces at once, and a text's matrices are passed through."""
+        enter, leave = np.ones((len(begin) - 1, 2)), np.ones((len(begin) - 1, 2))
+        across = ragged(of_text)
+        if len(across) < 2:
+            return enter, leave
+        number = np.searchsorted(begin, levels[0], side="right") - 1
+        whole = np.zeros((len(number), 2, 2))
+        for t, rows in enumerate(levels):
+            m = np.eye(2) * e[rows][:, None, :] if t == 0 else (whole[: len(rows)] @ step) * e[rows][:, None, :]
+            whole[: len(rows)] = m / m.sum((1, 2))[:, None, None]
+        whole = whole[np.argsort(number)]
+        for here, after in zip(across, across[1:], strict=False):
+            here = here[: len(after)]
+            v = np.einsum("pi,pij->pj", enter[here], whole[here])
+            enter[after] = v / v.sum(1)[:, None] @ step
+        for here, after in zip(reversed(across[:-1]), reversed(across[1:]), strict=True):
+            v = np.einsum("pij,pj->pi", whole[after], leave[after]) @ step.T
+            leave[here[: len(after)]] = v / v.sum(1)[:, None]
+        return enter, leave
+
+    def chain(self, u: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of every line; log partition of every text; summed pair marginals [from, to].
+
+        Forward-backward goes through all pieces of all texts at once, so a text of n lines takes some sqrt(n) steps.
+        """
+        u = np.clip(u, -30, 30).astype(np.float64)
         e = np.stack([np.ones(len(u)), np.exp(u)], 1)
         step = np.exp(self.move)
-        order, levels = ragged(first)
+        begin, of_text = pieces(first)
+        levels = ragged(begin)
+        enter, leave = self._ends(e, step, levels, begin, of_text)
         fwd, scale = np.zeros((len(u), 2)), np.ones(len(u))
-        for t, (alive, rows) in enumerate(levels):
-            a = e[rows] if t == 0 else (fwd[last[:alive]] @ step) * e[rows]
+        for t, rows in enumerate(levels):
+            a = (enter[np.searchsorted(begin, rows, side="right") - 1] if t == 0 else fwd[rows - 1] @ step) * e[rows]
             s = a.sum(1)
             fwd[rows], scale[rows] = a / s[:, None], s
-            last = rows
         logz = np.add.reduceat(np.log(scale), first[:-1]) if len(first) > 1 else np.zeros(0)
         back = np.ones((len(u), 2))
+        last = begin[1:] - 1
+        back[last] = leave / (fwd[last] * leave).sum(1)[:, None]
         pairs = np.zeros((2, 2))
-        for t in range(len(levels) - 1, 0, -1):
-            alive, rows = levels[t]
-            before = levels[t - 1][1][:alive]
+        for rows in reversed(levels[1:]):
             m = e[rows] * back[rows] / scale[rows][:, None]
-            back[before] = m @ step.T
-            pairs += (fwd[before].T @ m) * step
+            back[rows - 1] = m @ step.T
+            pairs += (fwd[rows - 1].T @ m) * step
+        inner = np.setdiff1d(begin[:-1], first[:-1])  # pieces that go on with a text
+        pairs += (fwd[inner - 1].T @ (e[inner] * back[inner] / scale[inner][:, None])) * step
         p = fwd * back
         return p[:, 1] / p.sum(1), logz, pairs
 
+    def marginals(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.chain(x @ self.weight, first)
+
+    def potentials(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``line_features`` give times the weights, without holding them for all lines; line lengths; first lines."""
+        starts, ends, first = block.lines()
+        n = len(starts)
+        weight = self.weight[1:].reshape(3, OWN).T
+        to, some, key = np.zeros((n, 3)), np.zeros(n, bool), np.zeros(n, np.uint64)
+        for a, b, part in _ranges(block, starts, ends):
+            own, some[a:b], key[a:b] = own_features(part)
+            to[a:b] = own @ weight
+        to[repeated(key, first) & some] += weight[EARLIER]
+        u = self.weight[0] + to[:, 0]
+        before, after = np.ones(n, bool), np.ones(n, bool)
+        before[first[:-1]] = after[first[1:] - 1] = False
+        u[before] += to[np.flatnonzero(before) - 1, 1]
+        u[after] += to[np.flatnonzero(after) + 1, 2]
+        return u, ends - starts, first
+
     def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Field:
         """Conditional likelihood of every line bearing its text's label, each text weighing the same, by Adam."""
         n = np.diff(first)
@@ -150,8 +235,8 @@ class Field:
 
     def scores(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Each text's score, and its number of lines that are rather bad."""
-        x, size, first = line_features(block)
-        p, _, _ = self.marginals(x, first)
+        u, size, first = self.potentials(block)
+        p, _, _ = self.chain(u, first)
         weight = np.maximum(size, 1e-6)
         return np.clip(np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1), np.add.reduceat((p < 0.5).astype(np.int64), first[:-1])
 
@@ -160,7 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Field:
     """Fits on ``labels(doc_id, quality)`` of ``docs``; null ids or labels teach nothing, and of an id that is
     labelled twice the higher label counts.  With no labelled row the field is neutral: every score is one half.
     Repeated ids count once, null texts are empty ones, and other columns of ``docs`` are not read."""
-    picked = labelled(docs, labels, "quality", FIT_DOCS, FIT_BYTES, 8, text)
+    chars = F.col("text").cast("string")
+    lines = F.length(chars) - F.length(F.replace(chars, F.lit("\n"), F.lit(""))) + 1
+    picked = labelled(docs, labels, "quality", FIT_DOCS, FIT_BYTES, 8, text, cost=F.greatest(F.length("text"), LINE * lines))
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

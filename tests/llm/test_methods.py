@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -18,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tailwright.llm import bpe, decontaminate, langid, line_crf, near_dedup, ppm, quality_rules, token_counts, toxicity, url_filter
+from tailwright.llm.samples import labelled
 from tailwright.llm.session import remainder
 from tailwright.llm.textkernel import Block, blocks
 from tests.llm.conftest import prose, words
@@ -181,6 +183,29 @@ def test_every_language_is_sampled_however_many_copies_one_has(spark):
     assert got == {"a": 1} | {f"l{k:02}": 3 for k in range(90)}
 
 
+def test_predictions_equal_one_window_at_a_time(spark):
+    rng = random.Random(8)
+    net = langid.Network(["de", "en", "fr"], seed=3)
+    texts = [None, "", "12 34", "é", "A" * 256, "b" * 257, *[prose(rng, n, lang) for n in (3, 60, 400) for lang in ("de", "en")]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(docs, net).collect()}
+    for k, text in enumerate(texts):
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        raw = text.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+        total = np.zeros(3)
+        for a in range(0, len(raw), langid.WINDOW):
+            part = raw[a : a + langid.WINDOW]
+            window = [langid.CLASS[b] for b in part.ljust(langid.WINDOW, b" ")]
+            pooled = [np.tanh(max(sum(t[j][window[i + j]][f] for j in range(w)) for i in range(langid.WINDOW - w + 1))) for w, t in zip(langid.WIDTHS, net.tables, strict=True) for f in range(langid.FILTERS)]
+            z = np.exp(np.array(pooled) @ net.weight + net.bias)
+            total += z / z.sum() * len(part)
+        mean = total / len(raw)
+        assert got[k].score == pytest.approx(mean.max(), abs=1e-4)
+        assert got[k].lang_pred == net.languages[mean.argmax()] or np.sort(mean)[-1] - np.sort(mean)[-2] < 1e-4
+
+
 def test_compiled_network_equals_the_plain_one():
     net = langid.Network(["a", "b", "c"])
     rows = np.random.default_rng(0).integers(0, langid.KINDS, (9, langid.WINDOW))
@@ -454,6 +479,27 @@ def test_toxic_documents(spark):
     assert by_count == sorted(by_count) and by_count[0] < 0.2 < 1 < by_count[2]
 
 
+def test_severity_equals_a_plain_computation(spark):
+    known = ["vile", "filthy", "calm", "idiot", "idio", "kind"]
+    hashed = lambda w: int(toxicity.features(Block([w.encode()], 0))[0][0])
+    begins = {"idiot": int(toxicity.features(Block([b"idiotic"], 0))[0][1])}
+    value = {w: v for w, v in zip(known, (1.5, 0.75, -1.0, 2.0, 0.5, -0.5), strict=True)}
+    pairs = sorted([(hashed(w), v) for w, v in value.items()] + [(begins["idiot"], 0.25)])
+    model = toxicity.Ordinal(np.array([h for h, _ in pairs], np.uint64), np.array([v for _, v in pairs]), np.array([0.5, 1.0, 2.5]))
+    texts = [None, "", "  \n", "calm kind words", "Vile, vile (VILE)!", "idiots and IDIOTIC idiot", "idio idio\nfilthy filthy filthy", "calm " * 5000 + "vile"]
+    rows = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, [F.col("doc_id")]).collect()}
+    for k, text in enumerate(texts):
+        bare = [w.strip(".,;:!?\"'()").lower() for w in re.split("[ \t-\r]+", text or "") if w]
+        n = Counter(w for w in bare if w in value)
+        z = sum(math.log1p(c) * value[w] for w, c in n.items())
+        longer = sum(w.startswith("idiot") and len(w) > 5 for w in bare)
+        z += math.log1p(longer) * 0.25
+        at_most = [1 / (1 + math.exp(min(40, max(-40, z - c)))) for c in (0.5, 1.0, 2.5)]
+        assert rows[k].severity == pytest.approx(sum(1 - p for p in at_most))
+        assert rows[k].p_toxic == pytest.approx(1 - at_most[0]) and rows[k].toxic == (1 - at_most[0] >= toxicity.TOXIC)
+        assert rows[k].marked == sum(n.values()) + longer
+
+
 def test_severities_follow_the_evidence_of_the_other_half():
     rng = np.random.default_rng(41)
     label = np.arange(400) % 5 == 0
@@ -569,11 +615,13 @@ def test_url_rules_equal_brute_force(spark):
 # 8
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("piece", [64, 2, 1])
+def test_forward_backward_equals_enumeration(monkeypatch, piece):
+    monkeypatch.setattr(line_crf, "PIECE", piece)
     rng = np.random.default_rng(2)
     f = line_crf.Field(rng.normal(size=line_crf.WIDTH), rng.normal(size=(2, 2)))
-    first = np.array([0, 4, 5, 8])
-    x = rng.normal(size=(8, line_crf.WIDTH))
+    first = np.array([0, 4, 5, 8, 15])
+    x = rng.normal(size=(15, line_crf.WIDTH))
     p, logz, pairs = f.marginals(x, first)
     want_pairs = np.zeros((2, 2))
     for a, b, z in zip(first, first[1:], logz, strict=False):
@@ -589,6 +637,60 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def plain_lines(text):
+    """The features of each line of a text, as their names say, in plain Python."""
+    made, earlier = [], set()
+    for line in text.split("\n"):
+        raw, words = line.encode(), [w for w in re.split("[ \t\n\x0b\x0c\r]+", line) if w]
+        share = lambda test: sum(map(test, raw)) / max(1, len(raw))  # noqa: E731, B023
+        among = lambda chars: share(lambda b: chr(b) in chars)
+        beyond = sum(0xC0 <= ord(c) <= 0xDE for c in line) / max(1, len(raw))
+        lower = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words]
+        made.append(
+            [
+                *(share(lambda b: 65 <= b <= 90) + beyond, share(lambda b: chr(b).isascii() and chr(b).isalpha() or b >= 128), among("0123456789")),
+                *(math.sqrt(among("#*$%&|<>")), math.sqrt(among("!?")), among(".,;:'\"()-"), math.sqrt(among("|")), beyond),
+                *(math.log1p(len(raw)) / 5, math.log1p(len(words)) / 4, sum(min(40, len(w.encode())) for w in words) / max(1, len(words)) / 10),
+                *(sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / max(1, len(words)), line in earlier and bool(words), not words),
+            ]
+        )
+        earlier.add(line)
+    none = [0] * line_crf.OWN
+    return [[1, *own, *before, *after] for own, before, after in zip(made, [none, *made], [*made[1:], none], strict=False)]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40])
+def test_line_features_equal_a_plain_computation(monkeypatch, size):
+    monkeypatch.setattr(line_crf, "LINES_BYTES", size)
+    rng = random.Random(4)
+    texts = ["", "\n", "a\n\na\na b\n b a", "Ein Ähre ÄÖÜ × é\nthe THE the\n\tx|y #1 || 22?!\r\n" + "w" * 90, " \n \n", *[prose(rng, n) + "\n" + prose(rng, 2).upper() for n in (1, 30, 80)]]
+    block = Block([t.encode() for t in texts], 0)
+    x, length, first = line_crf.line_features(block)
+    assert first.tolist() == np.cumsum([0, *[t.count("\n") + 1 for t in texts]]).tolist()
+    assert length.tolist() == [len(line.encode()) for t in texts for line in t.split("\n")]
+    assert np.allclose(x, [row for t in texts for row in plain_lines(t)], atol=1e-6)
+    field = line_crf.Field(np.random.default_rng(5).normal(size=line_crf.WIDTH), np.zeros((2, 2)))
+    assert np.allclose(field.potentials(block)[0], x @ field.weight, atol=1e-5)
+
+
+def test_a_text_of_millions_of_lines_takes_few_steps():
+    field = line_crf.Field(np.random.default_rng(6).normal(size=line_crf.WIDTH), np.array([[1.0, -1], [-1, 1]]))
+    block = Block([b"\n" * 2_000_000, b"some words\n" * 100_000], 0)
+    began = time.perf_counter()
+    score, bad = field.scores(block)
+    assert time.perf_counter() - began < 30
+    assert len(line_crf.ragged(line_crf.pieces(block.lines()[2])[0])) < 1500
+    assert ((score >= 0) & (score <= 1)).all() and bad[0] in range(2_000_002)
+
+
+def test_a_text_that_does_not_fit_leaves_the_sample_to_others(spark):
+    d = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") % 2 == 0, 5000).otherwise(100).cast("int")).alias("text"))
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = labelled(d, labels, "quality", 100, 4000, 1).collect()
+    assert len(got) == 25 and all(len(r.text) == 100 for r in got)
+    assert len(labelled(d, labels, "quality", 100, 4000, 1, cost=F.lit(2000)).collect()) == 2
+
+
 def test_quality_of_held_out_documents(spark):
     rng = random.Random(12)
     rows, label = [], []
