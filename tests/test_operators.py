@@ -463,3 +463,12 @@ def test_interval_joins_do_not_meet_at_wide_levels(spark):
     met = keys[0].groupBy("chrom", "side", "level", "bin").count().withColumnRenamed("count", "n").join(keys[1].groupBy(F.col("b_chrom").alias("chrom"), F.col("b_side").alias("side"), F.col("b_level").alias("level"), F.col("b_bin").alias("bin")).count(), ["chrom", "side", "level", "bin"]).agg(F.sum(F.col("n") * F.col("count"))).first()[0]
     assert met < 20 * n
     assert intervals.overlap_pairs(a, b).count() == 2 * n - 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
+def test_the_genome_is_not_sent_whole(spark):
+    from tailwright.plans import queries as q
+
+    for name in ("library_depth", "genome_lookup"):
+        plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, name
