@@ -22,6 +22,8 @@ from tailwright.sources.paths import files_of, opened, streamed
 SCHEMA = "name string, seq string, qual string"
 #: Bytes of a range, and records handed to Spark at once.
 RANGE, ROWS = 64 << 20, 8192
+#: Ranges of all files together, above which they grow: tasks for small ranges take longer to start than to read.
+RANGES = 2048
 
 
 class Range(InputPartition):
@@ -88,8 +90,9 @@ class FastqReader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("rangeBytes", RANGE))
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path, size in files_of(self.path):
+        out, files = [], list(files_of(self.path))
+        step = max(self.size, -(-sum(size for _, size in files) // RANGES))
+        for path, size in files:
             blocked = False
             if path.endswith(".gz"):
                 with opened(path) as f:
@@ -97,7 +100,7 @@ class FastqReader(DataSourceReader):
                 if not blocked:
                     out.append(Range(path, 0, None))
                     continue
-            out += [Range(path, a, min(a + self.size, size), blocked) for a in range(0, size, self.size)]
+            out += [Range(path, a, min(a + step, size), blocked) for a in range(0, size, step)]
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:

@@ -465,6 +465,16 @@ def test_interval_joins_do_not_meet_at_wide_levels(spark):
     assert intervals.overlap_pairs(a, b).count() == 2 * n - 1
 
 
+def test_many_small_ranges_of_fastq_grow(tmp_path):
+    from tailwright.sources import fastq
+
+    path = tmp_path / "a.fastq"
+    path.write_text("@a\nAC\n+\nII\n" * 5000)
+    parts = fastq.FastqReader({"path": str(path), "rangeBytes": "2"}).partitions()
+    assert len(parts) <= fastq.RANGES and parts[0].start == 0 and parts[-1].end == path.stat().st_size
+    assert all(x.end == y.start for x, y in zip(parts, parts[1:], strict=False))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
 def test_the_genome_is_not_sent_whole(spark):
     from tailwright.plans import queries as q
