@@ -48,12 +48,26 @@ def ungapped_hits(queries: DataFrame, tiled: DataFrame, seed: int = SEED, score:
     if not 1 <= seed <= packed.WORD:
         raise ValueError("a seed is 1 to 31 bases")
     head = F.lit(packed.span(0, seed))
-    w = packed.windows(tiled, tile, seed).where(F.col("odd").bitwiseAND(head) == 0).select("chrom", "pos", F.col("word").bitwiseAND(head).alias("key"))
+    w = packed.windows(tiled, tile, seed, before=True).where(F.col("odd").bitwiseAND(head) == 0)
+    w = w.select("chrom", "pos", F.col("word").bitwiseAND(head).alias("key"), "room", F.col("word").alias("g_word"), F.col("odd").alias("g_odd"), "back_room", F.col("back").alias("g_back"), F.col("back_odd").alias("g_back_odd"))
     both = F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("plus")), F.struct(F.lit("-").alias("strand"), reverse_complement("seq").alias("plus")))
     q = queries.select("query", F.explode(both).alias("x")).select("query", "x.*").where(F.length("plus") >= seed)
+    q = q.withColumn("letters", F.regexp_replace("plus", "[^ACGT]", "N"))  # what can be packed, signs included
     each = q.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("plus") - seed)))
-    each = each.withColumn("bases", F.substring("plus", F.col("at") + 1, F.lit(seed))).where(~F.col("bases").rlike("[^ACGT]")).withColumn("key", packed.word_of(F.col("bases")))
-    diagonals = each.join(w.hint("merge"), "key").select("query", "strand", "plus", "chrom", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    held = F.least("at", F.lit(packed.WORD))
+    ahead, behind = F.substring("letters", F.col("at") + 1, F.lit(packed.WORD)), F.substring("letters", F.col("at") - held + 1, held)
+    low = lambda x: F.call_function("shiftright", x, (F.lit(2 * packed.WORD) - held * 2).cast("int"))
+    each = each.withColumns({"word": packed.word_of(ahead), "odd": packed.odd_of(ahead), "back": low(packed.word_of(behind)), "back_odd": low(packed.odd_of(behind))})
+    each = each.where(~F.substring("letters", F.col("at") + 1, F.lit(seed)).rlike("[^ACGT]")).withColumn("key", F.col("word").bitwiseAND(head))
+    # A hit has at least ``score`` equal bases, so a diagonal with too many others near the seed is dropped inside the join,
+    # before its row is written; bases that the words don't hold count as equal
+    n, rest = F.length("plus"), F.length("plus") - F.col("at")
+    forward = packed.mismatches(F.col("word"), F.col("g_word"), F.col("odd"), F.col("g_odd"), packed.first_bases(F.least(rest, F.col("room"))))
+    known = F.least("at", "back_room")
+    lowest = F.lit(packed.LOWS).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (known * 2).cast("int")) - 1)
+    backward = packed.mismatches(F.col("back"), F.col("g_back"), F.col("back_odd"), F.col("g_back_odd"), lowest)
+    near = each.join(w.hint("merge"), "key").where(n - forward - backward >= score)
+    diagonals = near.select("query", "strand", "plus", "chrom", (F.col("pos") - F.col("at")).alias("start")).distinct()
     found = fetch(diagonals, tiled, F.col("start"), F.length("plus"), "reference").withColumn("s", best_stretch(F.col("plus"), F.col("reference"))).where(F.col("s.score") >= score)
     none = lambda c: F.lit(0).alias(c)
     return found.select(F.col("query").alias("q_name"), "strand", F.col("chrom").alias("t_name"), F.col("s.begin").alias("q_start"), F.col("s.end").alias("q_end"), F.length("plus").alias("q_size"), (F.col("start") - 1 + F.col("s.begin")).alias("t_start"), (F.col("start") - 1 + F.col("s.end")).alias("t_end"), F.col("s.matches").alias("matches"), (F.col("s.end") - F.col("s.begin") - F.col("s.matches")).alias("mismatches"), none("q_num_insert"), none("t_num_insert"))

@@ -465,6 +465,40 @@ def test_interval_joins_do_not_meet_at_wide_levels(spark):
     assert intervals.overlap_pairs(a, b).count() == 2 * n - 1
 
 
+def test_diagonals_without_a_score_are_dropped_in_the_join(spark):
+    """Hits equal those of every diagonal tried, over tiles' edges and letters that no base is; few rows reach the fetch."""
+    from tailwright.operators import ungapped
+
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    genome = genome[:200] + "N" + genome[201:]
+    turn = str.maketrans("ACGT", "TGCA")
+    queries = []
+    for k in range(40):
+        p, n = rng.randint(0, 330), rng.choice([11, 14, 30, 31, 32, 45, 70])
+        text = list(genome[p : p + n])
+        for i in rng.sample(range(n), rng.choice([0, 1, 2, 4]) if n > 14 else 0):
+            text[i] = rng.choice("ACGTN")
+        text = "".join(text)
+        queries.append((k, text if k % 2 else text[::-1].translate(turn)))
+    tiled = align.tiles(spark.createDataFrame([("c", 1, genome)], "chrom string, offset long, seq string"), 50, 80)
+    got = {(r.q_name, r.strand, r.t_start - r.q_start, r.matches - r.mismatches) for r in ungapped.ungapped_hits(spark.createDataFrame(queries, "query long, seq string"), tiled, 11, 13, 50).collect()}
+    want = set()
+    for k, seq in queries:
+        for strand, text in (("+", seq), ("-", seq[::-1].translate(turn))):
+            for p in range(len(genome) - len(text) + 1):
+                same = [a == b and a in "ACGT" for a, b in zip(text, genome[p : p + len(text)], strict=True)]
+                if not any(all(same[i : i + 11]) for i in range(len(same) - 10)):
+                    continue
+                run = best = 0
+                for s in same:
+                    run = max(run, 0) + (1 if s else -1)
+                    best = max(best, run)
+                if best >= 13:
+                    want.add((k, strand, p, best))
+    assert got == want and len(want) > 30
+
+
 def test_many_small_ranges_of_fastq_grow(tmp_path):
     from tailwright.sources import fastq
 
