@@ -1,5 +1,7 @@
-"""What queries on stored annotated reads shuffle."""
+"""What queries on stored annotated reads shuffle, and what they find more than once."""
 
+from tailwright.operators import annotate
+from tailwright.plans import queries
 from tailwright.plans.bridge import bridge
 
 DIR = "/root/testdata/sf0.001"
@@ -18,3 +20,19 @@ def test_raw_reads_go_to_alignments_by_part_alone(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert not [line for line in moved if "jit" in line]
+
+
+def test_profiled_reads_carry_no_columns_of_second_hits(spark):
+    got = queries.stored_profiled(spark, DIR)
+    assert not {"pk", "ln"} & set(got.columns)
+    assert sorted(got.select("read_id", "anno_name").collect()) == sorted(queries.annotated(spark, DIR).select("read_id", "anno_name").collect())
+
+
+def test_credible_reads_find_sites_once(spark, monkeypatch):
+    """The sites come from a stored table, so that the query's own plan reads no mismatch string."""
+    made = []
+    keep = annotate.with_profiles
+    monkeypatch.setattr(annotate, "with_profiles", lambda *a, **k: made.append(1) or keep(*a, **k))
+    got = queries.QUERIES["credible_reads"](spark, DIR)
+    assert made == [1]
+    assert "regexp" not in plan(got) and "profiled-" in plan(got)
