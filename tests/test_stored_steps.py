@@ -1,6 +1,8 @@
 """What queries on stored annotated reads shuffle, and what they find more than once."""
 
-from tailwright.operators import annotate
+from pyspark.sql import functions as F
+
+from tailwright.operators import annotate, intervals
 from tailwright.plans import queries
 from tailwright.plans.bridge import bridge
 
@@ -36,3 +38,22 @@ def test_credible_reads_find_sites_once(spark, monkeypatch):
     got = queries.QUERIES["credible_reads"](spark, DIR)
     assert made == [1]
     assert "regexp" not in plan(got) and "profiled-" in plan(got)
+
+
+def test_picking_an_annotation_sorts_once(spark):
+    """No aggregate of structs, which sorts for each of its halves; equal alignments each keep their row."""
+    a = queries.alignments(spark, DIR).drop("pk", "ln").limit(50)
+    twice = a.union(a).localCheckpoint()
+    got = annotate.annotate(twice, bridge(spark, DIR, "anno"), bridge(spark, DIR, "prio"))
+    assert "SortAggregate" not in plan(got)
+    rows = sorted((r.read_id, r.aid) for r in got.collect())
+    assert rows and rows[::2] == rows[1::2] and len(set(rows)) == len({r[0] for r in rows})
+
+
+def test_levels_of_places_are_not_made_to_be_dropped(spark):
+    """A place becomes a row for each level that occurs, without rows of other levels in between."""
+    points = spark.createDataFrame([("c", 700), ("c", 5_000_000)], "chrom string, at long")
+    levels = spark.createDataFrame([(0,), (3,)], "level int")
+    got = intervals.at_levels(points, F.col("at"), levels)
+    assert "Generate" not in plan(got) and "explode" not in plan(got)
+    assert sorted((r.at, r.level, r.bin) for r in got.collect()) == [(700, 0, 2), (700, 3, 0), (5_000_000, 0, 19531), (5_000_000, 3, 305)]
