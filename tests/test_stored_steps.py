@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tailwright.functions import modifications as M
 from tailwright.operators import annotate, intervals
 from tailwright.plans import queries
 from tailwright.plans.bridge import bridge
@@ -57,3 +58,24 @@ def test_levels_of_places_are_not_made_to_be_dropped(spark):
     got = intervals.at_levels(points, F.col("at"), levels)
     assert "Generate" not in plan(got) and "explode" not in plan(got)
     assert sorted((r.at, r.level, r.bin) for r in got.collect()) == [(700, 0, 2), (700, 3, 0), (5_000_000, 0, 19531), (5_000_000, 3, 305)]
+
+
+def test_mismatch_strings_are_split_once(spark):
+    """The text is split once for all its mismatches, and not at all where ends take all of them."""
+    rows = [("+", 10, "ACGTACGT", "2A0C4", None, None), ("-", 10, "ACGTACGT", "0C0G3T2", None, "GT"), ("+", 10, "ACGTACGT", "8", None, None), ("+", 10, "ACGTACGT", "6A0C0", None, "GT")]
+    df = spark.createDataFrame(rows, "strand string, start long, seq string, md string, nte5 string, nte3 string")
+    got = df.select(M.internal_sites("strand", "start", "seq", "md", "nte5", "nte3").alias("s"))
+    assert plan(got).split("== Initial")[0].count("split(") == 1
+    assert [[tuple(x) for x in r.s] for r in got.collect()] == [[(12, 12, "A", "G"), (13, 13, "C", "T")], [(15, 15, "A", "G")], [], []]
+
+
+def test_modifications_are_counted_once(spark, monkeypatch):
+    """Counts that the summary and the filter of variants both read are stored, with their annotations' order where it is asked for."""
+    made, stored = [], []
+    count, table = queries.summary.modification_counts, queries.table
+    monkeypatch.setattr(queries.summary, "modification_counts", lambda *a, **k: made.append(1) or count(*a, **k))
+    monkeypatch.setattr(queries, "table", lambda df, name: stored.append((name, df.columns)) or table(df, name))
+    for name in ("summary_without_snps", "snp_filter_compat"):
+        queries.QUERIES[name](spark, DIR)
+    assert len(made) == 2
+    assert [c for n, c in stored if n == "modifications" and "aid" in c]
