@@ -516,3 +516,39 @@ def test_the_genome_is_not_sent_whole(spark):
     for name in ("library_depth", "genome_lookup"):
         plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan, name
+
+
+def test_reads_are_looked_up_once_for_all_rounds(spark):
+    """Two probes a read, one a strand, whatever the rounds; short reads one for each; and no more levels than the genome needs."""
+    r = spark.createDataFrame([(1, "ACGTTGCAACGTTGCAACGTT"), (2, "ACGTTGCAACGTTGCA")], "row long, seq string")
+    got = {x.row: x["count"] for x in align._probes(r, align.ROUNDS, 2).groupBy("row").count().collect()}
+    assert got == {1: 2, 2: 12}
+    t = align.tiles(spark.createDataFrame([("c", 1, "ACGT" * 500)], "chrom string, offset bigint, seq string"))
+    assert align._enough(align.LEVELS, t) == (12,)
+
+
+def test_trim_cascade_at_edges_equals_that_by_index(spark):
+    """Reads of every length around the ends of pieces and tiles, some with letters exchanged, added or that are no bases."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pieces = [("a", 1, text(2300)), ("a", 2301, text(64)), ("b", 500, text(64)), ("b", 2000, text(1003)), ("b", 3500, text(500) + "N" + text(500))]
+    t = align.tiles(spark.createDataFrame(pieces, "chrom string, offset bigint, seq string"))
+    seqs = set()
+    for _, _, g in pieces:
+        for at in {0, 1, 2, 3, 490, 497, 985, 996, 998, 999, 1000, 1001, 1002, 1990, len(g) - 24, len(g) - 18}:
+            for n in (14, 17, 18, 19, 20, 22, 24, 29, 31, 32, 33, 34, 60):
+                s = g[max(at, 0) : at + n] if at >= 0 else ""
+                if len(s) < 13:
+                    continue
+                k = rng.randrange(7)
+                if k in (1, 2):
+                    i = rng.randrange(len(s))
+                    s = s[:i] + rng.choice("ACGTN") + s[i + 1 :]
+                s = {3: text(1) + s, 4: s + text(2), 5: text(1) + s + text(1), 6: text(2) + s}.get(k, s)
+                seqs.add(s if rng.random() < 0.5 else flip(s))
+    r = spark.createDataFrame([(f"r{i}", 1, s) for i, s in enumerate(sorted(seqs))], "read_id string, abundance bigint, seq string")
+    found = align.trim_cascade(r, t)
+    want = align.trim_cascade(r, t, index=align.seeds(t))
+    assert found.columns == want.columns
+    a, b = sorted(map(tuple, found.collect())), sorted(map(tuple, want.collect()))
+    assert a == b and len(a) > len(seqs) // 2 and len({x[3] for x in a}) == 6
