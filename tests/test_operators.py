@@ -552,3 +552,60 @@ def test_trim_cascade_at_edges_equals_that_by_index(spark):
     assert found.columns == want.columns
     a, b = sorted(map(tuple, found.collect())), sorted(map(tuple, want.collect()))
     assert a == b and len(a) > len(seqs) // 2 and len({x[3] for x in a}) == 6
+
+
+def test_best_ungapped_hits_are_the_best_of_all(spark):
+    """Two seeds a strand settle queries with a nearly whole hit, ties and several sequences of one name included; others get every seed."""
+    from tailwright.operators import ungapped
+
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b = text(700), text(500)
+    b = b[:200] + a[100:160] + b[260:300] + "N" + b[301:]  # a repeat, so that some have two best hits
+    t = align.tiles(spark.createDataFrame([("c", 1, a), ("c", 701, b), ("d", 1, text(40))], "chrom string, offset long, seq string"), 50, 80)
+    rows = []
+    for k in range(160):
+        g, n = rng.choice((a, b)), rng.choice((14, 18, 19, 20, 21, 24, 30, 33, 36, 48, 70))
+        p = rng.randint(0, len(g) - n) if k % 4 else (100 if g is a else 200)
+        s = list(g[p : p + n])
+        wrong = {0: [], 1: [0], 2: [n - 1], 3: [0, n - 1], 4: [0, 1], 5: [n - 2, n - 1], 6: [n // 2], 7: [n // 2 - 1, n - 2], 8: rng.sample(range(n), 3)}[k % 9]
+        for i in wrong:
+            s[i] = rng.choice([x for x in "ACGTN" if x != s[i]])
+        rows.append((k // 2 * 2 if k % 10 == 9 else k, "".join(s) if k % 2 else flip("".join(s))))
+    q = spark.createDataFrame(rows, "query long, seq string")
+    full = spark.createDataFrame([(r[0], r[1]) for r in rows if len(r[1]) == 36 and r[0] % 9 < 7], "query long, seq string")
+    for some, seed, score in ((q, 9, 12), (full, 9, 12), (q, 11, 34), (q.where(F.length("seq") < 19), 9, 10), (q.limit(0), 9, 12)):
+        want = hits.best_hits(ungapped.ungapped_hits(some, t, seed, score, 50))
+        got = ungapped.best_ungapped_hits(some, t, seed, score, 50)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 0
+
+
+def test_a_nearly_whole_hit_is_found_by_two_seeds_a_strand(spark, monkeypatch):
+    """Not by every k-mer, whose meetings with the genome's grow with the product of both."""
+    from tailwright.operators import ungapped
+
+    rng = random.Random(4)
+    g = "".join(rng.choice("ACGT") for _ in range(200))
+    t = align.tiles(spark.createDataFrame([("c", 1, g)], "chrom string, offset long, seq string"))
+    looked = []
+    by_seeds = ungapped._hits_by_seeds
+    monkeypatch.setattr(ungapped, "_hits_by_seeds", lambda each, *more: looked.append(each.count()) or by_seeds(each, *more))
+    q = spark.createDataFrame([("x", g[20:50]), ("y", flip(g[60:90]))], "query string, seq string")
+    got = {(r.q_name, r.strand, r.t_start, r.score) for r in ungapped.best_ungapped_hits(q, t).collect()}
+    assert got == {("x", "+", 20, 30), ("y", "-", 60, 30)} and looked == [8]
+
+
+def test_stretches_of_a_batch_equal_those_of_each(spark):
+    from tailwright.operators import ungapped
+
+    rng = random.Random(8)
+    rows = []
+    for n in (0, 1, 2, 14, 30, 31, 90):
+        for _ in range(20):
+            a = "".join(rng.choice("ACGTN") for _ in range(n))
+            rows.append((a, "".join(x if rng.random() < 0.7 else rng.choice("ACGTN") for x in a)))
+    d = spark.createDataFrame(rows, "a string, b string").where("length(a) > 0")
+    got = ungapped.with_stretches(d.withColumn("s", ungapped.best_stretch(F.col("a"), F.col("b"))), "a", "b").collect()
+    assert len(got) == 120 and all((r.score, r.begin, r.end, r.matches) == (r.s.score, r.s.begin, r.s.end, r.s.matches) for r in got)
