@@ -609,3 +609,54 @@ def test_stretches_of_a_batch_equal_those_of_each(spark):
     d = spark.createDataFrame(rows, "a string, b string").where("length(a) > 0")
     got = ungapped.with_stretches(d.withColumn("s", ungapped.best_stretch(F.col("a"), F.col("b"))), "a", "b").collect()
     assert len(got) == 120 and all((r.score, r.begin, r.end, r.matches) == (r.s.score, r.s.begin, r.s.end, r.s.matches) for r in got)
+
+
+def test_the_genome_is_shuffled_for_leading_rounds_only(spark, genome, monkeypatch):
+    """Reads that begin with the same bases are looked up once, two rows a base; for those left over there are no seeds but theirs."""
+    g = spark.createDataFrame([(c, 1, s) for c, s in genome.items()], "chrom string, offset bigint, seq string")
+    t = align.tiles(g)
+    a = genome["chr1"]
+    other = lambda b: {"A": "C", "C": "A", "G": "T", "T": "G"}[b]
+    seqs = [a[900:922], a[900:923] + other(a[923]), a[900:920] + other(a[920]) + other(a[921]), flip(a[1100:1125]), other(a[1500]) + other(a[1501]) + a[1502:1525]]
+    r = spark.createDataFrame([(f"r{i}", 1, s) for i, s in enumerate(seqs)], "read_id string, abundance bigint, seq string")
+    cores, seeds = [], []
+    core_hits, padded = align._core_hits, align._padded_seeds
+    monkeypatch.setattr(align, "_core_hits", lambda c, t: cores.append(c.count()) or core_hits(c, t))
+    monkeypatch.setattr(align, "_padded_seeds", lambda *x, **y: seeds.append(padded(*x, **y)) or seeds[-1])
+    got = {x.read_id: (x.trim_step, x.strand, x.start, x.nm) for x in align.trim_cascade(r, t).collect()}
+    assert got == {"r0": ("init-mapping-0", "+", 901, 0), "r1": ("init-mapping-0", "+", 901, 1), "r2": ("three-trim-1", "+", 901, 1), "r3": ("init-mapping-0", "-", 1101, 0), "r4": ("five-trim-1", "+", 1502, 1)}
+    assert cores == [3] and len(seeds) == 1 and seeds[0].count() < 20
+    assert align._core_seeds(align.tiles(g).withColumn("id", F.monotonically_increasing_id())).count() < 2 * 1.05 * sum(map(len, genome.values()))
+
+
+def test_leading_rounds_equal_those_by_index(spark, monkeypatch):
+    """Both strands, repeats, letters that are no bases in the genome, places at the ends of pieces and tiles, and whole reads that reach over them."""
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = text(40)
+    pieces = [("a", 1, text(980) + core + text(1010) + core[:25] + text(30)), ("a", 2086, text(64)), ("b", 7, core[:22] + text(500) + "NR" + text(500)), ("c", 1, text(19)), ("c", 20, text(1000))]
+    t = align.tiles(spark.createDataFrame(pieces, "chrom string, offset bigint, seq string"))
+    seqs = set()
+    for _, _, g in pieces:
+        for at in {0, 1, 2, 5, 6, 505, 515, 975, 980, 982, 990, 994, 999, 1000, 1003, 1020, len(g) - 31, len(g) - 20, len(g) - 18}:
+            for n in (17, 18, 19, 20, 22, 25, 29, 31, 32):
+                s = g[at : at + n] if at >= 0 else ""
+                if len(s) < 16:
+                    continue
+                k = rng.randrange(8)
+                if k in (1, 2, 6):
+                    i = rng.randrange(len(s)) if k < 6 else len(s) - 1
+                    s = s[:i] + rng.choice("ACGT") + s[i + 1 :]
+                s = {3: text(1) + s, 4: s + text(2), 5: s + text(1)}.get(k, s)
+                seqs.add(s if rng.random() < 0.5 else flip(s) if set(s) <= set("ACGT") else s)
+    r = spark.createDataFrame([(f"r{i}", 1, s) for i, s in enumerate(sorted(seqs))], "read_id string, abundance bigint, seq string")
+    index = align.seeds(t).cache()
+    for most, few, mismatches in ((1, align.FEW, 1), (2, 0, 1), (1, 0, 0)):
+        monkeypatch.setattr(align, "FEW", few)
+        found = align.trim_cascade(r, t, most=most, mismatches=mismatches, reference=True)
+        want = align.trim_cascade(r, t, most=most, mismatches=mismatches, index=index)
+        a, b = sorted(map(tuple, found.drop("reference").collect())), sorted(map(tuple, want.collect()))
+        assert a == b and len(a) > len(seqs) // 3
+        whole = sorted(map(str, align.resolve_ends(found, t).collect()))
+        assert whole == sorted(map(str, align.resolve_ends(want, t).collect())) and found.where("reference is null").count() > 0
+    index.unpersist()
